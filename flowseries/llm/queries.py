@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowseries.llm import mixing, pii, quality_rules, sentencepiece_codec, simhash, syncmers
+from flowseries.llm import license_rules, mixing, pii, quality_knn, quality_rules, scratch, sentencepiece_codec, simhash, syncmers, tool_calls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,10 +32,32 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.token_digest(_table(spark, sf_dir, "documents"), model)
 
 
+def op5_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality_knn.score(docs, quality_knn.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = tool_calls.from_turns(_table(spark, sf_dir, "conversations"))
+    return tool_calls.link(calls, results, tool_calls.TOOLS)
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch.new_path(spark, "warc")
+    warc.write_warc(_table(spark, sf_dir, "pages"), path)
+    return warc.page_records(warc.read_warc(spark, path, with_payload=False))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(_table(spark, sf_dir, "documents"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_rules.scan(_table(spark, sf_dir, "documents"))
+    names = [F.array_join(c, " ").alias(c) for c in ("sentence_ids", "licences")]
+    return found.select("doc_id", F.size("sentence_ids").cast("long").alias("n_sentences"), *names, F.col("left_over").cast("long").alias("left_over"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_verdicts(_table(spark, sf_dir, "documents"))
 
@@ -45,11 +67,88 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_mixing": op3_mixing,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_quality_knn": op5_quality_knn,
+    "op6_tool_calls": op6_tool_calls,
+    "op7_warc": op7_warc,
     "op8_pii": op8_pii,
+    "op9_licenses": op9_licenses,
     "op10_quality_rules": op10_quality_rules,
 }
 
+
+def _license_sql() -> str:
+    """The scan over the same sentences and rules: one unnested row for each sentence, then the rules one by one."""
+    known = ", ".join(f"('{k}', '{v}')" for k, v in license_rules.known_sentences().items())
+    end, other = license_rules._END, license_rules._OTHER
+    steps, found = [], []
+    for i, (licence, rule) in enumerate(license_rules.RULES):
+        at = f"' {'  '.join(rule)} '"
+        steps.append(f"replace(r{i}, {at}, ' - ') AS r{i + 1}")
+        found.append((licence, f"contains(r{i}, {at})"))
+    order: list[str] = []
+    for licence, _ in found:
+        if licence not in order:
+            order.append(licence)
+    hits = ", ".join("CASE WHEN " + " OR ".join(h for x, h in found if x == licence) + f" THEN '{licence}' END" for licence in order)
+    # A licence stands where its first rule that matches does, so the order of first rules is kept by sorting on it.
+    ranks = ", ".join("CASE " + " ".join(f"WHEN {h} THEN {i}" for i, (x, h) in enumerate(found) if x == licence) + " ELSE 999 END" for licence in order)
+    return f"""
+WITH k(sentence, id) AS (VALUES {known}),
+d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS n FROM documents),
+cuts AS (
+  SELECT n, 0 AS cut, regexp_split_to_array(text, '{end}') AS parts FROM d WHERE regexp_matches(text, '(?i){license_rules.HINTS}')
+  UNION ALL
+  SELECT n, 1 AS cut, regexp_split_to_array(regexp_replace(text, '([^\n])\n([^\n])', '\1 \2', 'g'), '{end}') AS parts FROM d WHERE regexp_matches(text, '(?i){license_rules.HINTS}')
+),
+s AS (SELECT n, cut, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM cuts),
+m AS (SELECT n, cut, list(k.id ORDER BY i) AS ids FROM s JOIN k ON trim(regexp_replace(lower(part), '{other}', ' ', 'g')) = k.sentence GROUP BY n, cut),
+b AS (SELECT n, arg_max(ids, len(ids) * 2 - cut) AS ids FROM m GROUP BY n),
+r AS (SELECT n, ids, ' ' || array_to_string(ids, '  ') || ' ' AS r0, {', '.join(steps)} FROM b),
+f AS (
+  SELECT n, ids, list_transform(list_sort(list_filter(list_zip([{ranks}], [{hits}]), lambda x: x[1] < 999)), lambda x: x[2]) AS licences,
+         len(list_filter(string_split(trim(r{len(steps)}), ' '), lambda x: x <> '' AND x <> '-')) AS left_over
+  FROM r
+)
+SELECT d.doc_id, coalesce(len(f.ids), 0)::BIGINT AS n_sentences, coalesce(array_to_string(f.ids, ' '), '') AS sentence_ids,
+       coalesce(array_to_string(f.licences, ' '), '') AS licences, coalesce(f.left_over, 0)::BIGINT AS left_over
+FROM d LEFT JOIN f ON d.n = f.n
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op6_tool_calls": r"""
+WITH c AS (
+  SELECT conv_id, conv_id || ':' || turn AS call_id, turn, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words, text FROM conversations WHERE role = 'user'
+), o AS (
+  -- Calls whose earlier call is missing start a chain; a chain's calls are two turns apart.
+  SELECT *, turn - 2 * row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS chain FROM c
+), l AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, turn % 2, chain ORDER BY turn) - 1 AS level, CASE WHEN words > 20 THEN 'discuss' ELSE 'answer' END AS name FROM o
+), r AS (
+  SELECT conv_id, conv_id || ':' || (turn - 1) AS call_id, text AS content FROM conversations WHERE role = 'assistant'
+), j AS (
+  SELECT coalesce(l.conv_id, r.conv_id) AS conv_id, coalesce(l.call_id, r.call_id) AS call_id, level, name, words, turn, text, content,
+         CASE WHEN l.call_id IS NULL THEN 'orphan_result' WHEN r.call_id IS NULL THEN 'no_result' ELSE 'linked' END AS status
+  FROM l FULL JOIN r ON l.call_id = r.call_id
+), e AS (
+  SELECT *, CASE WHEN status = 'orphan_result' THEN '' ELSE
+    concat_ws(';', CASE WHEN text = '' THEN '$.text: minLength' END, CASE WHEN words > CASE name WHEN 'discuss' THEN 60 ELSE 40 END THEN '$.words: maximum' END) END AS errors
+  FROM j
+)
+SELECT conv_id, call_id, level, name, status, errors = '' AND status <> 'orphan_result' AS valid, errors,
+       '{"arguments":' || CASE WHEN status = 'orphan_result' THEN 'null' ELSE '{"text":' || to_json(text)::VARCHAR || ',"turn":' || turn || ',"words":' || words || '}' END
+       || ',"id":"' || call_id || '","level":' || coalesce(level::VARCHAR, 'null') || ',"name":' || coalesce('"' || name || '"', 'null')
+       || ',"result":' || coalesce(to_json(content)::VARCHAR, 'null') || ',"status":"' || status || '"}' AS message
+FROM e
+""",
+    "op7_warc": """
+WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS digest, octet_length(encode(coalesce(html, '')))::BIGINT AS bytes FROM pages),
+f AS (SELECT digest, min(page_id) AS first_id FROM p WHERE bytes >= 100 GROUP BY digest)
+SELECT page_id, bytes AS payload_bytes, p.digest AS payload_digest,
+       CASE WHEN first_id < page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first_id < page_id THEN first_id END AS refers_to
+FROM p LEFT JOIN f ON p.digest = f.digest
+""",
+    "op9_licenses": _license_sql(),
     "op3_mixing": r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
