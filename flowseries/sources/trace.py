@@ -2,7 +2,7 @@
 
 Files are cut at multiples of the record length; a last partial record belongs to no part. Paths may be any that
 pyarrow's file systems open. Options: ``kind``; ``mode`` (FAILFAST, PERMISSIVE with ``_corrupt``, DROPMALFORMED) for
-records without the marker; ``partitionBytes``; ``columns``, a list of fields to decode; ``maxBytesPerTrigger``.
+records without the marker; ``partitionBytes``; ``columns``, a list of fields to decode.
 """
 
 from __future__ import annotations
@@ -103,7 +103,6 @@ class _Options:
         self.kind, self.path = KINDS[options["kind"]], options.get("path", "")
         self.mode = options.get("mode", "FAILFAST").upper()
         self.part_bytes = int(options.get("partitionBytes", 64 << 20))
-        self.per_trigger = int(options.get("maxBytesPerTrigger", 1 << 40))
         self.fields = [f.name for f in schema]
 
     def whole(self, length: int) -> int:
@@ -124,24 +123,17 @@ class TraceReader(DataSourceReader):
 
 
 class TraceStreamReader(DataSourceStreamReader):
-    """Offsets are bytes of each file, whole records only; a trigger takes ``maxBytesPerTrigger`` at most."""
+    """Offsets are bytes of each file, whole records only. A trigger takes all that is there, in parts as a batch
+    does: Spark doesn't tell a Python source where it stands, so a limit for each trigger couldn't survive a restart."""
 
     def __init__(self, options, schema: T.StructType):
         self.o = _Options(options, schema)
-        self.last: dict[str, int] = {}
 
     def initialOffset(self) -> dict:
         return {}
 
     def latestOffset(self) -> dict:
-        room, out = self.o.per_trigger, dict(self.last)
-        for path, length in list_files(self.o.path):
-            done = out.get(path, 0)
-            step = self.o.whole(min(room, self.o.whole(length) - done))
-            if step > 0:
-                out[path], room = done + step, room - step
-        self.last = out
-        return out
+        return {path: self.o.whole(length) for path, length in list_files(self.o.path)}
 
     def partitions(self, start: dict, end: dict) -> list[TracePart]:
         size = self.o.kind.size
