@@ -6,12 +6,12 @@ from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowseries.functions.addresses import series_id
 from flowseries.operators.points import POINT_COLUMNS
-from flowseries.operators.windows import pair_series
+from flowseries.operators.windows import cumulative, pair_series, with_previous
 from flowseries.schema import FLOAT, INT
 
 
@@ -102,12 +102,11 @@ class DuplicateAcks(Metric):
 
     name, description = "DUP_ACK", "ACK_NUM as in the packet before"
 
-    def __init__(self, ack: str = "ACK_NUM"):
-        self.required = (ack,)
+    def __init__(self, ack: str = "ACK_NUM", time_bucket: float | None = None):
+        self.required, self.time_bucket = (ack,), time_bucket
 
     def compute(self, points: DataFrame) -> DataFrame:
-        w = Window.partitionBy("flow_id").orderBy("ts_ns", "ts")
-        again = points.withColumn("_p", F.lag("value_int").over(w)).filter(F.col("value_int") == F.col("_p"))
+        again = with_previous(points, {"v": F.col("value_int")}, self.time_bucket, "flow_id").filter(F.col("value_int") == F.col("_previous.v"))
         return as_series(again, self.name, INT, F.col("value_int"))
 
 
@@ -118,17 +117,17 @@ class Retransmissions(Metric):
 
     name, description = "RETRANS", "SEQ_NUM behind the highest before"
 
-    def __init__(self, seq: str = "SEQ_NUM"):
-        self.required = (seq,)
+    def __init__(self, seq: str = "SEQ_NUM", time_bucket: float | None = None):
+        self.required, self.time_bucket = (seq,), time_bucket
 
     def compute(self, points: DataFrame) -> DataFrame:
-        w = Window.partitionBy("flow_id").orderBy("ts_ns", "ts")
         half, circle = 1 << 31, 1 << 32
         # Unwrapped: each step goes the shorter way round, and steps add up.
-        step = (F.col("value_int") - F.lag("value_int").over(w)) % circle
-        moved = F.coalesce(F.when((step + circle) % circle >= half, (step + circle) % circle - circle).otherwise((step + circle) % circle), F.lit(0))
-        unwrapped = points.withColumn("_s", moved).withColumn("_u", F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        behind = unwrapped.withColumn("_m", F.max("_u").over(w.rowsBetween(Window.unboundedPreceding, -1))).filter(F.col("_u") <= F.col("_m"))
+        stepped = with_previous(points, {"v": F.col("value_int")}, self.time_bucket, "flow_id")
+        step = F.pmod(F.col("value_int") - F.col("_previous.v"), F.lit(circle))
+        stepped = stepped.withColumn("_s", F.coalesce(F.when(step >= half, step - circle).otherwise(step), F.lit(0)))
+        unwrapped = cumulative(stepped, F.col("_s"), "sum", "_u", self.time_bucket, "flow_id")
+        behind = cumulative(unwrapped, F.col("_u"), "max", "_m", self.time_bucket, "flow_id", strict=True).filter(F.col("_u") <= F.col("_m"))
         return as_series(behind, self.name, INT, F.col("value_int"))
 
 

@@ -19,12 +19,6 @@ def _in_order(by: str = SERIES):
     return Window.partitionBy(by).orderBy("ts")
 
 
-def rate(points: DataFrame, into: str = "rate") -> DataFrame:
-    """Change of the value over change of time since the point before, null at the first."""
-    w, v = _in_order(), value_num()
-    return points.withColumn(into, (v - F.lag(v).over(w)) / F.nullif(F.col("ts") - F.lag("ts").over(w), F.lit(0.0)))
-
-
 def twma(points: DataFrame, n: int, into: str = "average") -> DataFrame:
     """Average of the last ``n`` values weighted by the time since the point before; null when that time is 0."""
     w = _in_order()
@@ -43,6 +37,34 @@ def _bucketed(points: DataFrame, width: float, total: Column, carried: str, by:
     return keyed.join(totals, [by, "_b"])
 
 
+def with_previous(points: DataFrame, values: dict[str, Column], time_bucket: float | None = None, by: str = SERIES) -> DataFrame:
+    """Adds ``_previous``, a struct of ``values`` at the point before, null at the first."""
+    row = F.struct(*[c.alias(n) for n, c in values.items()])
+    if time_bucket is None:
+        return points.withColumn("_previous", F.lag(row).over(_in_order(by)))
+    b = _bucketed(points, time_bucket, F.max_by(row, "ts"), "last", by)
+    w = Window.partitionBy(by, "_b").orderBy("ts")
+    return b.withColumn("_previous", F.coalesce(F.lag(row).over(w), F.col("carry"))).drop("_b", "carry")
+
+
+def rate(points: DataFrame, time_bucket: float | None = None, into: str = "rate") -> DataFrame:
+    """Change of the value over change of time since the point before, null at the first."""
+    before = with_previous(points, {"v": value_num(), "ts": F.col("ts")}, time_bucket)
+    change = (value_num() - F.col("_previous.v")) / F.nullif(F.col("ts") - F.col("_previous.ts"), F.lit(0.0))
+    return before.withColumn(into, change).drop("_previous")
+
+
+def cumulative(points: DataFrame, value: Column, how: str, into: str, time_bucket: float | None = None, by: str = SERIES, strict: bool = False) -> DataFrame:
+    """Running ``sum`` or ``max`` of ``value`` up to each point, or with ``strict`` up to the one before."""
+    f, last = {"sum": F.sum, "max": F.max}[how], -1 if strict else 0
+    if time_bucket is None:
+        return points.withColumn(into, f(value).over(_in_order(by).rowsBetween(Window.unboundedPreceding, last)))
+    b = _bucketed(points, time_bucket, f(value), how, by)
+    inside = f(value).over(Window.partitionBy(by, "_b").orderBy("ts").rowsBetween(Window.unboundedPreceding, last))
+    both = F.greatest(inside, F.col("carry")) if how == "max" else F.coalesce(inside, F.lit(0)) + F.col("carry")
+    return b.withColumn(into, both).drop("_b", "carry")
+
+
 def series_index(points: DataFrame, time_bucket: float | None = None, into: str = "index") -> DataFrame:
     """Position of each point in its series, from 0."""
     if time_bucket is None:
@@ -60,12 +82,7 @@ def every_nth(points: DataFrame, n: int, time_bucket: float | None = None) -> Da
 
 
 def running_max(points: DataFrame, time_bucket: float | None = None, into: str = "running_max") -> DataFrame:
-    v = value_num()
-    if time_bucket is None:
-        return points.withColumn(into, F.max(v).over(_in_order().rowsBetween(Window.unboundedPreceding, 0)))
-    b = _bucketed(points, time_bucket, F.max(v), "max")
-    w = Window.partitionBy(SERIES, "_b").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    return b.withColumn(into, F.greatest(F.max(v).over(w), F.col("carry"))).drop("_b", "carry")
+    return cumulative(points, value_num(), "max", into, time_bucket)
 
 
 def first_last(points: DataFrame) -> DataFrame:

@@ -85,7 +85,7 @@ on_points("decimate", f"WITH {P_SQL}, i AS (SELECT *, row_number() OVER (PARTITI
 on_points("twma", f"WITH {P_SQL}, t AS (SELECT *, coalesce(ts - lag(ts) OVER w, 0) AS d FROM p WINDOW w AS (PARTITION BY series_id ORDER BY ts)) SELECT flow_id, series_id, name, ts, round(sum(v * d) OVER w / nullif(sum(d) OVER w, 0), 6) AS average FROM t WINDOW w AS (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)", lambda p: windows.twma(p, 5).select(*_COLS, _r("average").alias("average")))
 on_points("running_max", f"WITH {P_SQL} SELECT flow_id, series_id, name, ts, max(v) OVER (PARTITION BY series_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS running_max FROM p", lambda p: windows.running_max(p, DAY).select(*_COLS, "running_max"))
 on_points("asof_fill", f"WITH {P_SQL}, s AS (SELECT *, last_value(CASE WHEN name = 'click' THEN v END IGNORE NULLS) OVER (PARTITION BY flow_id ORDER BY ts, name <> 'click' ROWS UNBOUNDED PRECEDING) AS latest FROM p WHERE name IN ('view', 'click')) SELECT flow_id, series_id, name, ts, v AS value, latest FROM s WHERE name = 'view'", lambda p: windows.asof_fill(p, "view", "click", DAY).select(*_COLS, value_num().alias("value"), "latest"))
-on_packets("counter_rate", f"WITH {K_SQL} SELECT series_id, ts, round(1e9 * (value_int - lag(value_int) OVER w) / nullif(ts - lag(ts) OVER w, 0), 6) AS rate FROM q WHERE name = 'SEQ_NUM' WINDOW w AS (PARTITION BY series_id ORDER BY ts)", lambda k: windows.rate(points.to_points(k, "packet").filter("name = 'SEQ_NUM'")).select("series_id", "ts", _r(F.col("rate") * 1e9).alias("rate")))
+on_packets("counter_rate", f"WITH {K_SQL} SELECT series_id, ts, round(1e9 * (value_int - lag(value_int) OVER w) / nullif(ts - lag(ts) OVER w, 0), 6) AS rate FROM q WHERE name = 'SEQ_NUM' WINDOW w AS (PARTITION BY series_id ORDER BY ts)", lambda k: windows.rate(points.to_points(k, "packet").filter("name = 'SEQ_NUM'"), 1000 * DAY).select("series_id", "ts", _r(F.col("rate") * 1e9).alias("rate")))
 
 
 @key("event_rate", f"WITH {E_SQL}, c AS (SELECT flow_id AS series_id, us // 3600000000 * 3600 AS h, count(*) FILTER (WHERE event_type <> 'error') AS handled, count(*) FILTER (WHERE event_type = 'error') AS dropped FROM e GROUP BY ALL), s AS (SELECT series_id, h::DOUBLE AS ts, sum(handled) OVER w AS handled, sum(dropped) OVER w AS dropped FROM c WINDOW w AS (PARTITION BY series_id ORDER BY h ROWS UNBOUNDED PRECEDING)) SELECT series_id, ts, round((handled + dropped - lag(handled + dropped) OVER w) / (ts - lag(ts) OVER w), 9) AS event_rate FROM s WINDOW w AS (PARTITION BY series_id ORDER BY ts)")
@@ -156,8 +156,8 @@ on_probe("metric_upper_window_bounds", f"{_UPPER} SELECT flow_id, {_SID.format('
 on_probe("metric_requirements", f"WITH {L_SQL} SELECT flow_id FROM l WHERE name IN ('SND_UNA', 'SND_WND') GROUP BY flow_id HAVING count(DISTINCT name) = 2", lambda p: metrics.get("UPPER_WND").complete_flows(p))
 on_probe("metric_preview", f"{_UPPER} SELECT flow_id, name, ts, coalesce(value_int, value_float)::DOUBLE AS value FROM o UNION ALL SELECT flow_id, 'UPPER_WND', ts, value::DOUBLE FROM z", lambda p: metrics.get("UPPER_WND").preview(points.split_duplicates(p, _ORDER)[0]).select("flow_id", "name", "ts", value_num().alias("value")))
 _packet_points = lambda k: points.to_points(k, "packet")
-on_packets("dup_acks", f"WITH {K_SQL}, z AS (SELECT flow_id, ts, value_int AS value, lag(value_int) OVER (PARTITION BY flow_id ORDER BY ts) AS before FROM q WHERE name = 'ACK_NUM') SELECT flow_id, {_SID.format('DUP_ACK')}, ts, value FROM z WHERE value = before", lambda k: metrics.get("DUP_ACK").run(_packet_points(k)).select("flow_id", "series_id", "ts", F.col("value_int").alias("value")))
-on_packets("retransmissions", f"WITH {K_SQL}, z AS (SELECT flow_id, ts, value_int AS value, max(value_int) OVER (PARTITION BY flow_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM q WHERE name = 'ACK_NUM') SELECT flow_id, {_SID.format('RETRANS')}, ts, value FROM z WHERE value <= top", lambda k: metrics.get("RETRANS", seq="ACK_NUM").run(_packet_points(k)).select("flow_id", "series_id", "ts", F.col("value_int").alias("value")))
+on_packets("dup_acks", f"WITH {K_SQL}, z AS (SELECT flow_id, ts, value_int AS value, lag(value_int) OVER (PARTITION BY flow_id ORDER BY ts) AS before FROM q WHERE name = 'ACK_NUM') SELECT flow_id, {_SID.format('DUP_ACK')}, ts, value FROM z WHERE value = before", lambda k: metrics.get("DUP_ACK", time_bucket=1000 * DAY).run(_packet_points(k)).select("flow_id", "series_id", "ts", F.col("value_int").alias("value")))
+on_packets("retransmissions", f"WITH {K_SQL}, z AS (SELECT flow_id, ts, value_int AS value, max(value_int) OVER (PARTITION BY flow_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM q WHERE name = 'ACK_NUM') SELECT flow_id, {_SID.format('RETRANS')}, ts, value FROM z WHERE value <= top", lambda k: metrics.get("RETRANS", seq="ACK_NUM", time_bucket=1000 * DAY).run(_packet_points(k)).select("flow_id", "series_id", "ts", F.col("value_int").alias("value")))
 on_points("metric_random", None, lambda p: metrics.get("tst_rndm", source="view").run(p).select("flow_id", "series_id", "ts", F.col("value_float").alias("value")))
 
 

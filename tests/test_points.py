@@ -128,7 +128,8 @@ def test_decimation_count_and_rate(spark):
         assert windows.every_nth(p, n).count() == -(-7 // n)
     with pytest.raises(ValueError):
         windows.every_nth(p, 0)
-    assert [r.rate for r in windows.rate(p).orderBy("ts").collect()][:3] == [None, 0.0, 2.0]
+    for bucket in (None, 0.7, 10.0):
+        assert [r.rate for r in windows.rate(p, bucket).orderBy("ts").collect()][:3] == [None, 0.0, 2.0]
     assert [r.average for r in windows.twma(p, 2).orderBy("ts").collect()][:3] == [None, 10.0, 10.5]
 
 
@@ -158,12 +159,13 @@ def test_upper_window(spark):
         metrics.get("UPPER_WND", strict=True).run(mixed).collect()
 
 
-def test_acks_and_retransmissions(spark):
+@pytest.mark.parametrize("bucket", [None, 1.0, 2.5])
+def test_acks_and_retransmissions(spark, bucket):
     acks = pts(spark, [(1, "ACK_NUM", t, v) for t, v in enumerate((5, 5, 6, 5, 5))])
-    assert sorted(r.ts for r in metrics.get("DUP_ACK").run(acks).collect()) == [1.0, 4.0]
+    assert sorted(r.ts for r in metrics.get("DUP_ACK", time_bucket=bucket).run(acks).collect()) == [1.0, 4.0]
     top = (1 << 32) - 10
     seqs = pts(spark, [(1, "SEQ_NUM", t, v) for t, v in enumerate((top, 5, top + 2, 100, 100, 50, 200))])
-    assert sorted(r.ts for r in metrics.get("RETRANS").run(seqs).collect()) == [2.0, 4.0, 5.0]
+    assert sorted(r.ts for r in metrics.get("RETRANS", time_bucket=bucket).run(seqs).collect()) == [2.0, 4.0, 5.0]
 
 
 def test_random_series(spark):
