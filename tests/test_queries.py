@@ -35,4 +35,4 @@ def test_entry_points():
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
-    assert len(registry.QUERIES) >= 95
+    assert len(registry.QUERIES) >= 94
