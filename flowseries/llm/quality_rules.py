@@ -53,13 +53,15 @@ _TO_SPACE = bytes(c if c >= 0x80 or chr(c).isalpha() else 32 for c in range(256)
 
 @dataclass(frozen=True)
 class QualityLimits:
-    """``min_words``, ``max_repeat_share``: base rules. A distance counts from its minimum of words on."""
+    """``min_words``, ``max_repeat_share``: base rules. A distance counts from its minimum of words on; short texts
+    scatter more about their language, so the limit on classes is wider by ``class_slack`` over the root of the words."""
 
     min_words: int = 50
     max_repeat_share: float = 0.5
-    max_class_distance: float = 0.19
+    max_class_distance: float = 0.18
+    class_slack: float = 0.25
     class_min_words: int = 50
-    max_word_distance: float = 0.27
+    max_word_distance: float = 0.31
     word_min_words: int = 150
 
 
@@ -153,7 +155,8 @@ def judge(raw: bytes | None, lang: str | None, references: dict, limits: Quality
             near_class = js_distance(class_histogram(counts), np.array(classes))
         if n >= limits.word_min_words:
             near_word = js_distance(word_histogram(raw, lang), np.array(common))
-    kept = not failed and (near_class or 0) <= limits.max_class_distance and (near_word or 0) <= limits.max_word_distance
+    class_limit = limits.max_class_distance + limits.class_slack / max(1, n) ** 0.5
+    kept = not failed and (near_class or 0) <= class_limit and (near_word or 0) <= limits.max_word_distance
     chars = int(counts.sum() - counts[_CONTINUES].sum() - counts[_SPACES].sum())
     return n, chars, int(counts[_SYMBOLS].sum()), len(lines) - len(set(lines)), repeat, failed, kept, near_class, near_word
 
