@@ -39,6 +39,10 @@ class Metric:
         """``points`` with the new series."""
         return points.select(*POINT_COLUMNS).unionByName(self.run(points))
 
+    def save(self, store, points: DataFrame) -> None:
+        """The new series into a store; saving again adds nothing."""
+        store.save_series(self.run(points))
+
 
 _REGISTRY: dict[str, Callable[..., Metric]] = {}
 

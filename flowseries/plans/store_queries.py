@@ -68,9 +68,9 @@ def series_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 @key("metric_save", f"WITH {L_SQL}, z AS (SELECT a.flow_id, a.ts, a.value_int + b.value_int AS value FROM o a JOIN o b ON a.flow_id = b.flow_id AND a.ts = b.ts WHERE a.name = 'SND_UNA' AND b.name = 'SND_WND') SELECT flow_id, 'UPPER_WND' AS name, ts, value FROM z")
 def metric_save(spark: SparkSession, sf_dir: str) -> DataFrame:
     store, p = _probe_store(spark, sf_dir)
-    derived = metrics.get("UPPER_WND").run(p)
-    store.save_series(derived)
-    store.save_series(derived)  # saving again adds nothing
+    upper = metrics.get("UPPER_WND")
+    upper.save(store, p)
+    upper.save(store, p)  # saving again adds nothing
     series = store.series_table.filter("name = 'UPPER_WND'").drop("type")
     return store.data.join(series, "time_series_id").select("flow_id", "name", "ts", F.col("value_int").alias("value"))
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from flowseries.functions.addresses import TUPLE, with_flow
 from flowseries.operators.points import catalog, split_duplicates, to_points
+from flowseries.operators.windows import rate
 from flowseries.sources.store import FlowStore
 
 
@@ -52,13 +53,17 @@ def run_metrics(events: DataFrame) -> DataFrame:
 
 def event_rate(counters: DataFrame) -> DataFrame:
     """Handled and dropped events a second between samples (ts in seconds, handled, dropped), by ``series_id``."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("series_id").orderBy("ts")
     total = F.col("handled") + F.col("dropped")
     return counters.withColumn("event_rate", (total - F.lag(total).over(w)) / F.nullif(F.col("ts") - F.lag("ts").over(w), F.lit(0.0)))
 
 
+def write_speed(samples: DataFrame) -> DataFrame:
+    """Bytes a second between samples (series_id, ts in seconds, bytes) of the trace files' total size."""
+    points = samples.withColumns({"value_int": F.col("bytes").cast("long"), "value_float": F.lit(None).cast("double")})
+    return rate(points, into="bytes_per_second").drop("value_int", "value_float")
+
+
 def write_run_metrics(events: DataFrame, path: str) -> None:
     """The counters as one JSON object in one file."""
     run_metrics(events).coalesce(1).write.mode("overwrite").json(path)

@@ -134,6 +134,11 @@ def test_run_metrics_file(spark, tmp_path):
     assert json.loads(text) == {"handled": 2, "dropped": 1, "ingress": 1, "egress": 0, "ingress_calls": 0, "egress_calls": 1}
 
 
+def test_write_speed(spark):
+    samples = spark.createDataFrame([(1, 0.0, 100), (1, 2.0, 300), (1, 3.0, 300)], "series_id long, ts double, bytes long")
+    assert [r.bytes_per_second for r in live.write_speed(samples).orderBy("ts").collect()] == [None, 100.0, 0.0]
+
+
 def test_ingest_twice_changes_nothing(spark, tmp_path):
     rec = spark.createDataFrame([(5, 1, 7, False)], "time long, snd_cwnd long, n long, _corrupt boolean").withColumns({"family": F.lit(2), "addr_v4": F.lit(1 << 32 | 2).cast("long"), "ports": F.lit(65537).cast("long"), "src_v6": F.lit(bytes(16)), "dst_v6": F.lit(bytes(16))})
     store = FlowStore(spark, f"file://{tmp_path}/s")
