@@ -8,6 +8,8 @@ version. Points are clustered by series and time, so that a series' filter prune
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -176,25 +178,41 @@ class FlowStore:
     def append_points(self, points: DataFrame) -> None:
         """Points (series_id, ts, ts_ns, type, values) of known series. Fails if a point's type isn't its series'."""
         known = self.series_table.withColumnRenamed("time_series_id", "series_id")
-        if not mismatched(points, known).isEmpty():
-            raise TypeError("points of other types than their series")
-        rows = points.withColumnRenamed("series_id", "time_series_id")
-        now = self._current("time_series_data")
-        if now:
-            self._write("time_series_data", rows, now, "append")
-        else:
-            self._publish("time_series_data", rows)
+        with held(points):
+            if not mismatched(points, known).isEmpty():
+                raise TypeError("points of other types than their series")
+            rows = points.withColumnRenamed("series_id", "time_series_id")
+            now = self._current("time_series_data")
+            if now:
+                self._write("time_series_data", rows, now, "append")
+            else:
+                self._publish("time_series_data", rows)
 
     def merge_points(self, points: DataFrame) -> None:
         """``append_points`` for those of a (series, ts) that isn't stored yet, so that a batch can come twice."""
-        key = [F.col("series_id") == F.col("time_series_id"), points["ts"] == F.col("_ts")]
-        stored = self.data.select("time_series_id", F.col("ts").alias("_ts"))
-        self.append_points(points.join(stored, key, "left_anti"))
+        if self._current("time_series_data"):
+            key = [F.col("series_id") == F.col("time_series_id"), points["ts"] == F.col("_ts")]
+            points = points.join(self.data.select("time_series_id", F.col("ts").alias("_ts")), key, "left_anti")
+        self.append_points(points)
 
     def save_series(self, points: DataFrame) -> None:
         """Derived points: their series are created where missing, then the points are merged."""
-        self.ensure_series(points)
-        self.merge_points(points)
+        with held(points):
+            self.ensure_series(points)
+            self.merge_points(points)
+
+
+@contextmanager
+def held(df: DataFrame) -> Iterator[None]:
+    """``df`` kept (in memory, else on disk) while several jobs read it."""
+    kept = df.storageLevel.useMemory or df.storageLevel.useDisk or df.isStreaming
+    if not kept:
+        df.persist()
+    try:
+        yield
+    finally:
+        if not kept:
+            df.unpersist()
 
 
 class ForeignStore:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from flowseries.functions.addresses import TUPLE, with_flow
-from flowseries.operators.points import catalog, split_duplicates, to_points
+from flowseries.operators.points import split_duplicates, to_points
 from flowseries.operators.windows import rate
 from flowseries.sources.store import FlowStore
 
@@ -82,8 +82,7 @@ def ingest_batch(store: FlowStore, kind: str) -> Callable[[DataFrame, int], None
         flows = with_flow(good, kind)
         points = split_duplicates(to_points(flows, kind), ["ts_ns", "type", "value_int", "value_bool"])[0]
         store.add_flows(flows)
-        store.ensure_series(catalog(points))
-        store.merge_points(points)
+        store.save_series(points)
 
     return run
 
