@@ -19,15 +19,6 @@ def _in_order(by: str = SERIES):
     return Window.partitionBy(by).orderBy("ts")
 
 
-def twma(points: DataFrame, n: int, into: str = "average") -> DataFrame:
-    """Average of the last ``n`` values weighted by the time since the point before; null when that time is 0."""
-    w = _in_order()
-    d = F.coalesce(F.col("ts") - F.lag("ts").over(w), F.lit(0.0))
-    timed = points.withColumn("_d", d).withColumn("_v", value_num() * F.col("_d"))
-    last = w.rowsBetween(-(n - 1), 0)
-    return timed.withColumn(into, F.sum("_v").over(last) / F.nullif(F.sum("_d").over(last), F.lit(0.0))).drop("_d", "_v")
-
-
 def _bucketed(points: DataFrame, width: float, total: Column, carried: str, by: str = SERIES) -> DataFrame:
     """Adds ``_b``, the time bucket, and ``carry``: the buckets' ``total`` combined over all earlier buckets."""
     keyed = points.withColumn("_b", F.floor(F.col("ts") / width))
@@ -74,6 +65,25 @@ def series_index(points: DataFrame, time_bucket: float | None = None, into: str
     return b.withColumn(into, F.row_number().over(w) - 1 + F.col("carry")).drop("_b", "carry")
 
 
+def twma(points: DataFrame, n: int, time_bucket: float | None = None, into: str = "average", block: int = 1 << 16) -> DataFrame:
+    """Average of the last ``n`` values weighted by the time since the point before; null when that time is 0.
+
+    With ``time_bucket`` a series is cut into blocks of ``block`` points, and each block's last ``n`` points also
+    stand before the next one, so that the window never needs more.
+    """
+    keys, order = [SERIES], "ts"
+    if time_bucket is not None:
+        keys, order, block = [SERIES, "_block"], "_i", max(n, block)
+        own = F.floor(F.col("_i") / block)
+        to = F.when(F.col("_i") % block >= block - n, F.array(own, own + 1)).otherwise(F.array(own))
+        points = series_index(points, time_bucket, "_i").withColumn("_own", own).withColumn("_block", F.explode(to))
+    w = Window.partitionBy(*keys).orderBy(order)
+    timed = points.withColumn("_d", F.coalesce(F.col("ts") - F.lag("ts").over(w), F.lit(0.0))).withColumn("_v", value_num() * F.col("_d"))
+    last = w.rowsBetween(-(n - 1), 0)
+    out = timed.withColumn(into, F.sum("_v").over(last) / F.nullif(F.sum("_d").over(last), F.lit(0.0))).drop("_d", "_v")
+    return out if time_bucket is None else out.filter("_own = _block").drop("_i", "_own", "_block")
+
+
 def every_nth(points: DataFrame, n: int, time_bucket: float | None = None) -> DataFrame:
     """Points at positions 0, n, 2n and so on of each series."""
     if n < 1:

@@ -82,7 +82,7 @@ on_points("first_last_point", f"WITH {P_SQL} SELECT series_id, min(ts) AS first_
 on_points("extreme_points", f"WITH {P_SQL}, b AS (SELECT series_id, min(v) AS lo, max(v) AS hi FROM p GROUP BY series_id) SELECT series_id, min(ts) FILTER (WHERE v = lo) AS low_ts, lo AS low_value, min(ts) FILTER (WHERE v = hi) AS high_ts, hi AS high_value FROM p JOIN b USING (series_id) GROUP BY series_id, lo, hi", windows.extremes)
 on_points("points_of_series", f"WITH {P_SQL} SELECT ts, v AS value FROM p WHERE series_id = {_IDS[0]} ORDER BY ts", lambda p: p.filter(F.col("series_id") == _IDS[0]).orderBy("ts").select("ts", value_num().alias("value")))
 on_points("decimate", f"WITH {P_SQL}, i AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS i FROM p) SELECT flow_id, series_id, name, ts, v AS value FROM i WHERE i % 4 = 0", lambda p: windows.every_nth(p, 4, DAY).select(*_COLS, value_num().alias("value")))
-on_points("twma", f"WITH {P_SQL}, t AS (SELECT *, coalesce(ts - lag(ts) OVER w, 0) AS d FROM p WINDOW w AS (PARTITION BY series_id ORDER BY ts)) SELECT flow_id, series_id, name, ts, round(sum(v * d) OVER w / nullif(sum(d) OVER w, 0), 6) AS average FROM t WINDOW w AS (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)", lambda p: windows.twma(p, 5).select(*_COLS, _r("average").alias("average")))
+on_points("twma", f"WITH {P_SQL}, t AS (SELECT *, coalesce(ts - lag(ts) OVER w, 0) AS d FROM p WINDOW w AS (PARTITION BY series_id ORDER BY ts)) SELECT flow_id, series_id, name, ts, round(sum(v * d) OVER w / nullif(sum(d) OVER w, 0), 6) AS average FROM t WINDOW w AS (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)", lambda p: windows.twma(p, 5, DAY).select(*_COLS, _r("average").alias("average")))
 on_points("running_max", f"WITH {P_SQL} SELECT flow_id, series_id, name, ts, max(v) OVER (PARTITION BY series_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS running_max FROM p", lambda p: windows.running_max(p, DAY).select(*_COLS, "running_max"))
 on_points("asof_fill", f"WITH {P_SQL}, s AS (SELECT *, last_value(CASE WHEN name = 'click' THEN v END IGNORE NULLS) OVER (PARTITION BY flow_id ORDER BY ts, name <> 'click' ROWS UNBOUNDED PRECEDING) AS latest FROM p WHERE name IN ('view', 'click')) SELECT flow_id, series_id, name, ts, v AS value, latest FROM s WHERE name = 'view'", lambda p: windows.asof_fill(p, "view", "click", DAY).select(*_COLS, value_num().alias("value"), "latest"))
 on_packets("counter_rate", f"WITH {K_SQL} SELECT series_id, ts, round(1e9 * (value_int - lag(value_int) OVER w) / nullif(ts - lag(ts) OVER w, 0), 6) AS rate FROM q WHERE name = 'SEQ_NUM' WINDOW w AS (PARTITION BY series_id ORDER BY ts)", lambda k: windows.rate(points.to_points(k, "packet").filter("name = 'SEQ_NUM'"), 1000 * DAY).select("series_id", "ts", _r(F.col("rate") * 1e9).alias("rate")))

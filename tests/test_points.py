@@ -130,6 +130,9 @@ def test_decimation_count_and_rate(spark):
         windows.every_nth(p, 0)
     for bucket in (None, 0.7, 10.0):
         assert [r.rate for r in windows.rate(p, bucket).orderBy("ts").collect()][:3] == [None, 0.0, 2.0]
+    whole = [r.average for r in windows.twma(p, 3).orderBy("ts").collect()]
+    for block in (1, 4, 100):
+        assert [r.average for r in windows.twma(p, 3, 2.0, block=block).orderBy("ts").collect()] == whole
     assert [r.average for r in windows.twma(p, 2).orderBy("ts").collect()][:3] == [None, 10.0, 10.5]
 
 
