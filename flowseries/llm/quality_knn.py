@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowseries.llm.batches import sliced
+
 _N_CLASSES = 12
 _SHAPE_BINS = 12
 _SHAPES = 5
@@ -99,7 +101,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 4000, dimensions
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("raw")).join(F.broadcast(sample), "doc_id").select("doc_id", "raw", "quality")
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             packed = [term_counts(raw).tobytes() for raw in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), batch.column(2)], names=["doc_id", "terms", "quality"])
 

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowseries.llm.batches import sliced
+
 # Frequent function words of each language.
 COMMON_WORDS: dict[str, tuple[str, ...]] = {
     "en": ("the", "of", "and", "to", "in", "a", "is", "that", "for", "it", "as", "was", "with", "be", "by", "on", "not", "he", "this", "are", "or", "at", "from"),
@@ -118,7 +120,7 @@ def _column(batch: pa.RecordBatch, name: str) -> list:
 
 
 def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         langs, classes, words = [], [], []
         for lang, raw in zip(_column(batch, "lang"), _column(batch, "raw"), strict=True):
             h = word_histogram(raw or b"", lang)
@@ -174,7 +176,7 @@ def quality_verdicts(docs: DataFrame, limits: QualityLimits = QualityLimits(), r
     refs = language_references(docs) if references is None else references
 
     def verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [judge(raw, lang, refs, limits) for lang, raw in zip(_column(batch, "lang"), _column(batch, "raw"), strict=True)]
             cols = list(zip(*rows, strict=True)) or [()] * len(VERDICT)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, VERDICT.values(), strict=True))], names=["doc_id", *VERDICT])
@@ -190,7 +192,7 @@ def quality_filter(docs: DataFrame, limits: QualityLimits = QualityLimits(), ref
     text, lang = columns.index("text"), columns.index("lang")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             raws, langs = batch.column(text).cast(pa.binary()).to_pylist(), batch.column(lang).to_pylist()
             yield batch.filter(pa.array([judge(raw, la, refs, limits)[6] for raw, la in zip(raws, langs, strict=True)], pa.bool_()))
 

@@ -21,13 +21,18 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet under the shared folder and read it back: a lost executor then costs a re-read,
-    not a recomputation, and the plan above starts from a scan."""
+def stored(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """Write ``df`` as Parquet under the shared folder and read it back: a lost executor then costs a re-read, not a
+    recomputation, and the plan above starts from a scan. Also gives the path, for ``delete``."""
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """``stored`` for a table that the result still reads."""
+    return stored(df, tag)[0]
 
 
 def delete(spark: SparkSession, path: str) -> None:

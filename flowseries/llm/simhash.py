@@ -32,7 +32,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowseries.llm.scratch import written
+from flowseries.llm.batches import sliced
+from flowseries.llm.scratch import delete, stored, written
 
 SEED = 42
 #: Linked fingerprints differ in so many bits at most; the midpoints rest on its being 2.
@@ -68,7 +69,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """``doc_id, fp`` (long) for every row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             fps = pa.array([simhash(raw, shingle) for raw in batch.column(1).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), fps], names=["doc_id", "fp"])
 
@@ -119,7 +120,8 @@ def links(fps: DataFrame, bucket_pairs: int = 64) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """``node, root``: for every node of ``edges`` (a, b) the smallest node that it reaches. Alternating large-star
     and small-star rounds; nodes and edges stay on the executors, one count comes back each round."""
-    edges = written(edges.select("a", "b").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    spark = edges.sparkSession
+    edges, path = stored(edges.select("a", "b").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -127,7 +129,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "a").filter(F.col("b") > F.col("a")).select(F.col("m").alias("a"), "b").filter("a <> b").distinct()
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(low, "b").select(F.col("m").alias("x"), F.explode(F.array("a", "b")).alias("y")).filter("x <> y").distinct()
-        edges = written(small.select(F.col("x").alias("a"), F.col("y").alias("b")), "edges")
+        before_path = path
+        edges, path = stored(small.select(F.col("x").alias("a"), F.col("y").alias("b")), "edges")
+        delete(spark, before_path)
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == before:
             break
