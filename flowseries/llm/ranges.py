@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,11 +24,17 @@ def range_bounds(df: DataFrame, key: str) -> list:
 
 
 def range_bucket(key: Column, bounds: list, kind: str) -> Column:
-    """0 for keys up to the first bound, and so on; null keys: 0."""
+    """0 for keys up to the first bound, and so on; null keys: 0. Bounds are looked up in two steps, so that
+    thousands of them cost some tens of comparisons a row."""
     if not bounds:
         return F.lit(0)
-    at = F.size(F.filter(F.array(*[F.lit(b).cast(kind) for b in bounds]), lambda b: b < key))
-    return F.when(key.isNull(), F.lit(0)).otherwise(at)
+    m = math.isqrt(len(bounds) - 1) + 1
+    groups = [bounds[i : i + m] for i in range(0, len(bounds), m)]
+    literal = lambda values: F.array(*[F.lit(v).cast(kind) for v in values])
+    below = lambda values: F.size(F.filter(values, lambda b: b < key))
+    passed = below(literal([g[-1] for g in groups]))
+    within = let(passed, lambda i: F.least(i * m, F.lit(len(bounds))) + F.coalesce(below(F.get(F.array(*map(literal, groups)), i)), F.lit(0)))
+    return F.when(key.isNull(), F.lit(0)).otherwise(within)
 
 
 def running_total(df: DataFrame, key: str, ties: list[str], value: str, into: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowseries.llm.scratch import written
+from flowseries.llm.scratch import delete, stored, written
 
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
@@ -71,19 +71,19 @@ def canonical(value: Any) -> str:
 def levels(calls: DataFrame) -> DataFrame:
     """``call_id, level`` of distinct calls (call_id, parent_id)."""
     state = calls.select("call_id", F.col("parent_id").alias("up"), F.when(F.col("parent_id").isNull(), 0).otherwise(1).cast("long").alias("level"))
-    total, open_ = None, None
-    state = written(state.filter("call_id IS NOT NULL"), "levels")
+    state, path = stored(state.filter("call_id IS NOT NULL"), "levels")
     rounds = 0
     while True:
-        now = state.agg(F.count(F.lit(1)), F.count("up")).first()
-        total, open_ = now
+        total, open_ = state.agg(F.count(F.lit(1)), F.count("up")).first()
         if not open_ or rounds > math.log2(total + 1) + 1:
             break
         above = state.select(F.col("call_id").alias("_id"), F.col("up").alias("_up"), F.col("level").alias("_level"))
         joined = state.join(above, F.col("up") == F.col("_id"), "left")
         # A parent that isn't there starts no longer chain: that step isn't counted.
         level = F.when(F.col("up").isNull(), F.col("level")).when(F.col("_id").isNull(), F.col("level") - 1).otherwise(F.col("level") + F.col("_level"))
-        state = written(joined.select("call_id", F.col("_up").alias("up"), level.alias("level")), "levels")
+        before = path
+        state, path = stored(joined.select("call_id", F.col("_up").alias("up"), level.alias("level")), "levels")
+        delete(calls.sparkSession, before)
         rounds += 1
     return state.select("call_id", F.when(F.col("up").isNull(), F.col("level")).alias("level"))
 

@@ -553,3 +553,12 @@ def test_js_distance():
     assert quality_rules.js_distance(np.array([1.0, 0]), np.array([0, 5.0])) == pytest.approx(1)
     assert quality_rules.js_distance(np.array([1.0, 1]), np.array([3.0, 3])) == pytest.approx(0)
     assert quality_rules.js_distance(np.array([0.0, 0]), np.array([3.0, 3])) == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 7, 100])
+def test_range_buckets(spark, n):
+    from flowseries.llm.ranges import range_bucket
+
+    bounds = sorted({(i * 37) % 501 for i in range(n)})
+    rows = spark.range(-3, 505).select("id", range_bucket(F.col("id"), bounds, "bigint").alias("b")).collect()
+    assert all(r.b == sum(x < r.id for x in bounds) for r in rows)
