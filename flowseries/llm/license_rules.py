@@ -20,6 +20,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowseries.llm.batches import fresh
 from flowseries.llm.ranges import let
 
 # Identifiers and sentences of public licences and of common statements about them.
@@ -106,7 +107,9 @@ def _identifiers(text: Column, known: dict[str, str]) -> Column:
 
 def scan(docs: DataFrame) -> DataFrame:
     """``docs`` with ``sentence_ids`` (array in the order of the text), ``licences`` (array in the order of the
-    rules, each once) and ``left_over`` (number of identifiers that no rule used)."""
+    rules, each once) and ``left_over`` (number of identifiers that no rule used), in place of columns so named."""
+    docs = docs.drop("sentence_ids", "licences", "left_over")
+    (own,) = fresh(docs, "result")
     known = known_sentences()
     none = F.array().cast("array<string>")
 
@@ -126,7 +129,7 @@ def scan(docs: DataFrame) -> DataFrame:
     out = docs.withColumn("sentence_ids", ids)
     nothing = F.struct(none.alias("licences"), F.lit(0).alias("left_over"))
     result = F.when(F.size("sentence_ids") > 0, let(state, lambda s: F.struct(F.array_distinct(s["found"]).alias("licences"), left(s).alias("left_over")))).otherwise(nothing)
-    return out.withColumn("_r", result).select(*docs.columns, "sentence_ids", F.col("_r.licences").alias("licences"), F.col("_r.left_over").alias("left_over"))
+    return out.withColumn(own, result).select(*docs.columns, "sentence_ids", F.col(f"{own}.licences").alias("licences"), F.col(f"{own}.left_over").alias("left_over"))
 
 
 def _applied(licence: str, sequence: str):

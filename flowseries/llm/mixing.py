@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowseries.llm.batches import fresh
 from flowseries.llm.ranges import running_total
 from flowseries.llm.scratch import written
 
@@ -81,8 +82,9 @@ def mix(docs: DataFrame, seed: int = 17) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
     """The mix itself: rows of ``docs`` as often as they are taken, with the columns of ``docs``."""
-    plan = mix(docs, seed).filter("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies")).distinct()
-    sized = docs.withColumn("_words", word_count(F.col("text")))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
-    joined = sized.join(plan, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    id_, source, size, copies, words, copy = fresh(docs, "id", "src", "size", "copies", "words", "copy")
+    plan = mix(docs, seed).filter("copies > 0").select(F.col("doc_id").alias(id_), F.col("source").alias(source), F.col("size").alias(size), F.col("copies").alias(copies)).distinct()
+    sized = docs.withColumn(words, word_count(F.col("text")))
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & F.col("source").eqNullSafe(F.col(source)) & (F.col(words) == F.col(size))
+    joined = sized.join(plan, same).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies))))
     return joined.select(*docs.columns)

@@ -112,10 +112,15 @@ def _scored(text: Column, rank: int, kind: str) -> Column:
     return spans if rank < BASE else F.filter(spans, lambda x: x["score"] >= KEEP)
 
 
+def pii_spans(text: Column) -> Column:
+    """Array of (start, rank, end, kind, score) by start, then kind as listed."""
+    clear = F.replace(F.coalesce(text, F.lit("")), F.lit(_MARK), F.lit(_OTHER))
+    return let(clear, lambda t: F.array_sort(F.concat(*[_scored(t, r, k) for r, k in enumerate(KINDS)])))
+
+
 def find_pii(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``pii``: array of (start, rank, end, kind, score) by start, then kind as listed."""
-    text = F.replace(F.coalesce("text", F.lit("")), F.lit(_MARK), F.lit(_OTHER))
-    return docs.withColumn("pii", let(text, lambda t: F.array_sort(F.concat(*[_scored(t, r, k) for r, k in enumerate(KINDS)]))))
+    """``docs`` with their spans as ``pii``, in place of a column so named."""
+    return docs.withColumn("pii", pii_spans(F.col("text")))
 
 
 def _listed(spans: Column) -> Column:
@@ -136,7 +141,6 @@ def pii_digest(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by its kind in angle brackets (overlapping spans by the first one's), and
     ``n_chars`` renewed where there is such a column."""
-    found = find_pii(docs)
 
     def blanked(text: Column, spans: Column) -> Column:
         begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
@@ -148,8 +152,8 @@ def redact(docs: DataFrame) -> DataFrame:
 
         return let(F.aggregate(spans, begin, step), lambda a: F.concat(F.array_join(a["parts"], ""), F.substring(text, a["at"] + 1, F.length(text))))
 
-    text = F.when(F.size("pii") > 0, blanked(F.col("text"), F.col("pii"))).otherwise(F.col("text"))
-    out = found.withColumn("text", text)
+    text = let(pii_spans(F.col("text")), lambda s: F.when(F.size(s) > 0, blanked(F.col("text"), s)).otherwise(F.col("text")))
+    out = docs.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowseries.llm.batches import sliced
+from flowseries.llm.batches import fresh, sliced
 from flowseries.llm.scratch import delete, stored, written
 
 SEED = 42
@@ -155,4 +155,5 @@ def one_of_each(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """The documents that are their component's smallest ``doc_id``, with all columns of ``docs``; of repeated rows
     of that id all stay."""
     kept = near_duplicates(docs, shingle).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept.withColumnRenamed("doc_id", "_kept_id"), F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    (own,) = fresh(docs, "kept_id")
+    return docs.join(kept.withColumnRenamed("doc_id", own), F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")
