@@ -11,7 +11,9 @@ Only identifiers take part in ordering; texts are shuffled once, for the join.
 
 Defined results: of several calls (results) with one identifier the smallest content counts; a result without a call
 is an orphan at no level; a call whose parent is missing starts a chain; calls in a cycle have no level; null or
-malformed arguments are invalid; null content is JSON null; null identifiers never link and are kept as they are.
+malformed arguments are invalid; null content is JSON null; a call or result with a null identifier (of its own or
+of its conversation) never links, has no level and is kept as it is, row by row. Identifiers count within their
+conversation: two conversations may use the same ones.
 """
 
 from __future__ import annotations
@@ -68,24 +70,27 @@ def canonical(value: Any) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
+_KEYED = "conv_id IS NOT NULL AND call_id IS NOT NULL"
+
+
 def levels(calls: DataFrame) -> DataFrame:
-    """``call_id, level`` of distinct calls (call_id, parent_id)."""
-    state = calls.select("call_id", F.col("parent_id").alias("up"), F.when(F.col("parent_id").isNull(), 0).otherwise(1).cast("long").alias("level"))
-    state, path = stored(state.filter("call_id IS NOT NULL"), "levels")
+    """``conv_id, call_id, level`` of distinct calls (conv_id, call_id, parent_id); a parent is of the same conversation."""
+    state = calls.select("conv_id", "call_id", F.col("parent_id").alias("up"), F.when(F.col("parent_id").isNull(), 0).otherwise(1).cast("long").alias("level"))
+    state, path = stored(state.filter(_KEYED), "levels")
     rounds = 0
     while True:
         total, open_ = state.agg(F.count(F.lit(1)), F.count("up")).first()
         if not open_ or rounds > math.log2(total + 1) + 1:
             break
-        above = state.select(F.col("call_id").alias("_id"), F.col("up").alias("_up"), F.col("level").alias("_level"))
-        joined = state.join(above, F.col("up") == F.col("_id"), "left")
+        above = state.select(F.col("conv_id").alias("_conv"), F.col("call_id").alias("_id"), F.col("up").alias("_up"), F.col("level").alias("_level"))
+        joined = state.join(above, (F.col("conv_id") == F.col("_conv")) & (F.col("up") == F.col("_id")), "left")
         # A parent that isn't there starts no longer chain: that step isn't counted.
         level = F.when(F.col("up").isNull(), F.col("level")).when(F.col("_id").isNull(), F.col("level") - 1).otherwise(F.col("level") + F.col("_level"))
         before = path
-        state, path = stored(joined.select("call_id", F.col("_up").alias("up"), level.alias("level")), "levels")
+        state, path = stored(joined.select("conv_id", "call_id", F.col("_up").alias("up"), level.alias("level")), "levels")
         delete(calls.sparkSession, before)
         rounds += 1
-    return state.select("call_id", F.when(F.col("up").isNull(), F.col("level")).alias("level"))
+    return state.select("conv_id", "call_id", F.when(F.col("up").isNull(), F.col("level")).alias("level"))
 
 
 _OUT = {"valid": pa.bool_(), "errors": pa.string(), "message": pa.string()}
@@ -94,13 +99,16 @@ _OUT = {"valid": pa.bool_(), "errors": pa.string(), "message": pa.string()}
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """``calls`` (conv_id, call_id, parent_id, name, arguments) and ``results`` (conv_id, call_id, content) as
     ``conv_id, call_id, level, name, status, valid, errors, message``; status: linked, no_result or orphan_result."""
-    kept = calls.groupBy("conv_id", "call_id").agg(F.min(F.struct("arguments", "name", "parent_id")).alias("c"), F.lit(True).alias("_call"))
-    answers = results.groupBy("conv_id", "call_id").agg(F.min("content").alias("content"), F.lit(True).alias("_result"))
-    ids = written(calls.groupBy("conv_id", "call_id").agg(F.min(F.struct("arguments", "name", "parent_id"))["parent_id"].alias("parent_id")).select("call_id", "parent_id"), "calls")
-    ordered = levels(ids.groupBy("call_id").agg(F.min("parent_id").alias("parent_id")))
-    both = kept.join(answers, ["conv_id", "call_id"], "full").join(ordered, "call_id", "left")
+    keyed = calls.filter(_KEYED).groupBy("conv_id", "call_id")
+    kept = keyed.agg(F.min(F.struct("arguments", "name", "parent_id")).alias("c"), F.lit(True).alias("_call"))
+    answers = results.filter(_KEYED).groupBy("conv_id", "call_id").agg(F.min("content").alias("content"), F.lit(True).alias("_result"))
+    ordered = levels(written(keyed.agg(F.min(F.struct("arguments", "name", "parent_id"))["parent_id"].alias("parent_id")), "calls"))
+    both = kept.join(answers, ["conv_id", "call_id"], "full").join(ordered, ["conv_id", "call_id"], "left")
     status = F.when(F.col("_call").isNull(), "orphan_result").when(F.col("_result").isNull(), "no_result").otherwise("linked")
     rows = both.select("conv_id", "call_id", F.when(F.col("_call"), F.col("level")).alias("level"), F.col("c.name").alias("name"), status.alias("status"), F.col("c.arguments").alias("arguments"), "content")
+    none = lambda c, t="string": F.lit(None).cast(t).alias(c)
+    rows = rows.unionByName(calls.filter(f"NOT ({_KEYED})").select("conv_id", "call_id", none("level", "long"), "name", F.lit("no_result").alias("status"), "arguments", none("content")))
+    rows = rows.unionByName(results.filter(f"NOT ({_KEYED})").select("conv_id", "call_id", none("level", "long"), none("name"), F.lit("orphan_result").alias("status"), none("arguments"), "content"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
