@@ -4,9 +4,9 @@ Each document gets counts (words, symbols, repeated lines, words in repeated 3-w
 character classes, and common words of its language. Their Jensen-Shannon distances (base 2, 0 to 1) to references
 of the language decide, above minimum lengths.
 
-A reference is the median document of the language, class by class, over the whole table: a group of copies with
-less than half of a language's documents can't move it to its own shape. References are at most one row for each
-language in ``COMMON_WORDS``.
+A reference is the median text of the language, class by class, over the whole table: each distinct text that passes
+the base rules votes once, so copies and junk can't move it to their own shape. References are at most one row for
+each language in ``COMMON_WORDS``.
 
 Defined results: null text counts as empty; a null or unlisted language has no reference, so only the base rules
 decide; repeated rows are judged alike, each on its own row; ``doc_id`` may be null; other columns pass through
@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -119,37 +120,44 @@ def _column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
-def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in sliced(batches):
-        langs, classes, words = [], [], []
-        for lang, raw in zip(_column(batch, "lang"), _column(batch, "raw"), strict=True):
-            h = word_histogram(raw or b"", lang)
-            if h is not None and h.sum():
-                c = class_histogram(np.bincount(np.frombuffer(raw, dtype=np.uint8), minlength=256))
-                langs.append(lang)
-                classes.append((c / c.sum()).tolist())
-                words.append((h / h.sum()).tolist())
-        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(classes, pa.list_(pa.float64())), pa.array(words, pa.list_(pa.float64()))], names=["lang", "classes", "words"])
+def base_rules(raw: bytes, limits: QualityLimits) -> tuple[int, int, bool]:
+    """Words, words in repeated windows, and whether the text fails."""
+    words = raw.split()
+    repeat = repeated_words(words)
+    return len(words), repeat, len(words) < limits.min_words or repeat > limits.max_repeat_share * len(words)
+
 
+def language_references(docs: DataFrame, limits: QualityLimits = QualityLimits()) -> dict[str, tuple[list[float], list[float]]]:
+    """For each listed language, the median share of each character class and common word over its distinct texts
+    that pass the base rules and have a word. The result has one entry for each language in ``COMMON_WORDS`` at most."""
 
-def language_references(docs: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
-    """For each listed language, the median share of each character class and common word over all its documents
-    that have a word. The result has one entry for each language in ``COMMON_WORDS`` at most."""
-    shares = docs.select("lang", F.col("text").cast("binary").alias("raw")).mapInArrow(_shares, "lang string, classes array<double>, words array<double>")
+    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            langs, digests, classes, words = [], [], [], []
+            for lang, raw in zip(_column(batch, "lang"), _column(batch, "raw"), strict=True):
+                raw = raw or b""
+                h = word_histogram(raw, lang)
+                if h is not None and h.sum() and not base_rules(raw, limits)[2]:
+                    c = class_histogram(np.bincount(np.frombuffer(raw, dtype=np.uint8), minlength=256))
+                    langs.append(lang)
+                    digests.append(xxhash.xxh3_128_digest(raw))
+                    classes.append((c / c.sum()).tolist())
+                    words.append((h / h.sum()).tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(digests, pa.binary()), pa.array(classes, pa.list_(pa.float64())), pa.array(words, pa.list_(pa.float64()))], names=["lang", "digest", "classes", "words"])
+
+    rows = docs.select("lang", F.col("text").cast("binary").alias("raw")).mapInArrow(shares, "lang string, digest binary, classes array<double>, words array<double>")
+    texts = rows.groupBy("lang", "digest").agg(F.first("classes").alias("classes"), F.first("words").alias("words"))
     median = lambda c, n: F.array(*[F.percentile_approx(F.col(c)[i], 0.5, 1000) for i in range(n)]).alias(c)
-    rows = shares.groupBy("lang").agg(median("classes", len(CLASSES)), median("words", N_COMMON)).collect()
-    return {r.lang: (r.classes, r.words) for r in rows}
+    found = texts.groupBy("lang").agg(median("classes", len(CLASSES)), median("words", N_COMMON)).collect()
+    return {r.lang: (r.classes, r.words) for r in found}
 
 
 def judge(raw: bytes | None, lang: str | None, references: dict, limits: QualityLimits) -> tuple:
     """Counts, distances and verdict of one document."""
     raw = raw or b""
-    words = raw.split()
     counts = np.bincount(np.frombuffer(raw, dtype=np.uint8), minlength=256)
-    n = len(words)
+    n, repeat, failed = base_rules(raw, limits)
     lines = [x for x in raw.split(b"\n") if x.strip()]
-    repeat = repeated_words(words)
-    failed = n < limits.min_words or repeat > limits.max_repeat_share * n
     near_class = near_word = None
     if lang in references:
         classes, common = references[lang]
@@ -173,7 +181,7 @@ _DDL = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repea
 def quality_verdicts(docs: DataFrame, limits: QualityLimits = QualityLimits(), references: dict | None = None) -> DataFrame:
     """``doc_id`` with counts, distances and ``kept`` for every row of ``docs`` (doc_id, text, lang). Two scans, no
     shuffle of texts."""
-    refs = language_references(docs) if references is None else references
+    refs = language_references(docs, limits) if references is None else references
 
     def verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -187,7 +195,7 @@ def quality_verdicts(docs: DataFrame, limits: QualityLimits = QualityLimits(), r
 
 def quality_filter(docs: DataFrame, limits: QualityLimits = QualityLimits(), references: dict | None = None) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns."""
-    refs = language_references(docs) if references is None else references
+    refs = language_references(docs, limits) if references is None else references
     columns = docs.columns
     text, lang = columns.index("text"), columns.index("lang")
 
