@@ -38,8 +38,8 @@ def op5_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls, results = tool_calls.from_turns(_table(spark, sf_dir, "conversations"))
-    return tool_calls.link(calls, results, tool_calls.TOOLS)
+    calls, results, messages = tool_calls.from_turns(_table(spark, sf_dir, "conversations"))
+    return tool_calls.link(calls, results, tool_calls.TOOLS, messages)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,20 +125,23 @@ WITH c AS (
 ), l AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id, turn % 2, chain ORDER BY turn) - 1 AS level, CASE WHEN words > 20 THEN 'discuss' ELSE 'answer' END AS name FROM o
 ), r AS (
-  SELECT conv_id, conv_id || ':' || (turn - 1) AS call_id, text AS content FROM conversations WHERE role = 'assistant'
+  SELECT conv_id, conv_id || ':' || (turn - 1) AS call_id, turn AS result_turn, text AS content FROM conversations WHERE role = 'assistant'
 ), j AS (
-  SELECT coalesce(l.conv_id, r.conv_id) AS conv_id, coalesce(l.call_id, r.call_id) AS call_id, level, name, words, turn, text, content,
+  SELECT coalesce(l.conv_id, r.conv_id) AS conv_id, coalesce(l.call_id, r.call_id) AS call_id, level, name, words, turn, text, content, coalesce(turn, result_turn) AS own_turn, NULL AS role,
          CASE WHEN l.call_id IS NULL THEN 'orphan_result' WHEN r.call_id IS NULL THEN 'no_result' ELSE 'linked' END AS status
   FROM l FULL JOIN r ON l.call_id = r.call_id
+  UNION ALL
+  SELECT conv_id, NULL, NULL, NULL, NULL, NULL, text, NULL, turn, role, 'message' FROM conversations WHERE role IS NULL OR role NOT IN ('user', 'assistant')
 ), e AS (
-  SELECT *, CASE WHEN status = 'orphan_result' THEN '' ELSE
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY own_turn) - 1 AS position, CASE WHEN status IN ('orphan_result', 'message') THEN '' ELSE
     concat_ws(';', CASE WHEN text = '' THEN '$.text: minLength' END, CASE WHEN words > CASE name WHEN 'discuss' THEN 60 ELSE 40 END THEN '$.words: maximum' END) END AS errors
   FROM j
 )
-SELECT conv_id, call_id, level, name, status, errors = '' AND status <> 'orphan_result' AS valid, errors,
-       '{"arguments":' || CASE WHEN status = 'orphan_result' THEN 'null' ELSE '{"text":' || to_json(text)::VARCHAR || ',"turn":' || turn || ',"words":' || words || '}' END
+SELECT conv_id, position, call_id, level, name, status, errors = '' AND status <> 'orphan_result' AS valid, errors,
+       CASE WHEN status = 'message' THEN '{"content":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"role":' || coalesce(to_json(role)::VARCHAR, 'null') || ',"status":"message"}'
+       ELSE '{"arguments":' || CASE WHEN status = 'orphan_result' THEN 'null' ELSE '{"text":' || to_json(text)::VARCHAR || ',"turn":' || turn || ',"words":' || words || '}' END
        || ',"id":"' || call_id || '","level":' || coalesce(level::VARCHAR, 'null') || ',"name":' || coalesce('"' || name || '"', 'null')
-       || ',"result":' || coalesce(to_json(content)::VARCHAR, 'null') || ',"status":"' || status || '"}' AS message
+       || ',"result":' || coalesce(to_json(content)::VARCHAR, 'null') || ',"status":"' || status || '"}' END AS message
 FROM e
 """,
     "op7_warc": """

@@ -377,7 +377,9 @@ def test_tool_calls(spark):
         "conv_id long, call_id string, parent_id string, name string, arguments string",
     )
     results = spark.createDataFrame([(1, "a", "ok"), (1, "z", "lost"), (1, "b", None)], "conv_id long, call_id string, content string")
-    got = {r.call_id: r for r in tool_calls.link(calls, results, {"f": schema}).collect()}
+    rows = tool_calls.link(calls, results, {"f": schema}).collect()
+    got = {r.call_id: r for r in rows if r.message[:24] != '{"arguments":{"r":"z"},"'}
+    assert len(rows) == 9  # the repeated call is a row of its own
     assert {k: r.status for k, r in got.items()} == {"a": "linked", "b": "linked", "c": "no_result", "d": "no_result", "e": "no_result", "f": "no_result", "z": "orphan_result", None: "no_result"}
     assert {k: r.level for k, r in got.items() if k} == {"a": 0, "b": 1, "c": 2, "d": 0, "e": None, "f": None, "z": None}
     assert got["a"].valid and got["b"].errors == "$.q: required;$.n: minimum;$.x: additionalProperties"
@@ -389,9 +391,13 @@ def test_tool_call_chains(spark):
     calls = spark.createDataFrame([(i // 100, str(i), str(i - 1) if i % 100 else None) for i in range(300)], "conv_id long, call_id string, parent_id string")
     assert {r.call_id: r.level for r in tool_calls.levels(calls).collect()} == {str(i): i % 100 for i in range(300)}
     empty_calls = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
-    assert tool_calls.link(*tool_calls.from_turns(empty_calls), tool_calls.TOOLS).count() == 0
+    calls, results, messages = tool_calls.from_turns(empty_calls)
+    assert tool_calls.link(calls, results, tool_calls.TOOLS, messages).count() == 0
     odd = spark.createDataFrame([(1, 0, "user", None), (1, 0, "user", None), (None, 1, "user", "x"), (1, 1, "assistant", None), (1, None, None, "y")], "conv_id long, turn long, role string, text string")
-    assert all(json.loads(r.message) for r in tool_calls.link(*tool_calls.from_turns(odd), tool_calls.TOOLS).collect())
+    calls, results, messages = tool_calls.from_turns(odd)
+    rows = tool_calls.link(calls, results, tool_calls.TOOLS, messages).collect()
+    # The two equal calls share the result; all other turns are rows of their own.
+    assert all(json.loads(r.message) for r in rows) and sorted(r.status for r in rows) == ["linked", "linked", "message", "no_result"]
 
 
 @pytest.mark.parametrize(("value", "schema", "n"), [(1.0, {"type": "integer"}, 0), (True, {"type": "integer"}, 1), (None, {"type": ["null", "string"]}, 0), ([1, "a"], {"items": {"type": "string"}, "minItems": 3}, 2), ("b", {"enum": ["a"]}, 1), (2, {"const": 2, "maximum": 1}, 1)])
