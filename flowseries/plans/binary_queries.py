@@ -64,7 +64,8 @@ def sockaddr_unpack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packets(spark, sf_dir).select("time", src.alias("src"), F.hex(addresses.sockaddr_bytes(v6, F.lit(10))).alias("v6"))
 
 
-@key("ipv6_text")
+# Groups 3 and 4 are the user, 5 to 8 the event; numbers here need groups 4, 7 and 8 at most, and the longest run of zeros goes.
+@key("ipv6_text", f"WITH {K_SQL}, g AS (SELECT time, user_id, printf('%x', user_id) AS u, seq // 65536 AS a, seq % 65536 AS b FROM k) SELECT time, '2001:db8:' || CASE WHEN user_id > 0 THEN '0:' || u || '::' ELSE ':' END || CASE WHEN a > 0 THEN printf('%x:%x', a, b) WHEN b > 0 THEN printf('%x', b) ELSE '' END AS address FROM g")
 def ipv6_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.unhex(F.concat(F.lit("20010DB8"), _hex(F.col("user_id"), 8), _hex(F.col("event_id"), 16)))
     return packets(spark, sf_dir).select("time", addresses.ipv6(raw).alias("address"))
@@ -135,8 +136,39 @@ def _round_trip(kind: str) -> Callable:
     return run
 
 
+def _readable(kind: str) -> Callable:
+    """The round trip with its byte fields in hexadecimal digits."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = _round_trip(kind)(spark, sf_dir)
+        return rows.select(*[F.hex(f.name).alias(f.name) if f.dataType.typeName() == "binary" else F.col(f.name) for f in rows.schema])
+
+    return run
+
+
+def _record_sql(kind: str) -> str:
+    """The records' fields, again from the events: named columns of k, or the event's number times the field's place."""
+    own = {"time", "saddr", "daddr", "sport", "dport", "seq", "ack_num", "window", "urg", "ack", "psh", "rst", "syn", "fin", "checksum"}
+    special = {"family": "2", "ports": "sport::BIGINT * 65536 + dport", "addr_v4": "(saddr % 2147483648) * 4294967296 + daddr"}
+    fields = []
+    for place, (name, code) in enumerate(KINDS[kind].fields, 1):
+        if code == "V28":
+            sql = f"'02000000' || printf('%08X', {name}) || repeat('0', 40)"
+        elif code == "V4":
+            sql = f"printf('%08X', {name})"
+        elif code == "V16":
+            sql = f"printf('%032X', seq + {place - 1})"
+        elif name in special or name in own:
+            sql = special.get(name, f'"{name}"')
+        else:
+            sql = f"(seq * {place}) % {1 << {'1': 7, '2': 15, '4': 31, '8': 40}[code[-1]]}"
+        fields.append(f'{sql} AS "{name}"')
+    addresses_ = f"{10 << 24} + user_id // 256 * 256 + user_id % 256 AS saddr, {192 << 24 | 168 << 16 | 1}::BIGINT AS daddr"
+    return f"WITH {K_SQL}, r AS (SELECT *, {addresses_} FROM k) SELECT {', '.join(fields)} FROM r"
+
+
 for _kind, _name in (("packet", "packet"), ("probe", "probe"), ("sock", "sock"), ("cwnd", "cwnd"), ("retransmit_synack", "synack"), ("bad_csum", "badcsum")):
-    REGISTERED[f"trace_{_name}_roundtrip"] = (_round_trip(_kind), None)
+    REGISTERED[f"trace_{_name}_roundtrip"] = (_readable(_kind), _record_sql(_kind))
 
 
 def _written_dir(spark: SparkSession, sf_dir: str) -> str:
@@ -181,6 +213,20 @@ def stream_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("seq long").parquet(f"{out}/rows").agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("seq"))
 
 
+@key("trace_append", "SELECT event_id % 2 AS part, count(*) AS n, sum(event_id)::BIGINT AS seq FROM events GROUP BY ALL")
+def trace_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A trace written in two appends to one folder, tailed by a stream after each; the stream's rows in all."""
+    path, out = _path(spark, "trace-append"), _path(spark, "append")
+    records = records_of(spark, sf_dir, "packet")
+    for part in (0, 1):
+        trace.write_trace(records.filter(F.col("seq") % 2 == part), path, "packet")
+        stream = trace.stream_trace(spark, path, "packet").select("seq")
+        query = stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+    rows = spark.read.schema("seq long").parquet(f"{out}/rows")
+    return rows.groupBy((F.col("seq") % 2).alias("part")).agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("seq"))
+
+
 @key("stream_flows", f"WITH {K_SQL} SELECT DISTINCT src, dst, sport, dport, l4proto FROM k")
 def stream_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flows of a packet stream as they appear; a flow silent for a year would appear again."""

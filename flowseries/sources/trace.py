@@ -8,6 +8,7 @@ records without the marker; ``partitionBytes``; ``columns``, a list of fields to
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -171,11 +172,12 @@ class Written(WriterCommitMessage):
 
 
 class TraceWriter(DataSourceArrowWriter):
-    """One file for each task, under another name until the job commits."""
+    """One file for each task, under another name until the job commits. Names hold the job's own id, so an append
+    never replaces records that are there, and a task that runs again leaves one file."""
 
     def __init__(self, options, overwrite: bool):
-        self.kind, self.path, self.name = KINDS[options["kind"]], options["path"], options.get("name", "part")
-        self.overwrite = overwrite
+        self.kind, self.path = KINDS[options["kind"]], options["path"]
+        self.name, self.overwrite = f"{options.get('name', 'part')}-{uuid.uuid4().hex}", overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         system, inner = open_filesystem(self.path)
@@ -189,15 +191,12 @@ class TraceWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list[Written | None]) -> None:
         system, inner = open_filesystem(self.path)
-        if self.overwrite:
-            keep = {m.name for m in messages if m}
-            for path, _ in list_files(self.path):
-                old = open_filesystem(path)[1]
-                if old not in keep:
-                    system.delete_file(old)
+        old = [open_filesystem(path)[1] for path, _ in list_files(self.path)] if self.overwrite else []
         for m in messages:
             if m:
                 system.move(m.own, m.name)
+        for name in old:
+            system.delete_file(name)
 
     def abort(self, messages: list[Written | None]) -> None:
         system, _ = open_filesystem(self.path)
@@ -267,7 +266,8 @@ def trace_files(spark: SparkSession, glob: str) -> DataFrame:
 
 
 def write_raw(records: DataFrame, path: str, name: str = "part") -> None:
-    """Whole records as bytes (column ``record``), as they are."""
+    """Whole records as bytes (column ``record``), as they are, added to what the folder holds."""
+    name = f"{name}-{uuid.uuid4().hex}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, inner = open_filesystem(path)

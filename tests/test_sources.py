@@ -75,6 +75,27 @@ def test_stream_is_batch_and_grows(spark, tmp_path):
     assert drain() == sorted([*range(50), *range(5)])
 
 
+def test_append_adds(spark, tmp_path):
+    path, out = f"file://{tmp_path}/t", str(tmp_path / "out")
+    some = lambda a, b: spark.range(a, b).selectExpr("id AS time", "id AS saddr").selectExpr("time", "cast(null as binary) AS saddr")
+
+    def drain():
+        s = trace.stream_trace(spark, path, "bad_csum").select("time")
+        s.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+        return sorted(r.time for r in spark.read.parquet(out).collect())
+
+    trace.write_trace(some(0, 5), path, "bad_csum")
+    assert drain() == list(range(5))
+    trace.write_trace(some(5, 12), path, "bad_csum")
+    assert sorted(r.time for r in trace.read_trace(spark, path, "bad_csum").collect()) == list(range(12)) == drain()
+    record = lambda n: spark.createDataFrame([(bytes(16) + b"\xff" * 4,)] * n, "record binary")
+    trace.write_raw(record(2), path)
+    trace.write_raw(record(3), path)
+    assert trace.read_trace(spark, path, "bad_csum").count() == 17
+    trace.write_trace(some(0, 4), path, "bad_csum", mode="overwrite")
+    assert sorted(r.time for r in trace.read_trace(spark, path, "bad_csum").collect()) == list(range(4))
+
+
 def test_store_script(spark, store):
     """The life of a flow: attributes and series added, set, listed and deleted."""
     flow = store.flow(*FLOW).first().id
