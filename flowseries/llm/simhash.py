@@ -2,23 +2,27 @@
 
 Fingerprints: 64 bits over word shingles; a bit is 1 if it is set in over half of the shingles' XXH64 values.
 
-Pairs: the table of pivot distances holds each distinct fingerprint's Hamming distances to ``N_PIVOTS`` reference
-fingerprints. By the triangle inequality a pair at distance d differs by at most d in every coordinate, so pairs with
-a larger maximum coordinate difference are discarded and the rest are verified on the bits. A pivot table alone
-can't say which pairs to look at without enumerating all of them, so pairs come from pigeonhole keys: of
-five blocks of bits, a linked pair agrees on three at least.
+Table: each distinct fingerprint's Hamming distances to the reference fingerprints ``PIVOTS``, written once. There is
+a base reference, and ``BLOCK_PIVOTS`` more for each of five blocks of bits that are the base but for that block. A
+distance less the base's distance depends on the block's bits alone, so it is equal where two fingerprints' blocks
+are.
 
-Buckets of up to ``bucket_pairs`` fingerprints are compared pair by pair. A larger bucket (a large group of near
-copies) isn't: each member is written down under every fingerprint within one bit outside the key's blocks, and
-members that meet under one are at most two bits apart. Each such meeting point has at most 65 members and gives a
-star of links to its smallest, so rows stay linear in the bucket and no component changes.
+Proposals: two differing bits leave three of five blocks alike, so each linked pair agrees on three blocks' columns
+of the table in one of ten choices; such cells are the join keys. Cells of up to ``bucket_pairs`` members propose
+their pairs. In a larger cell (a large group of near copies) further pivots of its own stand in, every fingerprint one
+bit from a member outside the cell's blocks: members within one bit of the same pivot are two bits apart at most. Each
+such pivot has 65 members at most and proposes a star to its smallest, so rows stay linear in the cell.
+
+Discarding: by the triangle inequality a pair at distance d differs by at most d in every column, so proposals with a
+larger maximum coordinate difference go. The rest are verified on the bits. ``proposal_counts`` tells how many.
 
 Components: alternating large-star and small-star rounds over distinct fingerprints, each round a written table.
 Exact copies share one fingerprint and are never expanded into pairs.
 
-Defined results: a null text is an empty one; texts without words have fingerprint zero, linked like any other;
-repeated rows of one ``doc_id`` each appear with the same component; a null ``doc_id`` gets its group's component
-(the smallest id that isn't null, or null).
+Defined results: a null text is an empty one; texts without words have fingerprint zero, linked like any other; texts
+of any length are hashed whole; repeated rows of one ``doc_id`` each appear with the same component, and equal
+fingerprints are one however many rows have them; a null ``doc_id`` gets its group's component (the smallest id that
+isn't null, or null); an empty table gives none; extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -33,13 +37,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowseries.llm.batches import fresh, sliced
+from flowseries.llm.ranges import let
 from flowseries.llm.scratch import delete, stored, written
 
 SEED = 42
-#: Linked fingerprints differ in so many bits at most; the midpoints rest on its being 2.
+#: Linked fingerprints differ in so many bits at most; blocks and large cells' pivots rest on its being 2.
 MAX_BITS = 2
-#: The reference fingerprints are XXH64 of their own numbers.
-PIVOTS = tuple(xxhash.xxh64_intdigest(i.to_bytes(8, "little"), SEED) for i in range(16))
+#: Blocks of bits: two differing bits leave three of five alike.
+_EDGES = [round(64 * i / (MAX_BITS + 3)) for i in range(MAX_BITS + 4)]
+BLOCKS = tuple(((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(_EDGES, _EDGES[1:], strict=False))
+#: References for each block: their distances tell nearly all patterns of its 12 or 13 bits apart.
+BLOCK_PIVOTS = 8
+
+
+def _pattern(i: int) -> int:
+    return xxhash.xxh64_intdigest(i.to_bytes(8, "little"), SEED)
+
+
+#: The reference fingerprints: XXH64 of 0, then for each block that with the block's bits of XXH64 of 1, 2 and so on.
+PIVOTS = (_pattern(0), *(_pattern(0) & ~m | _pattern(1 + k * BLOCK_PIVOTS + r) & m for k, m in enumerate(BLOCKS) for r in range(BLOCK_PIVOTS)))
 _CHUNK = 1 << 16
 
 
@@ -78,43 +94,63 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 
 def pivot_table(fps: DataFrame) -> DataFrame:
-    """Adds ``pivots``, the distances of ``fp`` to the reference fingerprints."""
-    return fps.withColumn("pivots", F.array(*[F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(p)))).cast("tinyint") for p in PIVOTS]))
+    """``fp, pivots``: the distances of each ``fp`` to the reference fingerprints."""
+    return fps.select("fp", F.array(*[_near(F.col("fp"), F.lit(_signed(p))).cast("tinyint") for p in PIVOTS]).alias("pivots"))
 
 
-def _block_masks() -> list[int]:
-    """Masks of every choice of three of five blocks; two differing bits leave three blocks alike."""
-    n = MAX_BITS + 3
-    edges = [round(64 * i / n) for i in range(n + 1)]
-    blocks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:], strict=False)]
-    return [a | b | c for a, b, c in combinations(blocks, 3)]
+_CHOICES = list(combinations(range(len(BLOCKS)), 3))
 
 
 def _near(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def links(fps: DataFrame, bucket_pairs: int = 64) -> DataFrame:
-    """Links ``a < b`` between distinct fingerprints: every pair at ``MAX_BITS`` or fewer differing bits is linked,
-    directly or, in a large bucket, through the smallest fingerprint that both meet."""
-    masks = _block_masks()
-    keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("choice", "key"))
-    sizes = keyed.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    met = keyed.join(sizes, ["choice", "key"])
+def _cells(pivots: Column) -> Column:
+    """The ten cells of a row of the table, one for each choice of three blocks, as hashes of the blocks' columns."""
+    column = lambda i: pivots[i] - pivots[0]
+    blocks = [F.xxhash64(*[column(1 + k * BLOCK_PIVOTS + r) for r in range(BLOCK_PIVOTS)]) for k in range(len(BLOCKS))]
+    return let(F.array(*blocks), lambda h: F.array(*[F.xxhash64(h[a], h[b], h[c]) for a, b, c in _CHOICES]))
+
+
+def proposals(table: DataFrame, bucket_pairs: int = 64) -> DataFrame:
+    """Pairs ``a < b`` of fingerprints that share a cell of the ``table`` (fp, pivots), with their rows of the table
+    as ``pa`` and ``pb``; in a large cell, stars around its own pivots instead of all pairs."""
+    keyed = table.select("fp", F.posexplode(_cells(F.col("pivots"))).alias("choice", "cell"))
+    sizes = keyed.groupBy("choice", "cell").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    met = keyed.join(sizes, ["choice", "cell"])
 
-    small = met.filter(F.col("members") <= bucket_pairs).groupBy("choice", "key").agg(F.array_sort(F.collect_list("fp")).alias("fps"))
+    small = met.filter(F.col("members") <= bucket_pairs).groupBy("choice", "cell").agg(F.array_sort(F.collect_list("fp")).alias("fps"))
     first = small.select("fps", F.posexplode("fps").alias("at", "a"))
     pairs = first.select("a", F.explode(F.expr("slice(fps, at + 2, size(fps))")).alias("b"))
-    pairs = pivot_table(pairs.withColumnRenamed("a", "fp")).withColumnsRenamed({"fp": "a", "pivots": "pa", "b": "fp"})
-    pairs = pivot_table(pairs).withColumnsRenamed({"fp": "b", "pivots": "pb"})
-    apart = F.array_max(F.zip_with("pa", "pb", lambda x, y: F.abs(x - y)))
-    direct = pairs.filter(apart <= MAX_BITS).filter(_near(F.col("a"), F.col("b")) <= MAX_BITS).select("a", "b")
 
+    masks = [BLOCKS[a] | BLOCKS[b] | BLOCKS[c] for a, b, c in _CHOICES]
     outside = F.array(*[F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << i)) for i in range(64) if not m >> i & 1]) for m in masks])
-    large = met.filter(F.col("members") > bucket_pairs).select("choice", "fp", F.explode(F.get(outside, F.col("choice"))).alias("flip"))
-    points = large.select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point")).groupBy("point").agg(F.collect_set("fp").alias("fps")).filter(F.size("fps") > 1)
-    stars = points.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).filter("a < b")
-    return direct.unionByName(stars).distinct()
+    large = met.filter(F.col("members") > bucket_pairs).select("fp", F.explode(F.get(outside, F.col("choice"))).alias("flip"))
+    own = large.select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("pivot")).groupBy("pivot").agg(F.collect_set("fp").alias("fps")).filter(F.size("fps") > 1)
+    stars = own.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).filter("a < b")
+
+    row = lambda c, p: table.select(F.col("fp").alias(c), F.col("pivots").alias(p))
+    return pairs.unionByName(stars).distinct().join(row("a", "pa"), "a").join(row("b", "pb"), "b")
+
+
+def _apart(pa_: Column, pb: Column) -> Column:
+    """The largest coordinate difference of two rows of the table."""
+    return F.array_max(F.zip_with(pa_, pb, lambda x, y: F.abs(x - y)))
+
+
+def links(table: DataFrame, bucket_pairs: int = 64) -> DataFrame:
+    """Links ``a < b`` between the fingerprints of the pivot ``table``: every pair at ``MAX_BITS`` or fewer differing
+    bits is linked, directly or, in a large cell, through the smallest fingerprint near the same pivot."""
+    near = proposals(table, bucket_pairs).filter(_apart(F.col("pa"), F.col("pb")) <= MAX_BITS)
+    return near.filter(_near(F.col("a"), F.col("b")) <= MAX_BITS).select("a", "b")
+
+
+def proposal_counts(table: DataFrame, bucket_pairs: int = 64) -> DataFrame:
+    """One row: pairs ``proposed`` by the table's cells, ``discarded`` by the maximum coordinate difference, and
+    ``verified`` on the bits."""
+    near = _apart(F.col("pa"), F.col("pb")) <= MAX_BITS
+    linked = near & (_near(F.col("a"), F.col("b")) <= MAX_BITS)
+    return proposals(table, bucket_pairs).agg(F.count(F.lit(1)).alias("proposed"), F.count_if(~near).alias("discarded"), F.count_if(linked).alias("verified"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -144,7 +180,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """``doc_id, fp, component_id`` for every row of ``docs``: the smallest ``doc_id`` reachable over links."""
     marks = written(fingerprints(docs, shingle), "simhash")
     distinct = written(marks.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
-    groups = components(links(distinct.select("fp")))
+    groups = components(links(written(pivot_table(distinct), "simhash-pivots")))
     rooted = distinct.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.join(lowest, "root").select("fp", "component_id")

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import pytest
 import xxhash
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from flowseries.llm import license_rules, mixing, pii, quality_knn, quality_rules, sentencepiece_codec, simhash, syncmers, tool_calls, warc
@@ -197,12 +198,35 @@ def test_links_of_dense_groups(spark, bucket_pairs):
         chain ^= (1 << r.randrange(64)) | (1 << r.randrange(64))
         fps.add(chain)
     signed = [(f - (1 << 64) if f >= 1 << 63 else f,) for f in fps]
-    found = {x.node % (1 << 64): x.root % (1 << 64) for x in simhash.components(simhash.links(spark.createDataFrame(signed, "fp long"), bucket_pairs)).collect()}
+    found = {x.node % (1 << 64): x.root % (1 << 64) for x in simhash.components(simhash.links(simhash.pivot_table(spark.createDataFrame(signed, "fp long")), bucket_pairs)).collect()}
     want = brute_components(fps)
     together = lambda m: sorted(sorted(g) for g in _groups({f: m.get(f, f) for f in fps}))
     assert together(found) == together(want)
 
 
+def test_pairs_come_from_the_pivot_table(spark):
+    """Every near pair shares a cell, far ones are discarded by the table, and without it nothing is proposed."""
+    r = random.Random(15)
+    base = [r.getrandbits(64) for _ in range(400)]
+    fps = set(base)
+    for f in base[:120]:
+        fps.add(f ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)))
+        for _ in range(2):  # three blocks alike, many bits apart: proposed, then discarded
+            fps.add(f ^ (r.getrandbits(64) & (simhash.BLOCKS[0] | simhash.BLOCKS[3])))
+    table = simhash.pivot_table(spark.createDataFrame([(simhash._signed(f),) for f in fps], "fp long")).cache()
+    want = {tuple(sorted((simhash._signed(a), simhash._signed(b)))) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 2}
+    assert {(x.a, x.b) for x in simhash.links(table).collect()} == want and len(want) > 100
+    n = simhash.proposal_counts(table).first()
+    assert n.proposed > n.verified == len(want) and n.discarded > 0.9 * (n.proposed - n.verified)
+    assert n.proposed < 3 * len(fps)
+    assert simhash.links(table.filter("false")).count() == 0
+    blind = table.withColumn("pivots", F.transform("pivots", lambda x: (x * 0).cast("tinyint")))
+    assert simhash.proposal_counts(blind, 10**6).first().proposed == len(fps) * (len(fps) - 1) // 2  # the cells do the choosing
+    emptied = table.withColumn("pivots", F.array().cast("array<tinyint>"))
+    with pytest.raises(PySparkException):
+        simhash.links(emptied).count()
+
+
 def _groups(of):
     out = defaultdict(list)
     for f, g in of.items():
