@@ -6,21 +6,30 @@ it and carry the payload's digest and, in the HTTP header, its length. Each task
 and then moves it, so a task that runs again leaves one whole file.
 
 Reader: files are cut into byte ranges. A task scans its range for gzip's magic bytes, takes a candidate for a member
-if it inflates to a WARC header and the next member or the file's end follows it, and owns the records that start in
-its range, reading beyond its end for the last one. Lengths and digests are checked.
-
-Defined results: null HTML is an empty payload; rows of one payload that all have its smallest id are all responses;
-null ids come last (a payload with null ids only has responses); a null url is left out; line breaks in a url are
-percent-encoded; an empty table gives no record.
+if it inflates to a WARC header, and owns the members that start in its range, reading beyond its end for the last
+one. A member may hold several records. Records of any type and of other writers are read: fields that a record lacks
+are null, headers may be folded or Latin-1, bodies may be chunked. Lengths are checked, and digests of the algorithms
+in ``_DIGESTS``.
+
+Damage is never skipped in silence: a member that doesn't inflate to its end, a record of another length or payload
+than its header says, and bytes between members that belong to none each give a row with ``error``, ``file`` and
+``offset``. A record over ``max_record_bytes`` is such a row too, so that a task's memory has a bound.
+
+Defined results: null HTML is an empty payload; pages of any length are written whole; rows of one payload that all
+have its smallest id are all responses; null ids come last (a payload with null ids only has responses); a null url
+is left out; line breaks in a url are percent-encoded; an empty table gives no record. A payload that itself holds
+gzip members of WARC records, stored without compression, can't be told from members by a task that starts inside it.
 """
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -85,112 +94,217 @@ def write_warc(pages: DataFrame, path: str) -> int:
     return rows.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
+#: Bytes given to the inflater at first; each further piece is twice as long, up to ``_PIECE``.
+_FIRST, _PIECE = 1 << 10, 1 << 16
+
+
 class _Members:
-    """The gzip members of a file that start in a byte range."""
-
-    def __init__(self, file, length: int, start: int, end: int):
-        self.file, self.length, self.end = file, length, end
-        self.at, self.held = start, b""  # ``held`` are the file's bytes from ``at`` on
-
-    def _more(self) -> bool:
-        self.file.seek(self.at + len(self.held))
-        part = self.file.read(min(_READ, self.length - self.at - len(self.held)))
-        self.held += part
-        return bool(part)
-
-    def _skip(self, n: int) -> None:
-        self.at, self.held = self.at + n, self.held[n:]
-
-    def _inflate(self) -> tuple[bytes, int] | None:
-        """The member at ``at`` and its compressed length; none if it isn't a record's."""
-        z, parts, read, known = zlib.decompressobj(wbits=31), [], 0, b""
-        try:
-            while not z.eof:
-                if read == len(self.held) and not self._more():
+    """The gzip members of a file that start in a byte range, as (offset, data or None, error)."""
+
+    def __init__(self, file, length: int, start: int, end: int, limit: int):
+        self.file, self.length, self.start, self.end, self.limit = file, length, start, end, limit
+        self.base, self.held = start, b""  # ``held`` are the file's bytes from ``base`` on
+
+    def _upto(self, at: int, n: int) -> int:
+        """Hold the ``n`` bytes from ``at`` on, where the file has them; the place of ``at`` in what is held."""
+        if not self.base <= at <= self.base + len(self.held):
+            self.base, self.held = at, b""
+        while self.base + len(self.held) < min(at + n, self.length):
+            self.base, self.held = at, self.held[at - self.base :]
+            self.file.seek(at + len(self.held))
+            self.held += self.file.read(max(_READ, n))
+        return at - self.base
+
+    def _find(self, at: int) -> int:
+        """The next place of gzip's magic bytes, or the file's length."""
+        while at < self.length:
+            place = self._upto(at, len(MAGIC))
+            found = self.held.find(MAGIC, place)
+            if found >= 0:
+                return self.base + found
+            at = max(at + 1, self.base + len(self.held) - len(MAGIC) + 1)
+        return self.length
+
+    def _inflate(self, start: int) -> tuple[bytes | None, int, str | None] | None:
+        """The member at ``start``, where it ends, and what is wrong with it; none if it isn't a record's."""
+        z, parts, at, size, piece, known = zlib.decompressobj(wbits=31), [], start, 0, _FIRST, b""
+        while not z.eof:
+            if at >= self.length:
+                return (None, at, "truncated") if known == b"WARC/1." else None
+            place = self._upto(at, 1)
+            with memoryview(self.held) as held, held[place : place + piece] as part:
+                try:
+                    parts.append(z.decompress(part))
+                except zlib.error:
+                    return (None, start + 1, "damaged") if known == b"WARC/1." else None
+                at += len(part)
+            piece, size = min(2 * piece, _PIECE), size + len(parts[-1])
+            if len(known) < 7:
+                known = b"".join(parts)[:7]
+                if known != b"WARC/1."[: len(known)]:
                     return None
-                parts.append(z.decompress(self.held[read:]))
-                read = len(self.held)
-                if len(known) < 7:
-                    known = b"".join(parts)[:7]
-                    if len(known) == 7 and known != b"WARC/1.":
-                        return None
-        except zlib.error:
-            return None
-        used = read - len(z.unused_data)
-        while len(self.held) < used + len(MAGIC) and self._more():
-            pass
-        follows = self.held[used : used + len(MAGIC)]
-        return (b"".join(parts), used) if known == b"WARC/1." and follows in (b"", MAGIC) else None
-
-    def __iter__(self) -> Iterator[bytes]:
-        while self.at < self.end:
-            found = self.held.find(MAGIC)
-            if found < 0:
-                self._skip(max(0, len(self.held) - len(MAGIC) + 1))
-                if not self._more():
-                    return
+            if size > self.limit:
+                return None, start + 1, "too long"
+        return (b"".join(parts), at - len(z.unused_data), None) if known == b"WARC/1." else None
+
+    def __iter__(self) -> Iterator[tuple[int, bytes | None, str | None]]:
+        # What comes before the first member of a range is the business of the range before, but for the file's start.
+        at, behind = self.start, 0 if self.start == 0 else None
+        while at < self.length and (at < self.end or behind is not None):
+            found = self._find(at)
+            member = self._inflate(found) if found < self.length else None
+            if member is None and found < self.length:
+                at = found + 1
                 continue
-            self._skip(found)
-            if self.at >= self.end:
+            if behind is not None and found > behind:
+                yield behind, None, f"{found - behind} bytes that are no record"
+            behind = None
+            if member is None or found >= self.end:
                 return
-            member = self._inflate()
-            if member is None:
-                self._skip(1)
-                continue
-            yield member[0]
-            self._skip(member[1])
-
-
-def parse_record(data: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
-    """WARC header, HTTP header and payload of a record; names in lower case."""
-
-    def headers(raw: bytes) -> dict[str, str]:
-        pairs = (line.split(":", 1) for line in raw.decode().split("\r\n")[1:])
-        return {k.strip().lower(): v.strip() for k, v in pairs}
-
-    head, _, rest = data.partition(b"\r\n\r\n")
-    warc = headers(head)
-    n = int(warc["content-length"])
-    if rest[n:] != b"\r\n\r\n":
-        raise ValueError(f"record {warc.get('warc-record-id')} has another length than its header says")
-    http, _, payload = rest[:n].partition(b"\r\n\r\n")
-    return warc, headers(http), payload
-
-
-RECORD = "record_id string, record_type string, target_uri string, refers_to string, payload_bytes long, payload_digest string, payload binary"
-_ARROW = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("target_uri", pa.string()), ("refers_to", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
-
-
-def read_warc(spark: SparkSession, path: str, range_bytes: int = 8 << 20, with_payload: bool = True) -> DataFrame:
-    """All records of the ``*.warc.gz`` files under ``path``. Revisit records have no payload; without
+            data, at, error = member
+            yield found, data, error
+            # After a whole member anything but another one is reported; after a damaged one its own row says enough.
+            behind = at if data is not None and at < self.length else None
+
+
+def _headers(raw: bytes) -> tuple[str, dict[str, str]]:
+    """First line and fields of a header block, names in lower case; folded lines belong to the field before."""
+    try:
+        text = raw.decode()
+    except UnicodeDecodeError:
+        text = raw.decode("latin-1")
+    text = text.replace("\r\n", "\n")
+    first, *lines = (re.sub(r"\n[ \t]+", " ", text) if "\n " in text or "\n\t" in text else text).split("\n")
+    pairs = (line.partition(":") for line in lines)
+    return first, {k.strip().lower(): v.strip() for k, colon, v in pairs if colon}
+
+
+def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
+    """WARC header and block of the record at ``at``, and where it ends; ValueError if its length isn't as it says."""
+    stop = data.find(b"\r\n\r\n", at)
+    version, warc = _headers(data[at:stop] if stop >= 0 else b"")
+    length = warc.get("content-length", "")
+    if not version.startswith("WARC/1.") or not (length.isascii() and length.isdigit()):
+        raise ValueError("no WARC header with a length")
+    end = stop + 4 + int(length)
+    if data[end : end + 4] != b"\r\n\r\n":
+        raise ValueError("another length than the header says")
+    return warc, data[stop + 4 : end], end + 4
+
+
+def _unchunked(body: bytes) -> bytes | None:
+    """The payload of a chunked body, none if it isn't one."""
+    out, at = [], 0
+    while (line := body.find(b"\r\n", at)) >= 0:
+        size = body[at:line].split(b";")[0].strip()
+        if not re.fullmatch(rb"[0-9A-Fa-f]{1,16}", size):
+            return None
+        n = int(size, 16)
+        if n == 0:
+            return b"".join(out)
+        out.append(body[line + 2 : line + 2 + n])
+        at = line + 2 + n + 2
+    return None
+
+
+_DIGESTS = ("sha1", "sha256", "md5")
+
+
+def _digest_fits(written: str, payloads: list[bytes]) -> bool:
+    """Whether a digest (``algorithm:value`` in hexadecimal digits or base 32) is one of ``payloads``', or of an
+    algorithm that isn't known here."""
+    kind, _, value = written.partition(":")
+    if kind.lower() not in _DIGESTS:
+        return True
+    found = [hashlib.new(kind.lower(), p, usedforsecurity=False) for p in payloads]
+    return any(value.lower() == d.hexdigest() or value.upper().rstrip("=") == base64.b32encode(d.digest()).decode().rstrip("=") for d in found)
+
+
+def read_record(warc: dict[str, str], block: bytes) -> dict[str, Any]:
+    """A record's fields. HTTP records' payloads are their bodies, other records' their blocks; a revisit has none,
+    and its length is what its HTTP header says."""
+    kind = warc.get("warc-type")
+    digest, error = warc.get("warc-payload-digest"), None
+    payload, length = block, len(block)
+    if warc.get("content-type", "").replace(" ", "").lower().startswith("application/http"):
+        head, _, payload = block.partition(b"\r\n\r\n")
+        http = _headers(head)[1]
+        said = http.get("content-length", "")
+        length = int(said) if said.isascii() and said.isdigit() else len(payload)
+        options = [payload]
+        if "chunked" in http.get("transfer-encoding", "").lower() and (whole := _unchunked(payload)) is not None:
+            payload, length = whole, len(whole)
+            options.append(whole)
+        if kind == "response" and length != len(payload):
+            error = "another payload length than its header says"
+    else:
+        options = [payload]
+    if kind == "revisit":
+        payload = None
+    elif error is None and digest is not None and not _digest_fits(digest, options):
+        error = "another payload than its digest says"
+    value = digest.partition(":")[2] if digest and digest.lower().startswith("sha256:") else digest
+    return {"record_id": warc.get("warc-record-id"), "record_type": kind, "target_uri": warc.get("warc-target-uri"), "refers_to": warc.get("warc-refers-to"), "payload_bytes": length, "payload_digest": value, "payload": payload, "error": error}
+
+
+RECORD = "record_id string, record_type string, target_uri string, refers_to string, payload_bytes long, payload_digest string, payload binary, error string, file string, offset long"
+_ARROW = {"record_id": pa.string(), "record_type": pa.string(), "target_uri": pa.string(), "refers_to": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "payload": pa.binary(), "error": pa.string(), "file": pa.string(), "offset": pa.int64()}
+
+
+def records_in(file, name: str, length: int, start: int, end: int, limit: int) -> Iterator[dict[str, Any]]:
+    """The records, and the damage, that a byte range of a file owns."""
+    for offset, data, error in _Members(file, length, start, end, limit):
+        at = 0
+        if data is None:
+            yield {"error": error, "file": name, "offset": offset}
+        while data is not None and at < len(data):
+            try:
+                warc, block, at = parse_record(data, at)
+            except ValueError as e:
+                yield {"error": str(e), "file": name, "offset": offset}
+                break
+            yield read_record(warc, block) | {"file": name, "offset": offset}
+
+
+def read_warc(spark: SparkSession, path: str, range_bytes: int = 8 << 20, with_payload: bool = True, max_record_bytes: int = 1 << 29) -> DataFrame:
+    """All records of the ``*.warc.gz`` files under ``path``, and rows with ``error`` for what can't be read. Without
     ``with_payload`` payloads are checked and left out."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select("path", "length").filter("length > 0")
     starts = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(range_bytes).cast("long"))).alias("start"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, held = [], 0
+        columns: dict[str, list] = {c: [] for c in _ARROW}
+        held = 0
+
+        def batch_of() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(columns[c], t) for c, t in _ARROW.items()], names=list(_ARROW))
+            for c in columns.values():
+                c.clear()
+            return out
+
         for batch in batches:
             for name, length, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 filesystem, inner = _filesystem(name)
                 with filesystem.open_input_file(inner) as file:
-                    for data in _Members(file, length, start, min(length, start + range_bytes)):
-                        warc, http, payload = parse_record(data)
-                        digest = warc["warc-payload-digest"].removeprefix("sha256:")
-                        if warc["warc-type"] == "response" and (hashlib.sha256(payload).hexdigest() != digest or len(payload) != int(http["content-length"])):
-                            raise ValueError(f"record {warc['warc-record-id']} has another payload than its header says")
-                        rows.append((warc["warc-record-id"], warc["warc-type"], warc.get("warc-target-uri"), warc.get("warc-refers-to"), int(http["content-length"]), digest, payload if with_payload and warc["warc-type"] == "response" else None))
-                        held += len(data)
-                        if held > 1 << 24 or len(rows) >= 10_000:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
-                            rows, held = [], 0
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
+                    for record in records_in(file, name, length, start, min(length, start + range_bytes), max_record_bytes):
+                        if not with_payload:
+                            record["payload"] = None
+                        for c, values in columns.items():
+                            values.append(record.get(c))
+                        held += len(record.get("payload") or b"")
+                        if held > 1 << 24 or len(columns["file"]) >= 10_000:
+                            yield batch_of()
+                            held = 0
+        if columns["file"]:
+            yield batch_of()
 
     return starts.repartition(n, "path", "start").mapInArrow(run, RECORD)
 
 
 def page_records(records: DataFrame) -> DataFrame:
-    """Records of pages as ``page_id, payload_bytes, payload_digest, record_type, refers_to``."""
+    """Records of pages as ``page_id, payload_bytes, payload_digest, record_type, refers_to``; fails on damage."""
+    told = F.concat_ws(" ", F.lit("damaged archive:"), "file", F.col("offset").cast("string"), "error")
+    records = records.withColumn("record_type", F.when(F.col("error").isNotNull(), F.raise_error(told).cast("string")).otherwise(F.col("record_type")))
     page = lambda c: F.nullif(F.regexp_extract(c, "^<urn:page:(-?[0-9]*)>$", 1), F.lit("")).cast("long")
     return records.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
