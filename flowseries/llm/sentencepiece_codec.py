@@ -5,16 +5,20 @@ compiled map and its flags. From them a tokenizer is rebuilt: normaliser, metasp
 unigram scores or, for a BPE model, merges ranked by the scores of what they make.
 
 The model is read by the driver from any store that Hadoop reads, its size is checked against ``MODEL_LIMIT``, and it
-goes to the tasks in their closure. Batches are encoded on ``threads`` threads in slices of bounded length. Parity: everything
-encoded is decoded again and compared with its normalised form; and tasks encode every ``parity_every``-th of their texts with
-the sentencepiece library itself (1: all of them) and fail on a difference.
+goes to the tasks in their closure. Batches are encoded on ``threads`` threads in slices of bounded length.
 
 A BPE text is cut before each run of markers that follows other characters, when no piece of the vocabulary crosses
-such a place; no merge can cross it either, so the ids stay the same, and a worker encodes and checks each distinct
-word once while it remembers it.
+such a place; no merge can cross it either, so the ids stay the same, and a worker encodes each distinct word once
+while it remembers it. Other models encode whole texts.
 
-Defined results: a null text encodes as an empty one, to no ids; empty text decodes to empty text; repeated rows each
-get their own ids; extra columns pass through ``encode``; ids out of range fail.
+Parity with the sentencepiece library covers every text and fails on a difference: each distinct word that a worker
+learns (else each whole text) is also encoded and decoded by the library. Every text's ids are decoded again and
+compared with its normalised form: pieces' bytes are joined, and ids whose bytes aren't UTF-8 go through the
+tokenizers library's decoder, which also decodes each learned word for comparison.
+
+Defined results: a null text encodes as an empty one, to no ids; empty text decodes to empty text; texts of any length
+are encoded whole; repeated rows each get their own ids; extra columns pass through ``encode``; an empty table gives
+none; ids out of range fail.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ import re
 import sys
 import types
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -37,9 +41,10 @@ from flowseries.llm.batches import sliced
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MODEL_LIMIT = 64 << 20
-#: Characters that the library encodes at once, and words that a worker remembers.
+#: Characters that the library encodes at once, and words that a worker remembers (twice so many at most).
 _SLICE = 1 << 18
 _WORDS = 200_000
+_TURN = 256
 MARKER = "▁"
 _WORD = re.compile(f"{MARKER}*[^{MARKER}]+|{MARKER}+")
 # Piece types and model types of the format.
@@ -177,10 +182,16 @@ class Codec:
         self.tokenizer = build_tokenizer(self.model)
         self._own = None
         # Words can be encoded one by one where the text is cut anyway and normalising only marks spaces.
-        self.by_word = self.tokenizer.pre_tokenizer is not None and not self.model.charsmap and not self.model.trim_spaces and USER_DEFINED not in self.model.types
+        self.by_word = self.tokenizer.pre_tokenizer is not None and self.model.dummy_prefix and not self.model.charsmap and not self.model.trim_spaces and USER_DEFINED not in self.model.types
         self._bare = Tokenizer(self.tokenizer.model) if self.by_word else None
         self._words: dict[str, bytes] = {}
-        self._lossy: set[str] = set()
+        self._older: dict[str, bytes] = {}
+        plain = lambda p: p.replace(MARKER, " ").encode()
+        self._bytes = [bytes([int(p[3:5], 16)]) if k == BYTE else plain(p) for p, k in zip(self.model.pieces, self.model.types, strict=True)]
+        # Pieces that decode to something else than themselves; that start with a marker; that are markers only.
+        self._odd = np.array([k in (UNKNOWN, CONTROL) for k in self.model.types])
+        self._leads = np.array([p.startswith(MARKER) for p in self.model.pieces])
+        self._marks = np.array([p != "" and not p.strip(MARKER) for p in self.model.pieces])
 
     @staticmethod
     def of(data: bytes, threads: int) -> Codec:
@@ -200,38 +211,84 @@ class Codec:
         for part in _slices(texts):
             yield from (e.ids for e in tokenizer.encode_batch_fast(part, add_special_tokens=False))
 
-    def _learn(self, words: set[str]) -> None:
-        """Encode words not seen before, and decode them again."""
-        if len(self._words) > _WORDS:
-            self._words.clear()
-            self._lossy.clear()
-        # Pieces decode to themselves; only words with byte pieces need the decoder, after a prefix for it to take off.
-        pieces, prefix = self.model.pieces, [self.model.pieces.index(MARKER)] if self.model.dummy_prefix else []
-        for new in _slices(list(words - self._words.keys())):
-            ids = list(self._encoded(self._bare, new))
-            self._words.update((w, array("i", x).tobytes()) for w, x in zip(new, ids, strict=True))
-            rest = [(w, x) for w, x in zip(new, ids, strict=True) if "".join([pieces[i] for i in x]) != w]
-            back = self.decode([prefix + x for _, x in rest])
-            self._lossy.update(w for (w, _), d in zip(rest, back, strict=True) if d != w.replace(MARKER, " "))
+    def _learn(self, words: list[str]) -> None:
+        """Encode words not seen before, many in one text, and hold them against the library and both decoders."""
+        # A run of markers alone would join the word after it.
+        runs = [w for w in words if not w.strip(MARKER)]
+        for w in runs:
+            ids = next(self._encoded(self._bare, [w]))
+            if len(w) > 1:  # a single one is no text of its own
+                self._compare(w[1:].replace(MARKER, " "), ids)
+            self._words[w] = array("i", ids).tobytes()
+        plain = [w for w in words if w.strip(MARKER)]
+        for at in range(0, len(plain), _TURN):
+            part = plain[at : at + _TURN]
+            joined = "".join(part)
+            bare = joined.replace(MARKER, " ")[1:]
+            ids = next(self._encoded(self.tokenizer, [bare]))
+            if self.by_library([ids]) != [bare] or self.decode_one(np.array(ids, dtype=np.int32)) != bare:
+                raise ValueError("the decoder doesn't give back its words")
+            found = np.array(ids, dtype=np.int32)
+            first = self._leads[found].copy()
+            first[1:] &= ~self._marks[found[:-1]]
+            ends = [*np.flatnonzero(first)[1:].tolist(), len(found)]
+            raw, begin = found.tobytes(), 0
+            for w, end in zip(part, ends, strict=True):
+                self._words[w] = raw[4 * begin : 4 * end]
+                begin = end
+            # The library takes each word as a text, whose own prefix is the word's marker.
+            if self.library_ids([w[1:].replace(MARKER, " ") for w in part]) != [np.frombuffer(self._words[w], dtype=np.int32).tolist() for w in part]:
+                raise ValueError("the rebuilt tokenizer differs from the library")
+
+    def _compare(self, text: str, ids: list[int]) -> None:
+        if self.library_ids([text]) != [ids]:
+            raise ValueError("the rebuilt tokenizer differs from the library")
+
+    def _by_words(self, texts: list[str]) -> Iterator[np.ndarray]:
+        for part in _slices(texts):
+            cut = [_WORD.findall(MARKER + text.replace(" ", MARKER)) if text else [] for text in part]
+            found = [list(map(self._words.get, words)) for words in cut]
+            new = {w for words, known in zip(cut, found, strict=True) if None in known for w, k in zip(words, known, strict=True) if k is None}
+            if new:
+                # Words in use move on to the new generation; the older one goes when that is full.
+                if len(self._words) > _WORDS:
+                    self._older, self._words = self._words, {}
+                    self._words.update((w, k) for words, known in zip(cut, found, strict=True) for w, k in zip(words, known, strict=True) if k is not None)
+                self._words.update((w, self._older[w]) for w in new & self._older.keys())
+                self._learn(list(new - self._older.keys()))
+            for words, known in zip(cut, found, strict=True):
+                whole = [k if k is not None else self._words[w] for w, k in zip(words, known, strict=True)] if None in known else known
+                yield np.frombuffer(b"".join(whole), dtype=np.int32)
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
         """Ids of each text, and whether they decode to its normalised form."""
-        if not self.by_word:
-            ids = list(self._encoded(self.tokenizer, texts))
-            same = [self.restored(t) == d for t, d in zip(texts, self.decode(ids), strict=True)]
-            return [np.array(x, dtype=np.int32) for x in ids], same
-        ids, same, prefix = [], [], MARKER if self.model.dummy_prefix else ""
-        for part in _slices(texts):
-            cut = [_WORD.findall(prefix + text.replace(" ", MARKER)) if text else [] for text in part]
-            self._learn(set().union(*cut))
-            for words in cut:
-                ids.append(np.frombuffer(b"".join(map(self._words.__getitem__, words)), dtype=np.int32))
-                same.append(not self._lossy or self._lossy.isdisjoint(words))
-        return ids, same
-
-    def decode(self, ids: list[list[int]]) -> list[str]:
+        if self.by_word:
+            ids = list(self._by_words(texts))
+        else:
+            found = list(self._encoded(self.tokenizer, texts))
+            for text, x in zip(texts, found, strict=True):
+                self._compare(text, x)
+            ids = [np.array(x, dtype=np.int32) for x in found]
+        return ids, [self.restored(t) == self.decode_one(x) for t, x in zip(texts, ids, strict=True)]
+
+    def by_library(self, ids: list[list[int]]) -> list[str]:
+        """Texts of ids by the tokenizers library's decoder."""
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False) if ids else []
 
+    def decode_one(self, ids: np.ndarray) -> str:
+        """Text of ids."""
+        if len(ids) and (ids.min() < 0 or self._odd[ids].any()):
+            return self.by_library([ids.tolist()])[0]
+        try:
+            text = b"".join(map(self._bytes.__getitem__, ids.tolist())).decode()
+        except UnicodeDecodeError:
+            return self.by_library([ids.tolist()])[0]
+        return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
+
+    def decode(self, ids: Iterable[list[int]]) -> Iterator[str]:
+        """Texts of lists of ids, one at a time."""
+        return (self.decode_one(np.array(x, dtype=np.int64)) for x in ids)
+
     def library_ids(self, texts: list[str]) -> list[list[int]]:
         if self._own is None:
             import sentencepiece
@@ -272,19 +329,15 @@ def load_model(spark: SparkSession, path: str = MODEL) -> bytes:
         stream.close()
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], at: int, model: bytes, threads: int, parity_every: int):
+def _encoded(batches: Iterator[pa.RecordBatch], at: int, model: bytes, threads: int):
     """Batches with the ids of their texts and whether they decode to the normalised texts."""
     codec = Codec.of(model, threads)
     for batch in sliced(batches):
-        texts = [x or "" for x in batch.column(at).to_pylist()]
-        ids, same = codec.encode(texts)
-        some = range(0, len(texts), parity_every)
-        if any(own != ids[i].tolist() for i in some for own in codec.library_ids([texts[i]])):
-            raise ValueError("the rebuilt tokenizer differs from the library")
+        ids, same = codec.encode([x or "" for x in batch.column(at).to_pylist()])
         yield batch, ids, same
 
 
-def encode(docs: DataFrame, model: bytes, threads: int = 2, parity_every: int = 16) -> DataFrame:
+def encode(docs: DataFrame, model: bytes, threads: int = 2) -> DataFrame:
     """``docs`` with ``token_ids`` (array of int) and ``round_trip`` (the decoded ids are the normalised text),
     in place of columns so named."""
     docs = docs.drop("token_ids", "round_trip")
@@ -293,7 +346,7 @@ def encode(docs: DataFrame, model: bytes, threads: int = 2, parity_every: int =
     names = [*docs.columns, "token_ids", "round_trip"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, ids, same in _encoded(batches, at, model, threads, parity_every):
+        for batch, ids, same in _encoded(batches, at, model, threads):
             yield pa.RecordBatch.from_arrays([*batch.columns, _lists(ids), pa.array(same, pa.bool_())], names=names)
 
     return docs.mapInArrow(run, schema)
@@ -309,18 +362,18 @@ def decode(tokens: DataFrame, model: bytes, threads: int = 2) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(model, threads)
         for batch in sliced(batches):
-            texts = codec.decode([x or [] for x in batch.column(at).to_pylist()])
+            texts = list(codec.decode(x or [] for x in batch.column(at).to_pylist()))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*columns, "decoded"])
 
     return tokens.mapInArrow(run, schema)
 
 
-def token_digest(docs: DataFrame, model: bytes, threads: int = 2, parity_every: int = 16) -> DataFrame:
+def token_digest(docs: DataFrame, model: bytes, threads: int = 2) -> DataFrame:
     """``doc_id, n_tokens, n_bytes, ids_sha256, round_trip``: the digest is of the ids as 4-byte little-endian numbers."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, ids, same in _encoded(batches, 1, model, threads, parity_every):
+        for batch, ids, same in _encoded(batches, 1, model, threads):
             n = pa.array([len(x) for x in ids], pa.int64())
             digests = pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), n, batch.column(2), digests, pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "n_bytes", "ids_sha256", "round_trip"])
