@@ -1,21 +1,28 @@
 """Quality classifier: nearest-neighbour voting over latent-semantic vectors.
 
-Terms of a text: trigrams of byte classes, and bins of its shape (share of distinct words, share of repeated 3-word
-windows, repeated lines, words by length), each as a term of its own. A bounded sample of labelled documents fits term
-weights and a truncated singular value decomposition on the driver; their vectors and labels are broadcast. Every
-document's vector is compared with all of them by exact cosine products, block by block, and the labels of the
-``neighbours`` most similar ones are averaged with weights ``similarity ** power``.
+Terms of a text: its words (letters, lower case), hashed into ``_WORD_TERMS`` bins; trigrams of byte classes; and bins
+of its shape (share of distinct words, share of repeated 3-word windows, repeated lines, words by length), each as a
+term of its own. Words and classes weigh the same as wholes. A bounded sample of labelled documents fits term weights
+and a truncated singular value decomposition on the driver; their vectors and labels are broadcast. Every document's
+vector is compared with all of them by exact cosine products, block by block, and the labels of the ``neighbours``
+most similar ones are averaged with weights ``similarity ** power``.
+
+Scores don't depend on which documents share a block: blocks are filled up to one size, products are in double
+precision, cosines are rounded to ten digits, and of equally similar voters those with smaller ids count.
 
 Bounds: ``max_labelled`` documents fit the model and vote (lowest hashes of their ids, so they spread over the
-labelled rows); terms and dimensions are fixed. All documents are scored.
+labelled rows; of repeated rows of one id the smallest text), so no more than that come to the driver; terms and
+dimensions are fixed. All documents are scored, over their whole texts.
 
-Defined results: null text is empty; a text without terms has no neighbours and gets the share of label 1 among the
-voters; without labelled rows every score is 0.5; of several labels of one id the highest counts; null ids are never
-labelled and not held out; repeated rows are scored alike.
+Defined results: null text is empty; a text of fewer than three bytes has no terms, so no neighbours, and gets the
+share of label 1 among the voters; without labelled rows every score is 0.5; of several labels of one id the highest
+counts; null ids are never labelled and not held out; repeated rows are scored alike; an empty table gives none;
+extra columns aren't read.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,8 +37,13 @@ from flowseries.llm.batches import sliced
 _N_CLASSES = 12
 _SHAPE_BINS = 12
 _SHAPES = 5
-N_TERMS = _N_CLASSES**3 + _SHAPES * _SHAPE_BINS
-_BLOCK = 1024
+_WORD_TERMS = 1 << 11
+_TRIGRAMS = _N_CLASSES**3
+_SHAPE_AT = _TRIGRAMS + _SHAPES * _SHAPE_BINS
+N_TERMS = _SHAPE_AT + _WORD_TERMS
+_BLOCK = 256
+_DIGITS = 10
+_LETTERS = bytes(c if c >= 0x80 or chr(c).isalpha() else 32 for c in range(256))
 
 _CLASS = np.full(256, 11, dtype=np.int16)
 for _k, _chars in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t", b"\n\r", b".", b",;:", b"!?", b"#*$%&", b"|<>", b"'\"()-_/=@+")):
@@ -62,7 +74,7 @@ def term_counts(raw: bytes | None) -> np.ndarray:
         return out
     c = _CLASS[np.frombuffer(raw, dtype=np.uint8)]
     codes = c[:-2] * (_N_CLASSES * _N_CLASSES) + c[1:-1] * _N_CLASSES + c[2:]
-    out[: _N_CLASSES**3] = np.bincount(codes, minlength=_N_CLASSES**3)
+    out[:_TRIGRAMS] = np.bincount(codes, minlength=_TRIGRAMS)
     words = raw.split()
     if words:
         n = len(words)
@@ -77,13 +89,17 @@ def term_counts(raw: bytes | None) -> np.ndarray:
         )
         weight = max(1.0, len(codes) / 10)
         for k, share in enumerate(shapes):
-            out[_N_CLASSES**3 + k * _SHAPE_BINS + _bin(share)] = weight * (1 if k < 3 else 0.25)
+            out[_TRIGRAMS + k * _SHAPE_BINS + _bin(share)] = weight * (1 if k < 3 else 0.25)
+    named = Counter(raw.translate(_LETTERS).lower().split())
+    for word, n in named.items():
+        out[_SHAPE_AT + zlib.crc32(word) % _WORD_TERMS] += n
     return out
 
 
 def _weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    x = np.log1p(counts) * idf
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    """Term weights of unit length; words together weigh as much as all other terms."""
+    x = np.log1p(counts.astype(np.float64)) * idf
+    return np.hstack([_unit(x[:, :_SHAPE_AT]), _unit(x[:, _SHAPE_AT:])]) / np.sqrt(2)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -98,33 +114,49 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 4000, dimensions
     """Fit on ``max_labelled`` of the labelled documents that aren't held out."""
     known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").filter(~held_out(F.col("doc_id")))
     sample = known.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("raw")).join(F.broadcast(sample), "doc_id").select("doc_id", "raw", "quality")
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("raw")).join(F.broadcast(sample), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("raw").alias("raw"), F.max("quality").alias("quality"))
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             packed = [term_counts(raw).tobytes() for raw in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), batch.column(2)], names=["doc_id", "terms", "quality"])
 
+    # At most ``max_labelled`` rows.
     found = sorted(rows.mapInArrow(terms, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, terms binary, quality int").collect())
     if not found:
-        return KnnModel(np.ones(N_TERMS, np.float32), np.zeros((N_TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0, np.float32), neighbours, power)
+        return KnnModel(np.ones(N_TERMS), np.zeros((N_TERMS, 1)), np.zeros((0, 1)), np.zeros(0), neighbours, power)
     counts = np.stack([np.frombuffer(r[1], dtype=np.float32) for r in found])
-    idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
+    idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1
     x = _weighted(counts, idf)
-    _, axes = np.linalg.eigh((x.T @ x).astype(np.float64))
-    axes = axes[:, ::-1][:, : min(dimensions, len(x))].astype(np.float32)
-    return KnnModel(idf, axes, _unit(x @ axes), np.array([r[2] for r in found], dtype=np.float32), neighbours, power)
+    axes = _axes(x, min(dimensions, len(x)))
+    return KnnModel(idf, axes, _unit(x @ axes), np.array([r[2] for r in found], dtype=np.float64), neighbours, power)
+
+
+def _axes(x: np.ndarray, n: int) -> np.ndarray:
+    """The ``n`` leading right singular vectors, by subspace iteration from a fixed start with some vectors to spare."""
+    y = np.random.default_rng(0).normal(size=(x.shape[1], min(n + 16, *x.shape)))
+    for _ in range(12):
+        y = np.linalg.qr(x.T @ np.linalg.qr(x @ y)[0])[0]
+    return np.ascontiguousarray(y @ np.linalg.svd(x @ y, full_matrices=False)[2].T[:, :n])
+
+
+def _padded(x: np.ndarray) -> np.ndarray:
+    """Rows of zeros up to a whole block, so that every product has one shape."""
+    return np.vstack([x, np.zeros((-len(x) % _BLOCK, x.shape[1]), dtype=x.dtype)])
 
 
 def vote(counts: np.ndarray, model: KnnModel) -> np.ndarray:
-    """Scores of a block of documents."""
+    """Scores of a block of up to ``_BLOCK`` documents."""
     n = len(model.labels)
     if not n:
         return np.full(len(counts), 0.5)
-    cosines = _unit(_weighted(counts, model.idf) @ model.axes) @ model.vectors.T
+    cosines = (_unit(_weighted(_padded(counts), model.idf) @ model.axes) @ model.vectors.T)[: len(counts)]
     k = min(model.neighbours, n)
-    near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-    weights = np.maximum(np.take_along_axis(cosines, near, axis=1), 0) ** model.power
+    # One whole number for each voter: the rounded cosine, then the voter's place, so that none are alike.
+    whole = np.rint(cosines * 10**_DIGITS).astype(np.int64)
+    near = np.sort(np.argpartition(whole * -n + np.arange(n), k - 1, axis=1)[:, :k], axis=1)
+    weights = np.maximum(np.take_along_axis(whole, near, axis=1) / 10**_DIGITS, 0) ** model.power
     total = weights.sum(axis=1)
     prior = float(model.labels.mean())
     return np.where(total > 0, (weights * model.labels[near]).sum(axis=1) / np.maximum(total, 1e-12), prior).clip(0, 1)

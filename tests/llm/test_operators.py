@@ -383,6 +383,41 @@ def test_votes_are_exact_neighbours():
         assert s == pytest.approx(sum(a * la for a, (_, la) in zip(w, cos, strict=True)) / sum(w), abs=1e-4)
 
 
+def test_scores_do_not_depend_on_blocks(spark):
+    import numpy as np
+
+    texts = [prose(i, 20 + i % 90) + ("###" if i % 3 else "") for i in range(300)] + ["same text here"] * 3
+    counts = np.stack([quality_knn.term_counts(t.encode()) for t in texts])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, quality int")
+    model = quality_knn.fit(df, labels, max_labelled=120)
+    whole = np.concatenate([quality_knn.vote(counts[a : a + 256], model) for a in range(0, len(counts), 256)])
+    alone = np.concatenate([quality_knn.vote(counts[i : i + 1], model) for i in range(len(counts))])
+    back = np.concatenate([quality_knn.vote(counts[i : i + 7][::-1], model)[::-1] for i in range(0, len(counts), 7)])
+    assert (whole == alone).all() and (whole == back).all() and len(set(whole[-3:])) == 1
+    assert [r.score for r in quality_knn.score(df, model).orderBy("doc_id").collect()] == whole.tolist()
+    # Of voters that are alike the first ones count.
+    same = quality_knn.KnnModel(model.idf, model.axes, np.repeat(model.vectors[:1], 40, axis=0), np.array([1.0] * 15 + [0.0] * 25), 15, 4.0)
+    assert (quality_knn.vote(counts[:5], same) == 1).all()
+
+
+def test_words_count_in_the_classifier(spark):
+    """Texts of the same shapes and character classes, which only their words tell apart."""
+    r = random.Random(8)
+    good, bad = (["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(30)] for _ in range(2))
+    rows = [(i, " ".join(r.choice(good if i % 2 else bad) for _ in range(60))) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = quality_knn.fit(df, spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int"))
+    out = quality_knn.score(df, model).filter("held_out").collect()
+    assert len(out) > 100 and sum(x.predicted == x.doc_id % 2 for x in out) == len(out)
+
+
+def test_repeated_ids_stay_within_the_sample(spark):
+    df = spark.createDataFrame([(1, "one text")] * 500 + [(2, "another text"), (2, "a text")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(9)], "doc_id long, quality int")
+    assert len(quality_knn.fit(df, labels).labels) <= 2
+
+
 def test_classifier_of_awkward_tables(spark, awkward):
     labels = spark.createDataFrame([(0, 1), (0, 0), (4, 1), (7, 0), (None, 1), (99, 0)], "doc_id long, quality int")
     for known in (labels, labels.filter("false")):
