@@ -5,11 +5,13 @@ character classes, and common words of its language. Their Jensen-Shannon distan
 of the language decide, above minimum lengths.
 
 A reference is the median text of the language, class by class, over the whole table: each distinct text that passes
-the base rules votes once, so copies and junk can't move it to their own shape. References are at most one row for
-each language in ``COMMON_WORDS``.
+the base rules votes once, so copies and junk can't move it to their own shape. Medians are exact over shares in small
+steps, so they don't depend on the order of rows. References are at most one row for each language in
+``COMMON_WORDS``.
 
-Defined results: null text counts as empty; a null or unlisted language has no reference, so only the base rules
-decide; repeated rows are judged alike, each on its own row; ``doc_id`` may be null; other columns pass through
+Defined results: null text counts as empty; texts of any length are judged whole; a null or unlisted language has no
+reference, so only the base rules decide, as they do for a language without any text that passes them; repeated rows
+are judged alike, each on its own row; ``doc_id`` may be null; an empty table gives none; other columns pass through
 ``quality_filter`` untouched whatever their names.
 """
 
@@ -38,6 +40,7 @@ COMMON_WORDS: dict[str, tuple[str, ...]] = {
     "nl": ("de", "van", "het", "een", "en", "in", "is", "dat", "op", "te", "zijn", "voor", "met", "die", "niet", "aan", "er", "om", "ook", "als", "dan", "maar", "bij"),
 }
 N_COMMON = 24  # the words and all others
+_STEPS = 4096
 CLASSES = ("lower", "upper", "digit", "space", "sentence", "symbol", "other_ascii", "non_ascii")
 
 _CLASS_OF = np.full(256, CLASSES.index("other_ascii"), dtype=np.uint8)
@@ -147,7 +150,8 @@ def language_references(docs: DataFrame, limits: QualityLimits = QualityLimits()
 
     rows = docs.select("lang", F.col("text").cast("binary").alias("raw")).mapInArrow(shares, "lang string, digest binary, classes array<double>, words array<double>")
     texts = rows.groupBy("lang", "digest").agg(F.first("classes").alias("classes"), F.first("words").alias("words"))
-    median = lambda c, n: F.array(*[F.percentile_approx(F.col(c)[i], 0.5, 1000) for i in range(n)]).alias(c)
+    # Exact medians of shares in steps of 1 / _STEPS: each holds _STEPS + 1 counts at most, in whatever order rows come.
+    median = lambda c, n: F.array(*[F.percentile(F.rint(F.col(c)[i] * _STEPS).cast("int"), 0.5) / _STEPS for i in range(n)]).alias(c)
     found = texts.groupBy("lang").agg(median("classes", len(CLASSES)), median("words", N_COMMON)).collect()
     return {r.lang: (r.classes, r.words) for r in found}
 
