@@ -5,7 +5,8 @@ from collections import Counter
 
 import pytest
 from compare import duck, spark_rows
-from test_operators import brute_components, brute_mix, brute_pii, brute_simhash
+from test_near_copies import brute_groups
+from test_operators import brute_mix, brute_pii
 
 import corpus_pipeline
 from flowseries.llm import queries, quality_rules
@@ -28,15 +29,13 @@ def test_pipeline(spark):
     good = {r.doc_id: r for r in docs.collect() if quality_rules.judge(r.text.encode(), r.lang, references, quality_rules.QualityLimits())[6]}
     out = corpus_pipeline.quality(spark, docs, SF).cache()
     assert out.columns == COLUMNS and sorted(r.doc_id for r in out.collect()) == sorted(good)
-    fps = {i: brute_simhash(r.text) for i, r in good.items()}
-    groups, first = brute_components(fps.values()), {}
-    for i in sorted(fps):
-        first.setdefault(groups[fps[i]], i)
+    # Near copies: five words a shingle, Jaccard similarity of 0.8 or more, over all pairs.
+    first = set(brute_groups({i: r.text for i, r in good.items()}).values())
     out = corpus_pipeline.dedup(spark, out, SF).cache()
-    assert out.columns == COLUMNS and sorted(r.doc_id for r in out.collect()) == sorted(first.values())
+    assert out.columns == COLUMNS and sorted(r.doc_id for r in out.collect()) == sorted(first)
     out = corpus_pipeline.personal_data(spark, out, SF).cache()
     clean = {r.doc_id: r for r in out.collect()}
-    assert out.columns == COLUMNS and sorted(clean) == sorted(first.values())
+    assert out.columns == COLUMNS and sorted(clean) == sorted(first)
     for i, r in clean.items():
         assert brute_pii(r.text) == "" and r.n_chars == len(r.text) and (brute_pii(good[i].text) != "" or r.text == good[i].text)
     want = brute_mix([(i, r.text, r.source) for i, r in clean.items()])
