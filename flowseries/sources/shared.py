@@ -8,9 +8,12 @@ from pyspark.sql import SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A path under ``spark.checkpoint.dir``; a new temporary folder only where that is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A path under ``spark.checkpoint.dir``; a new temporary folder only where that is unset in local mode, as in
+    tests: on a cluster executors wouldn't share it, so that fails."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='flowseries-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}"
