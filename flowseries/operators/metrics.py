@@ -6,12 +6,12 @@ from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowseries.functions.addresses import series_id
 from flowseries.operators.points import POINT_COLUMNS
-from flowseries.operators.windows import cumulative, pair_series, with_previous
+from flowseries.operators.windows import behind, pair_series, with_previous
 from flowseries.schema import FLOAT, INT
 
 
@@ -21,6 +21,9 @@ class Metric:
     name: str = ""
     description: str = ""
     required: tuple[str, ...] = ()
+    optional: tuple[str, ...] = ()
+    #: Off where ``compute`` gives nothing for flows that lack a series, so that they needn't be looked up first.
+    looks_up_flows: bool = True
 
     def compute(self, points: DataFrame) -> DataFrame:
         raise NotImplementedError
@@ -32,8 +35,8 @@ class Metric:
 
     def run(self, points: DataFrame) -> DataFrame:
         """The new series of every complete flow."""
-        needed = points.filter(F.col("name").isin(*self.required))
-        return self.compute(needed.join(self.complete_flows(points), "flow_id", "left_semi"))
+        needed = points.filter(F.col("name").isin(*self.required, *self.optional))
+        return self.compute(needed if not self.looks_up_flows else needed.join(self.complete_flows(points), "flow_id", "left_semi"))
 
     def preview(self, points: DataFrame) -> DataFrame:
         """``points`` with the new series."""
@@ -67,12 +70,18 @@ def as_series(rows: DataFrame, name: str, tag: int, value) -> DataFrame:
     return rows.select("flow_id", series_id(F.col("flow_id"), F.lit(name)).alias("series_id"), F.lit(name).alias("name"), F.lit(tag).alias("type"), "ts", "ts_ns", *cells)
 
 
+def _numbers(rows: DataFrame, name: str) -> DataFrame:
+    """Rows with flow_id, ts, ts_ns, type (Int or Float) and the value as ``i`` or ``f`` as points of series ``name``."""
+    return rows.select("flow_id", series_id(F.col("flow_id"), F.lit(name)).alias("series_id"), F.lit(name).alias("name"), "type", "ts", "ts_ns", F.col("i").alias("value_int"), F.col("f").alias("value_float"), F.lit(None).cast("boolean").alias("value_bool"), F.lit(None).cast("string").alias("value_text"))
+
+
 @register
 class UpperWindow(Metric):
     """Upper edge of the send window. Types of both series must match and be numbers; pairs that don't are left out
     unless ``strict``, which fails on them."""
 
     name, description = "UPPER_WND", "SND_UNA + SND_WND"
+    looks_up_flows = False
 
     def __init__(self, una: str = "SND_UNA", wnd: str = "SND_WND", align: str = "timestamp", strict: bool = False, time_bucket: float | None = None):
         self.required, self.align, self.strict, self.time_bucket = (una, wnd), align, strict, time_bucket
@@ -82,9 +91,9 @@ class UpperWindow(Metric):
         fits = (F.col("type_a") == F.col("type_b")) & F.col("type_a").isin(INT, FLOAT)
         if self.strict:
             fits = F.when(fits, True).otherwise(F.raise_error(F.lit("series of other types than both Int or both Float")).cast("boolean"))
-        pairs = pairs.filter(fits)
-        whole = as_series(pairs.filter(F.col("type_a") == INT), self.name, INT, F.col("value_int_a") + F.col("value_int_b"))
-        return whole.unionByName(as_series(pairs.filter(F.col("type_a") == FLOAT), self.name, FLOAT, F.col("value_float_a") + F.col("value_float_b")))
+        whole = F.col("type_a") == INT
+        pairs = pairs.filter(fits).select("flow_id", "ts", "ts_ns", F.col("type_a").alias("type"), F.when(whole, F.col("value_int_a") + F.col("value_int_b")).alias("i"), F.when(~whole, F.col("value_float_a") + F.col("value_float_b")).alias("f"))
+        return _numbers(pairs, self.name)
 
 
 @register
@@ -92,6 +101,7 @@ class RandomSeries(Metric):
     """Uniform values in [4e7, 5.2e8) at each time of a series; an example and a debugging aid."""
 
     name, description = "tst_rndm", "random values"
+    looks_up_flows = False
 
     def __init__(self, source: str = "ACK_NUM", seed: int = 1):
         self.required, self.seed = (source,), seed
@@ -102,16 +112,26 @@ class RandomSeries(Metric):
 
 @register
 class DuplicateAcks(Metric):
-    """Acknowledgements equal to the flow's one before."""
+    """Acknowledgements as in the flow's packet before, of packets without payload progress: sequence number and
+    window are the same too, and neither opens nor closes the connection. A series without a point at a packet's time
+    (zeros give none) counts as zero; packets of one flow and time are one."""
 
-    name, description = "DUP_ACK", "ACK_NUM as in the packet before"
+    name, description = "DUP_ACK", "ACK_NUM as in the packet before, without payload progress"
+    looks_up_flows = False
 
-    def __init__(self, ack: str = "ACK_NUM", time_bucket: float | None = None):
-        self.required, self.time_bucket = (ack,), time_bucket
+    def __init__(self, ack: str = "ACK_NUM", seq: str = "SEQ_NUM", window: str = "WINDOW", flags: tuple[str, ...] = ("FLAG_SYN", "FLAG_FIN"), time_bucket: float | None = None):
+        self.required, self.optional, self.time_bucket = (ack,), (seq, window, *flags), time_bucket
 
     def compute(self, points: DataFrame) -> DataFrame:
-        again = with_previous(points, {"v": F.col("value_int")}, self.time_bucket, "flow_id").filter(F.col("value_int") == F.col("_previous.v"))
-        return as_series(again, self.name, INT, F.col("value_int"))
+        (ack,), (seq, window, *flags) = self.required, self.optional
+        of = lambda n: F.max(F.when(F.col("name") == n, F.col("value_int")))
+        flag = F.max(F.when(F.col("name").isin(flags), F.col("value_bool")))
+        packets = points.groupBy("flow_id", "ts").agg(F.max("ts_ns").alias("ts_ns"), of(ack).alias("_ack"), F.coalesce(of(seq), F.lit(0)).alias("_seq"), F.coalesce(of(window), F.lit(0)).alias("_window"), F.coalesce(flag, F.lit(False)).alias("_flag"))
+        same = ("_ack", "_seq", "_window")
+        again = with_previous(packets, {c: F.col(c) for c in same}, self.time_bucket, "flow_id").filter(~F.col("_flag"))
+        for c in same:
+            again = again.filter(F.col(c) == F.col(f"_previous.{c}"))
+        return as_series(again, self.name, INT, F.col("_ack"))
 
 
 @register
@@ -120,37 +140,39 @@ class Retransmissions(Metric):
     as behind when it is less than half the circle back."""
 
     name, description = "RETRANS", "SEQ_NUM behind the highest before"
+    looks_up_flows = False
 
     def __init__(self, seq: str = "SEQ_NUM", time_bucket: float | None = None):
         self.required, self.time_bucket = (seq,), time_bucket
 
     def compute(self, points: DataFrame) -> DataFrame:
-        half, circle = 1 << 31, 1 << 32
-        # Unwrapped: each step goes the shorter way round, and steps add up.
-        stepped = with_previous(points, {"v": F.col("value_int")}, self.time_bucket, "flow_id")
-        step = F.pmod(F.col("value_int") - F.col("_previous.v"), F.lit(circle))
-        stepped = stepped.withColumn("_s", F.coalesce(F.when(step >= half, step - circle).otherwise(step), F.lit(0)))
-        unwrapped = cumulative(stepped, F.col("_s"), "sum", "_u", self.time_bucket, "flow_id")
-        behind = cumulative(unwrapped, F.col("_u"), "max", "_m", self.time_bucket, "flow_id", strict=True).filter(F.col("_u") <= F.col("_m"))
-        return as_series(behind, self.name, INT, F.col("value_int"))
+        rows = points.select("flow_id", "ts", "ts_ns", "value_int")
+        return as_series(behind(rows, F.col("value_int"), 1 << 32, self.time_bucket, "flow_id"), self.name, INT, F.col("value_int"))
 
 
 class PandasMetric(Metric):
-    """For mathematics that isn't relational: ``compute_flow`` gets one flow's points as pandas and returns ``ts`` and
-    ``value`` rows. A flow must fit a task, so cut long flows with ``time_bucket`` where the mathematics allow it."""
+    """For mathematics that isn't relational: ``compute_flow`` gets one flow's points of one ``time_bucket`` as pandas
+    and returns ``ts`` and ``value`` rows. What it needs to know of the whole flow are ``totals``, aggregates that
+    Spark works out first and that stand beside each point; so a long flow needn't fit a task. Without ``time_bucket``
+    a flow comes whole, for mathematics that can't be cut."""
 
     time_bucket: float | None = None
 
+    def totals(self) -> dict[str, Column]:
+        return {}
+
     def compute_flow(self, frame: pd.DataFrame) -> pd.DataFrame:
         raise NotImplementedError
 
     def compute(self, points: DataFrame) -> DataFrame:
-        compute_flow = self.compute_flow
+        compute_flow, totals = self.compute_flow, self.totals()
 
         def run(frame: pd.DataFrame) -> pd.DataFrame:
             out = compute_flow(frame.sort_values(["name", "ts"]))
             return pd.DataFrame({"flow_id": frame["flow_id"].iloc[0], "ts": out["ts"].astype(float), "value": out["value"].astype(float)})
 
+        if totals:
+            points = points.join(points.groupBy("flow_id").agg(*[c.alias(n) for n, c in totals.items()]), "flow_id")
         keys = ["flow_id"] if self.time_bucket is None else ["flow_id", F.floor(F.col("ts") / self.time_bucket).alias("_b")]
         rows = points.groupBy(*keys).applyInPandas(run, "flow_id long, ts double, value double")
         return as_series(rows.withColumn("ts_ns", F.lit(None).cast("long")), self.name, FLOAT, F.col("value"))
@@ -158,5 +180,3 @@ class PandasMetric(Metric):
 
 def preview_all(points: DataFrame, metrics: list[Metric]) -> DataFrame:
     return reduce(DataFrame.unionByName, [m.run(points) for m in metrics], points.select(*POINT_COLUMNS))
-
-

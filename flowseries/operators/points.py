@@ -60,18 +60,20 @@ def union_sources(*sources: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, sources)
 
 
-def _occurrence(points: DataFrame, order: list[str]) -> DataFrame:
-    return points.withColumn("_n", F.row_number().over(Window.partitionBy("series_id", "ts").orderBy(*order)))
-
-
 def split_duplicates(points: DataFrame, order: list[str], on_duplicate: str = "first") -> tuple[DataFrame, DataFrame]:
     """Points with a (series, ts) of their own, and the rest. The first by ``order``, a total order, is kept;
-    ``error`` fails on the first duplicate read."""
-    marked = _occurrence(points, order)
+    ``error`` fails on the first duplicate read. Keys are counted by hash, and only points of repeated keys are sorted;
+    while those keys are few, Spark broadcasts them and doesn't shuffle the points."""
+    key = ["series_id", "ts"]
+    # A null key is no point's own either; it equals itself here as it does in a window.
+    same = (F.col("series_id").eqNullSafe(F.col("_series"))) & (F.col("ts").eqNullSafe(F.col("_ts")))
+    repeated = points.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col("series_id").alias("_series"), F.col("ts").alias("_ts"))
+    single, several = points.join(repeated, same, "left_anti"), points.join(repeated, same, "left_semi")
     if on_duplicate == "error":
         message = F.concat(F.lit("duplicate point of series "), F.col("series_id").cast("string"))
-        marked = marked.withColumn("_n", F.when(F.col("_n") > 1, F.raise_error(message).cast("int")).otherwise(F.col("_n")))
-    return marked.filter("_n = 1").drop("_n"), marked.filter("_n > 1").drop("_n")
+        several = several.filter(F.raise_error(message).cast("boolean"))
+    marked = several.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
+    return single.unionByName(marked.filter("_n = 1").drop("_n")), marked.filter("_n > 1").drop("_n")
 
 
 def mismatched(points: DataFrame, series: DataFrame) -> DataFrame:

@@ -33,9 +33,13 @@ def with_previous(points: DataFrame, values: dict[str, Column], time_bucket: flo
     row = F.struct(*[c.alias(n) for n, c in values.items()])
     if time_bucket is None:
         return points.withColumn("_previous", F.lag(row).over(_in_order(by)))
-    b = _bucketed(points, time_bucket, F.max_by(row, "ts"), "last", by)
+    keyed = points.withColumn("_b", F.floor(F.col("ts") / time_bucket))
+    # Value by value, since an aggregate of structs would sort.
+    ends = keyed.groupBy(by, "_b").agg(*[F.max_by(c, "ts").alias(n) for n, c in values.items()])
+    before = Window.partitionBy(by).orderBy("_b")
+    ends = ends.select(by, "_b", F.lag(F.struct(*values)).over(before).alias("_end"))
     w = Window.partitionBy(by, "_b").orderBy("ts")
-    return b.withColumn("_previous", F.coalesce(F.lag(row).over(w), F.col("carry"))).drop("_b", "carry")
+    return keyed.join(ends, [by, "_b"]).withColumn("_previous", F.coalesce(F.lag(row).over(w), F.col("_end"))).drop("_b", "_end")
 
 
 def rate(points: DataFrame, time_bucket: float | None = None, into: str = "rate") -> DataFrame:
@@ -125,13 +129,44 @@ def asof_fill(points: DataFrame, target: str, source: str, time_bucket: float |
     return filled.filter(F.col("name") == target).drop("_s")
 
 
+def behind(points: DataFrame, value: Column, circle: int, time_bucket: float | None = None, by: str = SERIES) -> DataFrame:
+    """Points of a number that counts up and wraps at ``circle`` whose value is at or below one before. Each step goes
+    the shorter way round the circle, and steps add up.
+
+    With ``time_bucket`` steps, their sum and its maximum run inside buckets, in one shuffle, and one row for each
+    bucket carries them on; the points are read twice, for the buckets' rows and for their totals."""
+
+    def step(now: Column, before: Column) -> Column:
+        up = F.pmod(now - before, F.lit(circle))
+        return F.when(up >= circle // 2, up - circle).otherwise(up)
+
+    keys = [by] if time_bucket is None else [by, "_b"]
+    if time_bucket is not None:
+        points = points.withColumn("_b", F.floor(F.col("ts") / time_bucket))
+    # All columns break ties.
+    w = Window.partitionBy(*keys).orderBy("ts", *[c for c in points.columns if c not in (*keys, "ts")])
+    inside = points.withColumn("_v", value)
+    inside = inside.withColumn("_u", F.sum(F.coalesce(step(F.col("_v"), F.lag("_v").over(w)), F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    inside = inside.withColumn("_m", F.max("_u").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    if time_bucket is None:
+        return inside.filter(F.col("_u") <= F.col("_m")).drop("_v", "_u", "_m")
+    totals = inside.groupBy(*keys).agg(F.min_by("_v", "ts").alias("_first"), F.max_by("_v", "ts").alias("_last"), F.max_by("_u", "ts").alias("_du"), F.max("_u").alias("_top"))
+    b = Window.partitionBy(by).orderBy("_b")
+    jump = F.coalesce(step(F.col("_first"), F.lag("_last").over(b)) + F.lag("_du").over(b), F.lit(0))
+    totals = totals.withColumn("_jump", jump).withColumn("_from", F.sum("_jump").over(b.rowsBetween(Window.unboundedPreceding, 0)))
+    totals = totals.withColumn("_high", F.max(F.col("_from") + F.col("_top")).over(b.rowsBetween(Window.unboundedPreceding, -1)))
+    both = inside.join(totals.select(*keys, "_from", "_high"), keys)
+    return both.filter(F.col("_u") + F.col("_from") <= F.greatest(F.col("_m") + F.col("_from"), "_high")).drop("_v", "_u", "_m", "_from", "_high", "_b")
+
+
 def pair_series(points: DataFrame, a: str, b: str, align: str = "timestamp", time_bucket: float | None = None) -> DataFrame:
     """Values of two series of one flow side by side, as ``*_a`` and ``*_b``: of equal times, or of equal positions
-    with the first series' time, up to the shorter one's length."""
-    key = "ts"
+    with the first series' time, up to the shorter one's length. One pass: rows of a flow and time (or position) are
+    folded into one. Points must be unique by series and time; of repeated ones the highest values count."""
+    points, key = points.filter(F.col("name").isin(a, b)), "ts"
     if align == "position":
-        points, key = series_index(points.filter(F.col("name").isin(a, b)), time_bucket, "_i"), "_i"
-    values = ("type", "value_int", "value_float")
-    side = lambda n, s, more: points.filter(F.col("name") == n).select("flow_id", key, *more, *[F.col(c).alias(f"{c}_{s}") for c in values])
-    left = side(a, "a", ["ts_ns"] if key == "ts" else ["ts", "ts_ns"])
-    return left.join(side(b, "b", []), ["flow_id", key]).drop("_i")
+        points, key = series_index(points, time_bucket, "_i"), "_i"
+    of = lambda c, name: F.max(F.when(F.col("name") == name, F.col(c)))
+    sides = [of(c, n).alias(f"{c}_{s}") for n, s in ((a, "a"), (b, "b")) for c in ("type", "value_int", "value_float")]
+    times = [of(c, a).alias(c) for c in ("ts", "ts_ns") if c != key]
+    return points.groupBy("flow_id", key).agg(*times, *sides).filter("type_a IS NOT NULL AND type_b IS NOT NULL").drop("_i")

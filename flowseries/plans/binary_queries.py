@@ -190,14 +190,19 @@ def trace_file_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trace.trace_files(spark, _written_dir(spark, sf_dir)).agg(F.sum("length").alias("bytes"))
 
 
+def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of bad_csum as bytes, every tenth without its marker."""
+    bad = F.col("event_id") % 10 == 3
+    marker = F.when(bad, F.unhex(F.lit("00000000"))).otherwise(F.unhex(F.lit("FFFFFFFF")))
+    fields = [F.unhex(_hex(F.col(c), n)) for c, n in (("time", 16), ("saddr", 8), ("daddr", 8))]
+    return packets(spark, sf_dir).select(F.concat(*fields, marker).alias("record"))
+
+
 @key("trace_corrupt_modes", "SELECT mode, corrupt, count(*) AS n FROM (SELECT event_id % 10 = 3 AS corrupt FROM events), (VALUES ('DROPMALFORMED'), ('PERMISSIVE')) t(mode) WHERE NOT (corrupt AND mode = 'DROPMALFORMED') GROUP BY ALL")
 def trace_corrupt_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every tenth record loses its marker: bad_csum records read back as records of 20 bytes whose last four are data."""
     path = _path(spark, "trace-corrupt")
-    k = packets(spark, sf_dir)
-    bad = F.col("event_id") % 10 == 3
-    raw = F.concat(F.unhex(_hex(F.col("time"), 16)), F.unhex(_hex(F.col("saddr"), 8)), F.unhex(_hex(F.col("daddr"), 8)), F.when(bad, F.unhex(F.lit("00000000"))).otherwise(F.unhex(F.lit("FFFFFFFF"))))
-    trace.write_raw(k.select(raw.alias("record")), path)
+    trace.write_raw(_marked(spark, sf_dir), path)
     modes = [trace.read_trace(spark, path, "bad_csum", mode=m).select(F.lit(m).alias("mode"), F.col("_corrupt").alias("corrupt")) for m in ("DROPMALFORMED", "PERMISSIVE")]
     return modes[0].unionByName(modes[1]).groupBy("mode", "corrupt").agg(F.count(F.lit(1)).alias("n"))
 
@@ -227,6 +232,20 @@ def trace_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy((F.col("seq") % 2).alias("part")).agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("seq"))
 
 
+@key("live_counters", "SELECT count(*) FILTER (WHERE event_id % 10 <> 3) AS handled, count(*) FILTER (WHERE event_id % 10 = 3) AS dropped FROM events")
+def live_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Handled and dropped records of a stream, as its progress reports them for each batch, in all."""
+    path, out = _path(spark, "trace-counted"), _path(spark, "counted")
+    trace.write_raw(_marked(spark, sf_dir), path)
+    stream = live.live_counters(trace.stream_trace(spark, path, "bad_csum", mode="PERMISSIVE"))
+    query = stream.select("time").writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    # One entry for each batch of the stream.
+    seen = [p.observedMetrics["records"] for p in query.recentProgress if "records" in p.observedMetrics]
+    counts = spark.createDataFrame([(r["handled"], r["dropped"]) for r in seen], "handled long, dropped long")
+    return counts.agg(F.sum("handled").alias("handled"), F.sum("dropped").alias("dropped"))
+
+
 @key("stream_flows", f"WITH {K_SQL} SELECT DISTINCT src, dst, sport, dport, l4proto FROM k")
 def stream_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flows of a packet stream as they appear; a flow silent for a year would appear again."""

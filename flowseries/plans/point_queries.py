@@ -110,6 +110,7 @@ on_points("series_by_ids", f"WITH {P_SQL} SELECT DISTINCT flow_id, series_id, na
 on_points("series_of_flow", f"WITH {P_SQL} SELECT DISTINCT series_id, name FROM p WHERE {_FLOW}", lambda p: points.catalog(p).filter(_FLOW).select("series_id", "name"))
 on_events("flow_by_tuple", f"WITH {E_SQL} SELECT DISTINCT flow_id AS id, src, dst, sport, dport, l4proto FROM e WHERE src = '10.0.0.7' AND dst = '192.168.0.1' AND sport = 40007 AND dport = 443 AND l4proto = 6", lambda e: points.flows(e.filter("src = '10.0.0.7' AND dst = '192.168.0.1' AND sport = 40007 AND dport = 443 AND l4proto = 6")).orderBy("id").limit(1))
 on_events("flow_by_id", f"WITH {E_SQL} SELECT DISTINCT flow_id AS id, src, dst, sport, dport, l4proto FROM e WHERE {_FLOW}", lambda e: points.flows(e).filter(F.col("id") == user_flow(7)))
+on_points("series_by_id", f"WITH {P_SQL} SELECT DISTINCT series_id, flow_id, name, type FROM p WHERE series_id = {_IDS[0]}", lambda p: points.catalog(p).filter(F.col("series_id") == _IDS[0]))
 on_events("flow_label", f"WITH {E_SQL} SELECT DISTINCT flow_id AS id, 'ID:' || flow_id || ' Port: ' || sport || '-' || dport || ' IP: ' || src || '-' || dst AS label FROM e", lambda e: points.flows(e).select("id", flow_label().alias("label")))
 
 # Reshape
@@ -127,7 +128,7 @@ on_probe("dup_points", f"WITH {L_SQL} SELECT {_DUP} FROM d WHERE n > 1", lambda
 
 # Values
 on_attributes("type_tags", f"WITH {A_SQL} SELECT flow_id, name, type, ['Int', 'Float', 'Boolean', 'String'][type + 1] AS type_name, ['value_int', 'value_float', 'value_bool', 'value_text'][type + 1] AS type_column, type AS tag FROM a", lambda a: a.select("flow_id", "name", "type", type_name(F.col("type")).alias("type_name"), type_column(F.col("type")).alias("type_column"), type_tag(type_name(F.col("type"))).alias("tag")))
-on_attributes("value_as_string", f"WITH {A_SQL} SELECT flow_id, name, coalesce(value_text, value_int::VARCHAR) AS value FROM a WHERE type <> 1", lambda a: a.filter("type <> 1").select("flow_id", "name", value_string().alias("value")))
+on_attributes("value_as_string", f"WITH {A_SQL} SELECT flow_id, name, coalesce(value_text, value_int::VARCHAR, value_float::VARCHAR) AS value FROM a", lambda a: a.select("flow_id", "name", value_string().alias("value")))
 on_attributes("value_casts", f"WITH {A_SQL} SELECT flow_id, name, CASE WHEN type = 0 THEN value_int END AS as_int, CASE WHEN type = 1 THEN value_float END AS as_float, type = 0 AS is_int FROM a", lambda a: a.select("flow_id", "name", as_int().alias("as_int"), as_float().alias("as_float"), (F.col("type") == 0).alias("is_int")))
 on_attributes("value_num", f"WITH {A_SQL} SELECT flow_id, name, coalesce(value_float, value_int::DOUBLE) AS value FROM a", lambda a: a.select("flow_id", "name", value_num().alias("value")))
 on_attributes("string_points", f"WITH {A_SQL} SELECT flow_id, flow_id || '.0 | ' || value_text AS label FROM a WHERE type = 3", lambda a: plot.string_points(a.withColumn("ts", F.col("flow_id").cast("double"))).select("flow_id", "label"))
@@ -149,25 +150,34 @@ on_points("compare_flows", f"WITH {P_SQL} SELECT flow_id, series_id, ts, v AS y,
 # Metrics
 _SID = "('0x' || substr(md5(concat_ws('|', flow_id, '{0}')), 1, 15))::BIGINT AS series_id"
 on_points("metric_upper_window_pos", f"WITH {P_SQL}, i AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts) AS i FROM p), z AS (SELECT a.flow_id, a.ts, a.v + b.v AS value FROM i a JOIN i b ON a.flow_id = b.flow_id AND a.i = b.i WHERE a.name = 'view' AND b.name = 'click') SELECT flow_id, {_SID.format('UPPER_WND')}, ts, value FROM z", lambda p: metrics.get("UPPER_WND", una="view", wnd="click", align="position", time_bucket=DAY).run(p).select("flow_id", "series_id", "ts", value_num().alias("value")))
-_UPPER = f"WITH {L_SQL}, z AS (SELECT a.flow_id, a.ts, a.value_int + b.value_int AS value FROM o a JOIN o b ON a.flow_id = b.flow_id AND a.ts = b.ts WHERE a.name = 'SND_UNA' AND b.name = 'SND_WND')"
+_UPPER = f"WITH {L_SQL}, z AS (SELECT flow_id, ts, sum(value_int)::BIGINT AS value FROM o WHERE name IN ('SND_UNA', 'SND_WND') GROUP BY flow_id, ts HAVING count(*) = 2)"
 _upper = lambda p: metrics.get("UPPER_WND").run(points.split_duplicates(p, _ORDER)[0])
 on_probe("metric_upper_window_ts", f"{_UPPER} SELECT flow_id, {_SID.format('UPPER_WND')}, ts, value FROM z", lambda p: _upper(p).select("flow_id", "series_id", "ts", F.col("value_int").alias("value")))
 on_probe("metric_upper_window_bounds", f"{_UPPER} SELECT flow_id, {_SID.format('UPPER_WND')}, 'UPPER_WND' AS name, min(ts) AS xmin, max(ts) AS xmax, min(value)::DOUBLE AS ymin, max(value)::DOUBLE AS ymax FROM z GROUP BY flow_id", lambda p: bounds.series_bounds(_upper(p)))
 on_probe("metric_requirements", f"WITH {L_SQL} SELECT flow_id FROM l WHERE name IN ('SND_UNA', 'SND_WND') GROUP BY flow_id HAVING count(DISTINCT name) = 2", lambda p: metrics.get("UPPER_WND").complete_flows(p))
 on_probe("metric_preview", f"{_UPPER} SELECT flow_id, name, ts, coalesce(value_int, value_float)::DOUBLE AS value FROM o UNION ALL SELECT flow_id, 'UPPER_WND', ts, value::DOUBLE FROM z", lambda p: metrics.get("UPPER_WND").preview(points.split_duplicates(p, _ORDER)[0]).select("flow_id", "name", "ts", value_num().alias("value")))
 _packet_points = lambda k: points.to_points(k, "packet")
-on_packets("dup_acks", f"WITH {K_SQL}, z AS (SELECT flow_id, ts, value_int AS value, lag(value_int) OVER (PARTITION BY flow_id ORDER BY ts) AS before FROM q WHERE name = 'ACK_NUM') SELECT flow_id, {_SID.format('DUP_ACK')}, ts, value FROM z WHERE value = before", lambda k: metrics.get("DUP_ACK", time_bucket=1000 * DAY).run(_packet_points(k)).select("flow_id", "series_id", "ts", F.col("value_int").alias("value")))
-on_packets("retransmissions", f"WITH {K_SQL}, z AS (SELECT flow_id, ts, value_int AS value, max(value_int) OVER (PARTITION BY flow_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM q WHERE name = 'ACK_NUM') SELECT flow_id, {_SID.format('RETRANS')}, ts, value FROM z WHERE value <= top", lambda k: metrics.get("RETRANS", seq="ACK_NUM", time_bucket=1000 * DAY).run(_packet_points(k)).select("flow_id", "series_id", "ts", F.col("value_int").alias("value")))
-on_points("metric_random", None, lambda p: metrics.get("tst_rndm", source="view").run(p).select("flow_id", "series_id", "ts", F.col("value_float").alias("value")))
+# Packets that acknowledge the same numbers several times: blocks of a thousand share a sequence number, and few acknowledgements and windows are left.
+_ack_packets = lambda k: k.withColumns({"seq": F.floor(F.col("seq") / 1000), "ack_num": F.floor(F.col("ack_num") / 4000) + 1, "window": F.col("window") % 2 + 1})
+_ACKS = f"WITH {K_SQL}, z AS (SELECT flow_id, time, seq // 1000 AS s, ack_num // 4000 + 1 AS a, \"window\" % 2 + 1 AS w, syn OR fin AS f FROM k), y AS (SELECT *, lag(s) OVER o AS s0, lag(a) OVER o AS a0, lag(w) OVER o AS w0 FROM z WINDOW o AS (PARTITION BY flow_id ORDER BY time))"
+on_packets("dup_acks", f"{_ACKS} SELECT flow_id, {_SID.format('DUP_ACK')}, time::DOUBLE AS ts, a AS value FROM y WHERE a = a0 AND s = s0 AND w = w0 AND NOT f", lambda k: metrics.get("DUP_ACK", time_bucket=1000 * DAY).run(_packet_points(_ack_packets(k))).select("flow_id", "series_id", "ts", F.col("value_int").alias("value")))
+# Sequence numbers that wrap many times, with steps back.
+_wrapping = lambda k: k.withColumn("seq", (F.col("seq") * 4000003 + 4294000000) % (1 << 32))
+_WRAPS = f"WITH {K_SQL}, z AS (SELECT flow_id, time, (seq * 4000003 + 4294000000) % 4294967296 AS v FROM k), z1 AS (SELECT *, (v - lag(v) OVER o + 4294967296) % 4294967296 AS d FROM z WHERE v <> 0 WINDOW o AS (PARTITION BY flow_id ORDER BY time)), z2 AS (SELECT *, sum(coalesce(CASE WHEN d >= 2147483648 THEN d - 4294967296 ELSE d END, 0)) OVER (PARTITION BY flow_id ORDER BY time ROWS UNBOUNDED PRECEDING) AS u FROM z1), z3 AS (SELECT *, max(u) OVER (PARTITION BY flow_id ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM z2)"
+on_packets("retransmissions", f"{_WRAPS} SELECT flow_id, {_SID.format('RETRANS')}, time::DOUBLE AS ts, v AS value FROM z3 WHERE u <= top", lambda k: metrics.get("RETRANS", time_bucket=1000 * DAY).run(_packet_points(_wrapping(k))).select("flow_id", "series_id", "ts", F.col("value_int").alias("value")))
+on_points("metric_random", f"WITH {P_SQL} SELECT flow_id, {_SID.format('tst_rndm')}, ts, true AS in_range FROM p WHERE name = 'view'", lambda p: metrics.get("tst_rndm", source="view").run(p).select("flow_id", "series_id", "ts", F.col("value_float").between(4e7, 5.2e8).alias("in_range")))
 
 
 class DetrendedViews(metrics.PandasMetric):
-    """Values less their flow's mean: a stand-in for mathematics that need a whole flow."""
+    """Values less their flow's mean: a stand-in for mathematics in pandas that need something of a whole flow."""
 
-    name, required = "DETRENDED", ("view",)
+    name, required, time_bucket, looks_up_flows = "DETRENDED", ("view",), 7 * DAY, False
+
+    def totals(self):
+        return {"mean": F.avg("value_float")}
 
     def compute_flow(self, frame):
-        return frame.assign(value=frame["value_float"] - frame["value_float"].mean())[["ts", "value"]]
+        return frame.assign(value=frame["value_float"] - frame["mean"])[["ts", "value"]]
 
 
 on_points("metric_pandas", f"WITH {P_SQL} SELECT flow_id, ts, round(v - avg(v) OVER (PARTITION BY flow_id), 6) AS value FROM p WHERE name = 'view'", lambda p: DetrendedViews().run(p).select("flow_id", "ts", _r("value_float").alias("value")))
@@ -178,3 +188,14 @@ on_events("tumbling_rates", f"WITH {E_SQL} SELECT us // 3600000000 * 3600000000
 on_events("session_flows", f"WITH {E_SQL}, g AS (SELECT flow_id, us, CASE WHEN us - lag(us) OVER (PARTITION BY flow_id ORDER BY us) < 14400000000 THEN 0 ELSE 1 END AS fresh FROM e), s AS (SELECT *, sum(fresh) OVER (PARTITION BY flow_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS s FROM g) SELECT flow_id, min(us) AS start_us, max(us) + 14400000000 AS end_us, count(*) AS n FROM s GROUP BY flow_id, s", lambda e: live.sessions(_timed(e), "4 hours").select("flow_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n"))
 _SOURCE = {"view": "ingress", "click": "egress", "signup": "recv"}
 on_events("run_metrics", "SELECT count(*) FILTER (WHERE event_type <> 'error') AS handled, count(*) FILTER (WHERE event_type = 'error') AS dropped, count(*) FILTER (WHERE event_type = 'view') AS ingress, count(*) FILTER (WHERE event_type = 'click') AS egress, count(*) FILTER (WHERE event_type = 'signup') AS ingress_calls, count(*) FILTER (WHERE event_type = 'purchase') AS egress_calls FROM events", lambda e: live.run_metrics(e.select((F.col("event_type") == "error").alias("dropped"), F.coalesce(*[F.when(F.col("event_type") == k, v) for k, v in _SOURCE.items()], F.lit("send")).alias("source"))))
+
+
+@key("write_speed", f"WITH {E_SQL}, c AS (SELECT flow_id AS series_id, us // 3600000000 * 3600 AS h, count(*) * 74 AS n FROM e GROUP BY ALL), s AS (SELECT series_id, h::DOUBLE AS ts, sum(n) OVER (PARTITION BY series_id ORDER BY h ROWS UNBOUNDED PRECEDING) AS bytes FROM c) SELECT series_id, ts, round((bytes - lag(bytes) OVER w) / (ts - lag(ts) OVER w), 9) AS bytes_per_second FROM s WINDOW w AS (PARTITION BY series_id ORDER BY ts)")
+def write_speed(spark, sf_dir):
+    """Each flow's trace, hour by hour: packets of 74 bytes."""
+    from pyspark.sql import Window
+
+    e = event_flows(spark, sf_dir).withColumn("ts", (F.floor(F.col("us") / 3_600_000_000) * 3600).cast("double"))
+    hourly = e.groupBy(F.col("flow_id").alias("series_id"), "ts").agg((F.count(F.lit(1)) * 74).alias("n"))
+    total = F.sum("n").over(Window.partitionBy("series_id").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0))
+    return live.write_speed(hourly.select("series_id", "ts", total.alias("bytes"))).select("series_id", "ts", F.round("bytes_per_second", 9).alias("bytes_per_second"))

@@ -65,7 +65,7 @@ def series_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.data.join(store.series_table.drop("type"), "time_series_id", "full").groupBy("time_series_id", "name").agg(F.count("ts").alias("n"))
 
 
-@key("metric_save", f"WITH {L_SQL}, z AS (SELECT a.flow_id, a.ts, a.value_int + b.value_int AS value FROM o a JOIN o b ON a.flow_id = b.flow_id AND a.ts = b.ts WHERE a.name = 'SND_UNA' AND b.name = 'SND_WND') SELECT flow_id, 'UPPER_WND' AS name, ts, value FROM z")
+@key("metric_save", f"WITH {L_SQL}, z AS (SELECT flow_id, ts, sum(value_int)::BIGINT AS value FROM o WHERE name IN ('SND_UNA', 'SND_WND') GROUP BY flow_id, ts HAVING count(*) = 2) SELECT flow_id, 'UPPER_WND' AS name, ts, value FROM z")
 def metric_save(spark: SparkSession, sf_dir: str) -> DataFrame:
     store, p = _probe_store(spark, sf_dir)
     upper = metrics.get("UPPER_WND")
@@ -136,6 +136,13 @@ def attr_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _attribute_store(spark, sf_dir).attribute(3, "segment").select(*_ATTRIBUTE)
 
 
+@key("attr_by_id", f"WITH {A_SQL} SELECT flow_id, name, type, value_int, value_float, value_text FROM a WHERE flow_id = 3 AND name = 'balance'")
+def attr_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowseries.functions.addresses import hashed_id_of
+
+    return _attribute_store(spark, sf_dir).attribute_by_id(hashed_id_of(3, "attribute", "balance")).select(*_ATTRIBUTE)
+
+
 @key("stream_ingest", f"WITH {K_SQL} SELECT name, type, count(*) AS n, count(DISTINCT flow_id) AS flows, sum(value_int)::BIGINT AS total FROM q GROUP BY ALL")
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A packet trace ingested as a stream, then summed up from the store."""

@@ -1,8 +1,10 @@
 """The flow store: four Parquet tables under one path, each in numbered versions.
 
-A write makes a new version next to the old one and then moves the table's pointer file; readers of the old version
-are undisturbed, and a failed write leaves no trace in the table. Appends of points only add a part to the current
-version. Points are clustered by series and time, so that a series' filter prunes files and row groups.
+A change makes a new version next to the old one and then moves the table's pointer file; readers of the old version
+are undisturbed, and a failed write leaves no trace in the table. Additions only add parts to the current version: a
+part has a name (a stream's batch number, say), and writing it again replaces it, so a batch can come twice. Points
+lie in parts by day, clustered by series and time, so that filters of days, series and times prune folders, files and
+row groups. ``compact`` folds the parts of many additions into a new version.
 """
 
 from __future__ import annotations
@@ -22,48 +24,16 @@ _KEYS = {"flows": ["id"], "flow_attributes": ["id"], "time_series": ["time_serie
 _VALUES = ["type", *VALUE_COLUMNS]
 
 
-class FlowStore:
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    @classmethod
-    def open(cls, spark: SparkSession, path: str, format: str | None = None, **options) -> FlowStore | ForeignStore:
-        """By the path's ending: SQL stores through JDBC (the user brings the driver), anything else is Parquet."""
-        kind = format or ("jdbc" if path.startswith("jdbc:") or path.rsplit(".", 1)[-1] in ("sqlite", "duck", "duckdb", "db") else "parquet")
-        return ForeignStore(spark, path, **options) if kind == "jdbc" else cls(spark, path)
-
-    # Versions
+_DAY_NS = 86_400_000_000_000
 
-    def _fs(self, path: str):
-        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return target.getFileSystem(self.spark._jsc.hadoopConfiguration()), target
-
-    def _current(self, table: str) -> str | None:
-        system, pointers = self._fs(f"{self.path}/{table}/_pointers")
-        if not system.exists(pointers):
-            return None
-        numbers = [int(f.getPath().getName()) for f in system.listStatus(pointers)]
-        return f"{self.path}/{table}/v{max(numbers)}" if numbers else None
 
-    def _publish(self, table: str, df: DataFrame) -> None:
-        now = self._current(table)
-        number = int(now.rsplit("/v", 1)[1]) + 1 if now else 0
-        target = f"{self.path}/{table}/v{number}"
-        self._write(table, df, target, "errorifexists")
-        system, pointer = self._fs(f"{self.path}/{table}/_pointers/{number}")
-        system.create(pointer, False).close()
+class FlowTables:
+    """Look-ups over the four tables, whatever holds them."""
 
-    def _write(self, table: str, df: DataFrame, target: str, mode: str) -> None:
-        columns = [F.col(c.split()[0]).cast(c.split()[1]) for c in STORE[table].split(", ")]
-        out = df.select(*columns)
-        if table == "time_series_data":
-            # By ranges of series and time, so that one long series may fill several files.
-            out = out.repartitionByRange("time_series_id", "ts").sortWithinPartitions("time_series_id", "ts")
-        out.write.mode(mode).parquet(target)
+    spark: SparkSession
 
     def table(self, name: str) -> DataFrame:
-        now = self._current(name)
-        return self.spark.read.schema(STORE[name]).parquet(now) if now else self.spark.createDataFrame([], STORE[name])
+        raise NotImplementedError
 
     @property
     def flows(self) -> DataFrame:
@@ -129,12 +99,88 @@ class FlowStore:
         series = self.series_table.withColumnRenamed("type", "series_type")
         return self.data.join(series, "time_series_id").join(self.flows.withColumnRenamed("id", "flow_id"), "flow_id")
 
+
+class FlowStore(FlowTables):
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, format: str | None = None, **options) -> FlowStore | ForeignStore:
+        """By the path's ending: SQL stores through JDBC (the user brings the driver), anything else is Parquet."""
+        kind = format or ("jdbc" if path.startswith("jdbc:") or path.rsplit(".", 1)[-1] in ("sqlite", "duck", "duckdb", "db") else "parquet")
+        return ForeignStore(spark, path, **options) if kind == "jdbc" else cls(spark, path)
+
+    # Versions
+
+    def _fs(self, path: str):
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return target.getFileSystem(self.spark._jsc.hadoopConfiguration()), target
+
+    def _current(self, table: str) -> str | None:
+        system, pointers = self._fs(f"{self.path}/{table}/_pointers")
+        if not system.exists(pointers):
+            return None
+        numbers = [int(f.getPath().getName()) for f in system.listStatus(pointers)]
+        return f"{self.path}/{table}/v{max(numbers)}" if numbers else None
+
+    def _publish(self, table: str, df: DataFrame) -> None:
+        now = self._current(table)
+        number = int(now.rsplit("/v", 1)[1]) + 1 if now else 0
+        target = f"{self.path}/{table}/v{number}"
+        self._write(table, df, f"{target}/part=base", "errorifexists")
+        system, pointer = self._fs(f"{self.path}/{table}/_pointers/{number}")
+        system.create(pointer, False).close()
+
+    def _add(self, table: str, df: DataFrame, part: str | None = None) -> None:
+        """Rows added to the current version; those of a ``part`` in place of what it held."""
+        now = self._current(table)
+        if now is None:
+            self._publish(table, self.spark.createDataFrame([], STORE[table]))
+            now = self._current(table)
+        self._write(table, df, f"{now}/part={part or uuid.uuid4().hex}", "overwrite" if part else "errorifexists")
+
+    def _write(self, table: str, df: DataFrame, target: str, mode: str) -> None:
+        columns = [F.col(c.split()[0]).cast(c.split()[1]) for c in STORE[table].split(", ")]
+        out = df.select(*columns)
+        if table != "time_series_data":
+            out.write.mode(mode).parquet(target)
+            return
+        # By ranges of day, series and time, so that one long series may fill several files and a task few days.
+        out = out.withColumn("day", F.floor(F.col("ts_ns") / _DAY_NS))
+        out = out.repartitionByRange("day", "time_series_id", "ts").sortWithinPartitions("day", "time_series_id", "ts")
+        out.write.mode(mode).partitionBy("day").parquet(target)
+
+    def parts(self, name: str) -> DataFrame:
+        """A table's rows with the ``part`` they were added in and, for points, their ``day``."""
+        schema = f"{STORE[name]}, part string" + (", day long" if name == "time_series_data" else "")
+        now = self._current(name)
+        return self.spark.read.schema(schema).parquet(now) if now else self.spark.createDataFrame([], schema)
+
+    def table(self, name: str) -> DataFrame:
+        return self.parts(name).drop("part", "day")
+
+    def points_between(self, low_ns: int, high_ns: int) -> DataFrame:
+        """Points of times from ``low_ns`` to ``high_ns``, read from their days only."""
+        rows = self.parts("time_series_data").filter(F.col("day").between(low_ns // _DAY_NS, high_ns // _DAY_NS))
+        return rows.filter(F.col("ts_ns").between(low_ns, high_ns)).drop("day")
+
+    def compact(self) -> None:
+        """Each table's parts as one new version."""
+        for name in STORE:
+            if self._current(name):
+                self._publish(name, self.table(name))
+
     # Changes
 
+    def _missing(self, table: str, new: DataFrame, id: str) -> DataFrame:
+        """Rows of ``new`` whose ids the table hasn't; of the table only the ids are read, and only those met kept."""
+        stored = self.table(table).select(id).join(new.select(id), id, "left_semi")
+        return new.join(stored, id, "left_anti")
+
     def add_flows(self, tuples: DataFrame) -> None:
         """Flows that aren't there yet."""
         ids = tuples.select(*TUPLE).distinct().withColumn("id", hashed_id(*map(F.col, TUPLE)))
-        self._publish("flows", self.flows.unionByName(ids.join(self.flows, "id", "left_anti"), True))
+        self._add("flows", self._missing("flows", ids, "id"))
 
     def delete_flows(self, ids: list[int], cascade: bool = False) -> None:
         """Fails for flows with series or attributes, unless ``cascade`` deletes those too."""
@@ -153,12 +199,12 @@ class FlowStore:
         twice = new.groupBy("time_series_id").count().filter("count > 1")
         if not twice.isEmpty() or not new.join(self.series_table, "time_series_id", "left_semi").isEmpty():
             raise ValueError("a flow has a series of that name")
-        self._publish("time_series", self.series_table.unionByName(new))
+        self._add("time_series", new)
 
     def ensure_series(self, series: DataFrame) -> None:
         """Series that aren't there yet."""
         new = series.select("flow_id", "name", "type").distinct().withColumn("time_series_id", series_id(F.col("flow_id"), F.col("name")))
-        self._publish("time_series", self.series_table.unionByName(new.join(self.series_table, "time_series_id", "left_anti")))
+        self._add("time_series", self._missing("time_series", new, "time_series_id"))
 
     def delete_series(self, ids: list[int]) -> None:
         """Series and their points."""
@@ -175,31 +221,36 @@ class FlowStore:
     def delete_attribute(self, flow_id: int, name: str) -> None:
         self._publish("flow_attributes", self.attributes.filter(~((F.col("flow_id") == flow_id) & (F.col("name") == name))))
 
-    def append_points(self, points: DataFrame) -> None:
+    def append_points(self, points: DataFrame, part: str | None = None) -> None:
         """Points (series_id, ts, ts_ns, type, values) of known series. Fails if a point's type isn't its series'."""
         known = self.series_table.withColumnRenamed("time_series_id", "series_id")
         with held(points):
             if not mismatched(points, known).isEmpty():
                 raise TypeError("points of other types than their series")
-            rows = points.withColumnRenamed("series_id", "time_series_id")
-            now = self._current("time_series_data")
-            if now:
-                self._write("time_series_data", rows, now, "append")
-            else:
-                self._publish("time_series_data", rows)
-
-    def merge_points(self, points: DataFrame) -> None:
+            self._add("time_series_data", points.withColumnRenamed("series_id", "time_series_id"), part)
+
+    def unstored(self, points: DataFrame, part: str | None = None) -> DataFrame:
+        """Points whose (series, ts) no other part has. Only the days and times of ``points`` are read."""
+        low, high, some, all_ = points.agg(F.min("ts_ns"), F.max("ts_ns"), F.count("ts_ns"), F.count(F.lit(1))).first()
+        if self._current("time_series_data") is None or not all_:
+            return points
+        # Without nanoseconds a point's day isn't known.
+        stored = self.points_between(low, high) if some == all_ else self.parts("time_series_data")
+        if part is not None:
+            stored = stored.filter(F.col("part") != part)
+        key = [F.col("series_id") == F.col("_series"), points["ts"] == F.col("_ts")]
+        return points.join(stored.select(F.col("time_series_id").alias("_series"), F.col("ts").alias("_ts")), key, "left_anti")
+
+    def merge_points(self, points: DataFrame, part: str | None = None) -> None:
         """``append_points`` for those of a (series, ts) that isn't stored yet, so that a batch can come twice."""
-        if self._current("time_series_data"):
-            key = [F.col("series_id") == F.col("time_series_id"), points["ts"] == F.col("_ts")]
-            points = points.join(self.data.select("time_series_id", F.col("ts").alias("_ts")), key, "left_anti")
-        self.append_points(points)
+        with held(points):
+            self.append_points(self.unstored(points, part), part)
 
-    def save_series(self, points: DataFrame) -> None:
+    def save_series(self, points: DataFrame, part: str | None = None) -> None:
         """Derived points: their series are created where missing, then the points are merged."""
         with held(points):
             self.ensure_series(points)
-            self.merge_points(points)
+            self.merge_points(points, part)
 
 
 @contextmanager
@@ -215,17 +266,35 @@ def held(df: DataFrame) -> Iterator[None]:
             df.unpersist()
 
 
-class ForeignStore:
-    """The four tables of a SQL store, read through JDBC."""
+class ForeignStore(FlowTables):
+    """The four tables of a SQL store, read through JDBC and given the columns of a ``FlowStore``."""
 
     def __init__(self, spark: SparkSession, url: str, **options):
         self.spark, self.options = spark, options
         suffix = url.rsplit(".", 1)[-1]
         self.url = url if url.startswith("jdbc:") else f"jdbc:{'sqlite' if suffix == 'sqlite' else 'duckdb'}:{url}"
 
-    def table(self, name: str) -> DataFrame:
+    def raw_table(self, name: str) -> DataFrame:
         return self.spark.read.format("jdbc").options(url=self.url, dbtable=name, **self.options).load()
 
+    def table(self, name: str) -> DataFrame:
+        """A table by its name in ``STORE``. Values may lie in a column for each type, of which the one that ``type``
+        names counts and the others hold a stand-in, or in one column of text; times are in ``timestamp``."""
+        rows = self.raw_table(name)
+        if "timestamp" in rows.columns:
+            rows = rows.withColumnRenamed("timestamp", "ts")
+        wanted = [c.split() for c in STORE[name].split(", ")]
+        own = dict(zip(VALUE_COLUMNS, ("value_integer", "value_float", "value_boolean", "value_text"), strict=True))
+
+        def cell(column: str, kind: str) -> Column:
+            if column in own:
+                source = own[column] if own[column] in rows.columns else "value"
+                found = F.col(source)
+                return F.when(F.col("type") == VALUE_COLUMNS.index(column), found.cast("int").cast(kind) if column == "value_bool" and source != "value" else found.cast(kind))
+            return F.col(column).cast(kind) if column in rows.columns else F.lit(None).cast(kind)
+
+        return rows.select(*[cell(c, k).alias(c) for c, k in wanted])
+
 
 def complete_series(series: DataFrame, names: list[str]) -> DataFrame:
     """Series of these names, of the flows that have them all."""

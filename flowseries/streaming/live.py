@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from flowseries.functions.addresses import TUPLE, with_flow
 from flowseries.operators.points import split_duplicates, to_points
 from flowseries.operators.windows import rate
-from flowseries.sources.store import FlowStore
+from flowseries.sources.store import FlowStore, held
 
 
 def event_time(records: DataFrame, boot_epoch_ns: int = 0) -> DataFrame:
@@ -75,14 +75,16 @@ def live_counters(records: DataFrame, name: str = "records") -> DataFrame:
 
 
 def ingest_batch(store: FlowStore, kind: str) -> Callable[[DataFrame, int], None]:
-    """What a batch of records does to a store: flows, series and points. Coming twice it changes nothing."""
-
-    def run(batch: DataFrame, _: int) -> None:
-        good = batch.filter("NOT _corrupt")
-        flows = with_flow(good, kind)
-        points = split_duplicates(to_points(flows, kind), ["ts_ns", "type", "value_int", "value_bool"])[0]
-        store.add_flows(flows)
-        store.save_series(points)
+    """What a batch of records does to a store: flows, series and points, the points as a part of the batch's number.
+    Coming twice it changes nothing. It reads the ids of flows and series, and points of the batch's own days and times."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        with held(batch):
+            good = batch.filter("NOT _corrupt")
+            flows = with_flow(good, kind)
+            points = split_duplicates(to_points(flows, kind), ["ts_ns", "type", "value_int", "value_bool"])[0]
+            store.add_flows(flows)
+            store.save_series(points, f"{kind}-{number}")
 
     return run
 

@@ -99,6 +99,14 @@ def test_duplicates(spark):
         points.split_duplicates(p, ["value_int"], "error")[0].count()
 
 
+def test_duplicates_without_a_sort_of_all(spark):
+    p = pts(spark, [(1, "a", t, t) for t in range(50)] + [(1, "a", 7, 3), (1, "a", 7, 9)])
+    good, rest = points.split_duplicates(p, ["value_int"])
+    assert good.count() == 50 and good.filter("ts = 7").first().value_int == 3 and sorted(r.value_int for r in rest.collect()) == [7, 9]
+    none = p.withColumn("ts", F.when(F.col("ts") > 48, None).otherwise(F.col("ts")))
+    assert points.split_duplicates(none.unionByName(none.filter("ts IS NULL")), ["value_int"])[0].filter("ts IS NULL").count() == 1
+
+
 def test_bounds_edges(spark):
     p = pts(spark, [(1, "a", 0, 5), (1, "a", 1, 5), (1, "s", 2, "x")])
     assert bounds.selection_y_bounds(p).first() == (-5.0, 15.0)
@@ -171,6 +179,61 @@ def test_acks_and_retransmissions(spark, bucket):
     assert sorted(r.ts for r in metrics.get("RETRANS", time_bucket=bucket).run(seqs).collect()) == [2.0, 4.0, 5.0]
 
 
+@pytest.mark.parametrize("bucket", [None, 2.0])
+def test_payload_progress_is_no_duplicate_ack(spark, bucket):
+    rows = [("ACK_NUM", t, 7) for t in range(8)]
+    rows += [("SEQ_NUM", t, v) for t, v in enumerate((1, 2, 3, 3, 3, 3, 3, 3))] + [("WINDOW", t, v) for t, v in enumerate((9, 9, 9, 9, 8, 8, 8, 8))]
+    rows += [("FLAG_FIN", 6, True), ("FLAG_SYN", 5, False)]
+    p = pts(spark, [(1, n, t, v) for n, t, v in rows])
+    found = metrics.get("DUP_ACK", time_bucket=bucket).run(p).collect()
+    assert sorted(r.ts for r in found) == [3.0, 5.0, 7.0] and {r.value_int for r in found} == {7} and found[0].ts_ns == found[0].ts * 1e9
+
+
+def test_buckets_change_no_retransmission(spark):
+    import random
+
+    r, rows = random.Random(2), []
+    for flow in (1, 2):
+        v = (1 << 32) - 4000
+        for t in range(200):
+            v += r.choice([1000, 1, -1500, 0, 1 << 30, 50_000])
+            rows.append((flow, "SEQ_NUM", t, v % (1 << 32)))
+    p = pts(spark, rows)
+    want = sorted((x.flow_id, x.ts) for x in metrics.get("RETRANS").run(p).collect())
+    assert want and all(sorted((x.flow_id, x.ts) for x in metrics.get("RETRANS", time_bucket=b).run(p).collect()) == want for b in (1.0, 7.0, 1000.0))
+
+
+def scans(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+
+
+def test_metrics_read_their_points_once_or_twice(spark, tmp_path):
+    pts(spark, [(1, "SEQ_NUM", t, 20 - t) for t in range(15)]).write.parquet(str(tmp_path / "p"))
+    p = spark.read.parquet(str(tmp_path / "p"))
+    assert scans(metrics.get("UPPER_WND").run(p)) == 1
+    assert [scans(metrics.get(n, time_bucket=5.0).run(p)) for n in ("DUP_ACK", "RETRANS")] == [2, 2]
+    assert [scans(metrics.get(n).run(p)) for n in ("DUP_ACK", "RETRANS")] == [1, 1]
+
+
+def test_frames(spark):
+    from flowseries.operators.frames import decode_frames
+
+    ethernet = lambda kind: bytes(12) + bytes.fromhex(kind)
+    tcp = bytes.fromhex("01bb1f90") + (0xFFFFFFFE).to_bytes(4, "big") + (7).to_bytes(4, "big") + b"\x50\x3f" + (99).to_bytes(2, "big") + b"\x12\x34\0\0"
+    four = lambda words, proto=6: bytes([0x40 | words]) + bytes(8) + bytes([proto]) + bytes(2) + bytes([10, 0, 0, 1, 192, 168, 0, 1]) + bytes(4 * max(0, words - 5))
+    six = bytes.fromhex("60000000") + b"\0\x14\x06\x40" + bytes(range(16)) + bytes(range(16, 32))
+    frames = [ethernet("0800") + four(5) + tcp, ethernet("0800") + four(15) + tcp + b"payload", ethernet("86dd") + six + tcp, ethernet("0800") + four(3) + tcp]
+    bad = [None, b"", b"x", ethernet("0806") + four(5) + tcp, ethernet("0800") + four(5, 17) + tcp, ethernet("0800") + four(5) + tcp[:19], ethernet("0800") + four(15)[:58] + tcp, ethernet("86dd") + six + tcp[:-1]]
+    df = spark.createDataFrame([(i, f) for i, f in enumerate(frames + bad)], "time long, frame binary").coalesce(1)
+    rows = decode_frames(df).orderBy("time").collect()
+    assert [r.time for r in rows] == [0, 1, 2, 3]
+    assert {(r.sport, r.dport, r.seq, r.ack_num, r.window, r.checksum) for r in rows} == {(443, 8080, 0xFFFFFFFE, 7, 99, 0x1234)}
+    assert all(r.urg and r.ack and r.psh and r.rst and r.syn and r.fin for r in rows)
+    assert [(r.saddr, r.daddr) for r in rows] == [(10 << 24 | 1, 0xC0A80001)] * 2 + [(0, 0)] + [(10 << 24 | 1, 0xC0A80001)]
+    assert bytes(rows[2].saddr_v6) == bytes(range(16)) and bytes(rows[2].daddr_v6) == bytes(range(16, 32)) and bytes(rows[0].saddr_v6) == bytes(16)
+    assert decode_frames(df.filter("false")).count() == 0
+
+
 def test_random_series(spark):
     found = metrics.get("tst_rndm", source="TestTS").run(pts(spark, SAMPLE)).collect()
     assert len(found) == 7 and all(4e7 <= r.value_float < 5.2e8 for r in found)

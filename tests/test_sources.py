@@ -167,3 +167,65 @@ def test_ingest_twice_changes_nothing(spark, tmp_path):
     run(rec, 0)
     run(rec, 0)
     assert store.data.count() == 1 and store.flows.count() == 1 and os.path.isdir(tmp_path / "s")
+
+
+def packets_of(spark, day, n, start=0):
+    """``n`` records of kind cwnd, a second apart."""
+    rows = spark.range(start, start + n).selectExpr(f"{day} * 86400000000000 + id * 1000000000 AS time", "id + 1 AS snd_cwnd", "false AS _corrupt")
+    return rows.withColumns({"family": F.lit(2), "addr_v4": F.lit(1 << 32 | 2).cast("long"), "ports": F.lit(65537).cast("long"), "src_v6": F.lit(bytes(16)), "dst_v6": F.lit(bytes(16))})
+
+
+def test_ingest_reads_and_replaces_its_own_part_only(spark, tmp_path):
+    store = FlowStore(spark, f"file://{tmp_path}/s")
+    run = live.ingest_batch(store, "cwnd")
+    run(packets_of(spark, 3, 10), 0)
+    run(packets_of(spark, 4, 10), 1)
+    flows = sorted((tmp_path / "s" / "flows" / "v0").iterdir())
+    run(packets_of(spark, 4, 10, 5), 2)  # five are stored already
+    run(packets_of(spark, 4, 10, 5), 2)
+    assert store.data.count() == 25 and store.flows.count() == 1 and store.series_table.count() == 1
+    assert {r.part: r["count"] for r in store.parts("time_series_data").groupBy("part").count().collect()} == {"cwnd-0": 10, "cwnd-1": 10, "cwnd-2": 5}
+    run(packets_of(spark, 4, 20, 5), 2)  # the batch again, with more in it: its part is replaced
+    assert store.data.count() == 35
+    assert set(flows) <= set((tmp_path / "s" / "flows" / "v0").iterdir())  # additions leave earlier parts alone
+    new = points.to_points(packets_of(spark, 4, 3).withColumns({"src": F.lit("a"), "dst": F.lit("b"), "sport": F.lit(1), "dport": F.lit(2), "l4proto": F.lit(6)}), "cwnd")
+    merge = store.unstored(new)
+    merge.collect()
+    plan = merge._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day#" in plan and ">= 4)" in plan and "<= 4)" in plan and "GreaterThanOrEqual(ts_ns" in plan
+    assert store.points_between(3 * 86_400 * 10**9, 3 * 86_400 * 10**9 + 10**9).count() == 2
+    store.compact()
+    assert store.data.count() == 35 and {r.part for r in store.parts("time_series_data").select("part").distinct().collect()} == {"base"}
+
+
+def test_points_without_nanoseconds_are_merged(spark, store):
+    p = pts(spark, [(1, "a", t, t) for t in range(4)]).withColumn("ts_ns", F.lit(None).cast("long"))
+    store.save_series(p)
+    store.save_series(p)
+    assert store.data.count() == 4
+
+
+def test_tables_of_sql_stores(spark):
+    """One column for each type, with stand-ins in the others, or one column of text."""
+    flat = "time_series_id long, timestamp double, value_boolean int, value_text string, value_integer long, value_float double, type int"
+    rows = [(1, 0.0, -1, None, 5, -1.0, 0), (2, 0.0, -1, None, -1, 2.5, 1), (3, 0.0, 1, None, -1, -1.0, 2), (4, 0.0, -1, "x", -1, -1.0, 3)]
+    text = spark.createDataFrame([(1, 0.0, "5", 0), (2, 0.0, "2.5", 1), (3, 0.0, "true", 2), (4, 0.0, "x", 3)], "time_series_id long, timestamp double, value string, type int")
+    series = spark.createDataFrame([(i, 9, f"n{i}", i - 1) for i in range(1, 5)], "time_series_id long, flow_id long, name string, type int")
+    flows = spark.createDataFrame([(9, *FLOW)], "id long, src string, dst string, sport int, dport int, l4proto int")
+    for data in (spark.createDataFrame(rows, flat), text):
+        store = ForeignStore(spark, "/x/flows.sqlite")
+        store.raw_table = {"time_series_data": data, "time_series": series, "flows": flows}.__getitem__
+        assert [tuple(r)[4:] for r in store.data.orderBy("time_series_id").collect()] == [(5, None, None, None), (None, 2.5, None, None), (None, None, True, None), (None, None, None, "x")]
+        assert store.points(2).first().value_float == 2.5 and store.flow(*FLOW).first().id == 9
+        assert store.require_series(["n1", "n2"]).count() == 2 and store.joined().count() == 4
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from flowseries.sources.shared import shared_path
+
+    unset = SimpleNamespace(get=lambda *_: None)
+    far = SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master="spark://h:7077", getConf=lambda: unset))
+    with pytest.raises(ValueError):
+        shared_path(far, "x")
