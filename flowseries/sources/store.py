@@ -134,10 +134,15 @@ class FlowStore(FlowTables):
     def _add(self, table: str, df: DataFrame, part: str | None = None) -> None:
         """Rows added to the current version; those of a ``part`` in place of what it held."""
         now = self._current(table)
+        target = now or f"{self.path}/{table}/v0"
         if now is None:
-            self._publish(table, self.spark.createDataFrame([], STORE[table]))
-            now = self._current(table)
-        self._write(table, df, f"{now}/part={part or uuid.uuid4().hex}", "overwrite" if part else "errorifexists")
+            # Whatever a failed first addition left is no part of the table.
+            system, left = self._fs(target)
+            system.delete(left, True)
+        self._write(table, df, f"{target}/part={part or uuid.uuid4().hex}", "overwrite" if part else "errorifexists")
+        if now is None:
+            system, pointer = self._fs(f"{self.path}/{table}/_pointers/0")
+            system.create(pointer, False).close()
 
     def _write(self, table: str, df: DataFrame, target: str, mode: str) -> None:
         columns = [F.col(c.split()[0]).cast(c.split()[1]) for c in STORE[table].split(", ")]

@@ -82,9 +82,10 @@ def ingest_batch(store: FlowStore, kind: str) -> Callable[[DataFrame, int], None
         with held(batch):
             good = batch.filter("NOT _corrupt")
             flows = with_flow(good, kind)
-            points = split_duplicates(to_points(flows, kind), ["ts_ns", "type", "value_int", "value_bool"])[0]
             store.add_flows(flows)
-            store.save_series(points, f"{kind}-{number}")
+            every = to_points(flows, kind)
+            with held(every):
+                store.save_series(split_duplicates(every, ["ts_ns", "type", "value_int", "value_bool"])[0], f"{kind}-{number}")
 
     return run
 
