@@ -11,7 +11,9 @@ from flowseries.llm import license_rules, mixing, pii, quality_knn, quality_rule
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; one of fewer files than there are cores is dealt over them, so a small file isn't one task."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
