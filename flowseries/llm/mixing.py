@@ -8,10 +8,13 @@ finish time (words of the source's queue up to its end) / (the source's target);
 pass of the queue later. All copies are sorted by finish time over the whole table and taken while their running
 words stay within the budget, which is the words of all documents.
 
-Expressions only. A hot source is cut into 4096 parts by its shuffle keys, whose totals are summed before the parts.
+Expressions only. A hot source is cut into 4096 parts by its shuffle keys, whose totals are summed before the parts;
+rows of one source and id are summed before they queue, so that repeated or null ids don't gather in one part. Sources
+may be many: they are ranked and filled by ranges.
 
-Defined results: null text has size 0; size 0 is never taken; repeated rows of one id, source and size are taken
-alike; an empty table gives an empty mix; a null id is a value of its own. Running again gives the same mix.
+Defined results: null text has size 0; size 0 is never taken; repeated rows of one source and id queue as one and are
+taken alike; an empty table gives an empty mix; a null id is a value of its own; texts of any length count whole; other
+columns are ignored. Running again gives the same mix.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowseries.llm.batches import fresh
-from flowseries.llm.ranges import running_total
+from flowseries.llm.ranges import running_totals
 from flowseries.llm.scratch import written
 
 MAX_EPOCHS = 3
@@ -40,43 +43,47 @@ def shuffle_key(doc_id: Column, seed: int) -> Column:
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
-    """``source, rank, source_size, target``. The windows run over one row for each source."""
-    by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    total = by_source.agg(F.sum("source_size").alias("budget"))
-    w = Window.orderBy(F.col("source").asc_nulls_last())
-    ranked = by_source.withColumn("rank", F.row_number().over(w)).withColumn("weight", F.get(F.array(*map(F.lit, WEIGHTS)), (F.col("rank") - 1) % len(WEIGHTS)))
-    ranked = ranked.withColumn("cap", F.col("source_size") * MAX_EPOCHS).crossJoin(F.broadcast(total))
+    """``source, rank, source_size, target, budget``, one row for each source."""
+    by_source = written(sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("one", F.lit(1).cast("long")), "mix-sources")
+    total = by_source.agg(F.sum("source_size").alias("budget"), F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.col("source").isNull().cast("int")), F.lit(0)).alias("nulls"))
+    # The running count has null first; its rank is the last.
+    ranked = running_totals(by_source, "source", [], {"upto": "one"}).crossJoin(F.broadcast(total))
+    ranked = ranked.withColumn("rank", F.when(F.col("source").isNull(), F.col("n")).otherwise(F.col("upto") - F.col("nulls")))
+    ranked = ranked.withColumn("weight", F.get(F.array(*[F.lit(w).cast("long") for w in WEIGHTS]), ((F.col("rank") - 1) % len(WEIGHTS)).cast("int")))
+    ranked = ranked.withColumn("cap", F.col("source_size") * MAX_EPOCHS).withColumn("ratio", F.col("cap") / F.col("weight"))
+    ranked = written(ranked.select("source", "rank", "source_size", "weight", "cap", "ratio", "budget"), "mix-ranked")
     # With the sources that reach their caps first in front, the level is what remains for the rest by weight.
-    order = Window.orderBy(F.col("cap") / F.col("weight"), "rank")
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
-    level = (F.col("budget") - F.coalesce(F.sum("cap").over(before), F.lit(0))).cast("double") / F.sum("weight").over(after)
-    levels = ranked.withColumn("level", level)
-    found = levels.filter(F.col("level") * F.col("weight") <= F.col("cap")).agg(F.min_by("level", F.struct(F.col("cap") / F.col("weight"), F.col("rank"))).alias("level"))
+    filling = running_totals(ranked, "ratio", ["rank"], {"caps": "cap", "weights": "weight"}).crossJoin(F.broadcast(ranked.agg(F.sum("weight").alias("all_weights"))))
+    level = (F.col("budget") - (F.col("caps") - F.col("cap"))).cast("double") / (F.col("all_weights") - (F.col("weights") - F.col("weight")))
+    levels = filling.withColumn("level", level)
+    found = levels.filter(F.col("level") * F.col("weight") <= F.col("cap")).agg(F.min_by("level", F.struct("ratio", "rank")).alias("fill"))
     filled = F.least(F.col("cap").cast("double"), F.coalesce(F.col("fill") * F.col("weight"), F.col("cap").cast("double")))
-    return ranked.crossJoin(F.broadcast(found.select(F.col("level").alias("fill")))).select("source", "rank", "source_size", filled.alias("target"), "budget")
+    return ranked.crossJoin(F.broadcast(found)).select("source", "rank", "source_size", filled.alias("target"), "budget")
 
 
 def mix(docs: DataFrame, seed: int = 17) -> DataFrame:
     """``doc_id, source, size, source_size, target, copies, taken`` for every row of ``docs`` (doc_id, text, source)."""
     sizes = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
     targets = written(source_targets(sizes), "mix-targets")
-    queue = sizes.withColumn("h", shuffle_key(F.col("doc_id"), seed)).withColumn("part", F.shiftright("h", 60 - _PARTS_BITS))
     known = targets.select(F.col("source").alias("_source"), "rank", "source_size", "target")
-    queue = queue.join(known, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    places = sizes.groupBy("source", "doc_id").agg(F.sum("size").alias("words")).withColumn("h", shuffle_key(F.col("doc_id"), seed)).withColumn("part", F.shiftright("h", 60 - _PARTS_BITS))
+    places = places.join(known, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     earlier = Window.partitionBy("rank").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = queue.groupBy("rank", "part").agg(F.sum("size").alias("s")).select("rank", "part", F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("ahead"))
-    upto = F.sum("size").over(Window.partitionBy("rank", "part").orderBy("h", "doc_id")) + F.col("ahead")
-    queue = written(queue.join(parts, ["rank", "part"]).withColumn("upto", upto).drop("part", "ahead"), "mix-queue")
+    parts = places.groupBy("rank", "part").agg(F.sum("words").alias("s")).select("rank", "part", F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("ahead"))
+    upto = F.sum("words").over(Window.partitionBy("rank", "part").orderBy("h", "doc_id")) + F.col("ahead")
+    places = written(places.join(parts, ["rank", "part"]).withColumn("upto", upto).drop("part", "ahead"), "mix-queue")
 
     finish = lambda epoch: (F.col("source_size") * epoch + F.col("upto")).cast("double") / F.col("target")
-    copies = queue.filter("size > 0 AND target > 0").select("size", "rank", "h", "doc_id", F.explode(F.array(*[finish(F.lit(e)) for e in range(MAX_EPOCHS)])).alias("finish"))
-    sorted_copies = running_total(copies, "finish", ["rank", "h", "doc_id"], "size", "words")
+    copies = places.filter("words > 0 AND target > 0").select("words", "rank", "h", "doc_id", F.explode(F.array(*[finish(F.lit(e)) for e in range(MAX_EPOCHS)])).alias("finish"))
+    sorted_copies = running_totals(copies, "finish", ["rank", "h", "doc_id"], {"all_words": "words"})
     budget = targets.agg(F.max("budget").alias("b"))
     key = F.struct("finish", "rank", "h", "doc_id")
-    last = sorted_copies.crossJoin(F.broadcast(budget)).filter("words <= b").agg(F.max(key).alias("cut"))
+    last = sorted_copies.crossJoin(F.broadcast(budget)).filter("all_words <= b").agg(F.max(key).alias("cut"))
     done = [F.when(F.struct(finish(F.lit(e)).alias("finish"), "rank", "h", "doc_id") <= F.col("cut"), 1).otherwise(0) for e in range(MAX_EPOCHS)]
-    taken = F.when((F.col("size") > 0) & (F.col("target") > 0), sum(done[1:], done[0])).otherwise(0)
-    out = queue.crossJoin(F.broadcast(last)).withColumn("copies", F.coalesce(taken, F.lit(0)))
+    taken = F.when((F.col("words") > 0) & (F.col("target") > 0), sum(done[1:], done[0])).otherwise(0)
+    placed = places.crossJoin(F.broadcast(last)).select(F.col("source").alias("_source"), F.col("doc_id").alias("_id"), "source_size", "target", F.coalesce(taken, F.lit(0)).alias("all_copies"))
+    out = sizes.join(placed, F.col("source").eqNullSafe(F.col("_source")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    out = out.withColumn("copies", F.when(F.col("size") > 0, F.col("all_copies")).otherwise(0))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 

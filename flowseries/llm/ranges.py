@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
+
+#: Rows of a sample for each range.
+SAMPLE = 100
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -14,13 +19,23 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def range_bounds(df: DataFrame, key: str) -> list:
-    """Ascending distinct bounds that cut ``key`` into about as many even buckets as there are shuffle partitions.
-    Bounds only set which task works on a row; results never depend on them."""
+def quantiles(df: DataFrame, key: str) -> list:
+    """Ascending values of ``key`` that cut it into about as many even ranges as there are shuffle partitions; a value
+    of many ranges' rows stands there as often. Keys that aren't numbers are sampled, ``SAMPLE`` rows a range."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shares = [i / n for i in range(1, n)]
-    found = df.select(F.percentile_approx(key, shares, 20 * n)).first()[0] if shares else None
-    return sorted(set(found or []))
+    if n < 2:
+        return []
+    if isinstance(df.schema[key].dataType, NumericType):
+        return sorted(df.select(F.percentile_approx(key, [i / n for i in range(1, n)], 20 * n)).first()[0] or [])
+    keys = df.select(key).filter(F.col(key).isNotNull())
+    share = SAMPLE * n / max(1, keys.count())
+    found = sorted(r[0] for r in keys.filter(F.rand(1) < share).collect())
+    return [found[len(found) * i // n] for i in range(1, n)] if found else []
+
+
+def range_bounds(df: DataFrame, key: str) -> list:
+    """Distinct ``quantiles``. Bounds only set which task works on a row; results never depend on them."""
+    return sorted(set(quantiles(df, key)))
 
 
 def range_bucket(key: Column, bounds: list, kind: str) -> Column:
@@ -37,17 +52,15 @@ def range_bucket(key: Column, bounds: list, kind: str) -> Column:
     return F.when(key.isNull(), F.lit(0)).otherwise(within)
 
 
-def running_total(df: DataFrame, key: str, ties: list[str], value: str, into: str) -> DataFrame:
-    """Adds the running sum of ``value`` over the whole table in the order of ``key`` and ``ties``; rows that are
-    equal in all of them get the same sum. Buckets of ``key`` run in parallel; their totals, as many as there are
-    buckets, come to the driver."""
-    kind = df.schema[key].dataType.simpleString()
+def running_totals(df: DataFrame, key: str, ties: list[str], values: dict[str, str]) -> DataFrame:
+    """Adds the running sums of ``values`` (name of the sum to column) over the whole table in the order of ``key`` and
+    ``ties``, nulls first; rows that are equal in all of them get the same sums. Buckets of ``key`` run in parallel;
+    their totals, as many as there are buckets, come to the driver."""
     bounds = range_bounds(df, key)
-    df = df.withColumn("_bucket", range_bucket(F.col(key), bounds, kind))
-    totals = {r["_bucket"]: r["t"] for r in df.groupBy("_bucket").agg(F.sum(value).alias("t")).collect()}
-    before, offsets = 0, []
-    for b in range(len(bounds) + 1):
-        offsets.append(before)
-        before += totals.get(b) or 0
-    inside = F.sum(value).over(Window.partitionBy("_bucket").orderBy(key, *ties))
-    return df.withColumn(into, inside + F.array(*[F.lit(x).cast("long") for x in offsets])[F.col("_bucket")]).drop("_bucket")
+    df = df.withColumn("_bucket", range_bucket(F.col(key), bounds, df.schema[key].dataType.simpleString()))
+    totals = {r["_bucket"]: r for r in df.groupBy("_bucket").agg(*[F.sum(v).alias(into) for into, v in values.items()]).collect()}
+    w = Window.partitionBy("_bucket").orderBy(key, *ties)
+    for into, value in values.items():
+        before = [0, *accumulate((totals[b][into] or 0) if b in totals else 0 for b in range(len(bounds)))]
+        df = df.withColumn(into, F.sum(value).over(w) + F.get(F.array(*[F.lit(x).cast("long") for x in before]), F.col("_bucket")))
+    return df.drop("_bucket")

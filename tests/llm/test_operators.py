@@ -75,11 +75,8 @@ def brute_sketch(text):
         return h - (1 << 64) if h >= 1 << 63 else h
 
     tokens = []
-    for w in (t for t in SPACE.findall(text)):
-        if len(w.encode()) <= syncmers.LONG:
-            tokens.append(w)
-        else:
-            tokens += re.findall(r"[฀-໿က-႟ក-៿぀-ヿ㐀-鿿]|[^฀-໿က-႟ក-៿぀-ヿ㐀-鿿]{1,16}", w)
+    for w in SPACE.findall(text):
+        tokens += re.findall(r"[฀-໿က-႟ក-៿぀-ヿ㐀-鿿]|[^฀-໿က-႟ក-៿぀-ヿ㐀-鿿]{1,16}", w)
     h = [xx(t) for t in tokens]
     k = syncmers.K
     if len(h) < k:
