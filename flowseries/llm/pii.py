@@ -7,8 +7,9 @@ in code points. Quantifiers are possessive where that changes no match, so that
 Kinds as listed below; the first four are the base: they stay whatever their score. Added kinds (IBAN by mod 97,
 US social security numbers) need a score of ``KEEP`` or more.
 
-Defined results: null text is empty; a text without spans gives an empty array; repeated rows each get their own;
-ids may be null. Other columns stay.
+Defined results: null text is empty; a text without spans gives an empty array; texts of any length are searched
+whole; spans of one start stand in the order of their kinds; repeated rows each get their own; ids may be null; an
+empty table gives none. Other columns stay.
 """
 
 from __future__ import annotations
@@ -128,14 +129,14 @@ def _listed(spans: Column) -> Column:
 
 
 def pii_digest(docs: DataFrame) -> DataFrame:
-    """``doc_id``, counts of the base kinds, the digest of the base spans, and all spans as text."""
+    """``doc_id``, counts of the base kinds, the digest of the base spans, all spans as text, and their ``scores``."""
     found = find_pii(docs.select("doc_id", "text"))
 
     def count(kind: str) -> Column:
         return F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     base = F.sha2(_listed(F.filter("pii", lambda s: s["rank"] < BASE)), 256)
-    return found.select("doc_id", *[count(k) for k in KINDS[:BASE]], base.alias("base_sha256"), _listed(F.col("pii")).alias("spans"), *[count(k) for k in KINDS[BASE:]])
+    return found.select("doc_id", *[count(k) for k in KINDS[:BASE]], base.alias("base_sha256"), _listed(F.col("pii")).alias("spans"), *[count(k) for k in KINDS[BASE:]], F.array_join(F.transform("pii", lambda s: F.format_number(s["score"], 2)), ",").alias("scores"))
 
 
 def redact(docs: DataFrame) -> DataFrame:

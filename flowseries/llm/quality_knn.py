@@ -16,8 +16,8 @@ dimensions are fixed. All documents are scored, over their whole texts.
 
 Defined results: null text is empty; a text of fewer than three bytes has no terms, so no neighbours, and gets the
 share of label 1 among the voters; without labelled rows every score is 0.5; of several labels of one id the highest
-counts; null ids are never labelled and not held out; repeated rows are scored alike; an empty table gives none;
-extra columns aren't read.
+counts; null ids are never labelled and not held out; texts of any length count whole; repeated rows are scored alike;
+an empty table gives none; extra columns aren't read.
 """
 
 from __future__ import annotations

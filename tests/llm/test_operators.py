@@ -540,8 +540,10 @@ def test_pii(spark, docs):
 def test_pii_checksums_and_context(spark):
     cases = {"GB82 WEST 1234 5698 7654 32": "iban:0:27", "GB82 WEST 1234 5698 7654 33": "", "my ssn 123-45-6789": "ssn:7:18", "part 123-45-6789": "", "DE89370400440532013000 konto": "iban:0:22"}
     df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
-    got = {r.doc_id: r.spans for r in pii.pii_digest(df).collect()}
-    assert [got[i] for i in range(len(cases))] == list(cases.values())
+    rows = {r.doc_id: r for r in pii.pii_digest(df).collect()}
+    assert [rows[i].spans for i in range(len(cases))] == list(cases.values())
+    for r in rows.values():
+        assert [float(x) for x in r.scores.split(",") if x] == pytest.approx([s.score for s in pii.find_pii(df).filter(F.col("doc_id") == r.doc_id).first().pii])
 
 
 def test_redaction(spark, awkward):
