@@ -10,8 +10,8 @@ spaces, for wrapped paragraphs; the one that knows more sentences counts (on a t
 Expressions only; no shuffle. Texts without any word of ``HINTS``, one of which every known sentence has, aren't cut.
 
 Defined results: null and empty texts have no sentences; texts of any length are cut whole; an empty table gives none;
-repeated sentences give their identifier and licence again
-(licences are listed once); repeated rows each get their own; ids may be null; other columns stay.
+repeated sentences give their identifier and licence again (licences are listed once); repeated rows each get their
+own; ids may be null; other columns stay.
 """
 
 from __future__ import annotations
