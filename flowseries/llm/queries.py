@@ -79,9 +79,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def _license_sql() -> str:
-    """The scan over the same sentences and rules: one unnested row for each sentence, then the rules one by one."""
+    """The scan over the same sentences and rules, with patterns of its own: one unnested row for each sentence, then the
+    rules one by one."""
     known = ", ".join(f"('{k}', '{v}')" for k, v in license_rules.known_sentences().items())
-    end, other = license_rules._END, license_rules._OTHER
+    end, other = r"[.!?:;]+(?:[\x20\x09-\x0D]+|$)|\n+", r"[^\p{L}\p{N}]+"
     steps, found = [], []
     for i, (licence, rule) in enumerate(license_rules.RULES):
         at = f"' {'  '.join(rule)} '"
@@ -98,9 +99,9 @@ def _license_sql() -> str:
 WITH k(sentence, id) AS (VALUES {known}),
 d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS n FROM documents),
 cuts AS (
-  SELECT n, 0 AS cut, regexp_split_to_array(text, '{end}') AS parts FROM d WHERE regexp_matches(text, '(?i){license_rules.HINTS}')
+  SELECT n, 0 AS cut, regexp_split_to_array(text, '{end}') AS parts FROM d
   UNION ALL
-  SELECT n, 1 AS cut, regexp_split_to_array(regexp_replace(text, '([^\n])\n([^\n])', '\1 \2', 'g'), '{end}') AS parts FROM d WHERE regexp_matches(text, '(?i){license_rules.HINTS}')
+  SELECT n, 1 AS cut, regexp_split_to_array(regexp_replace(text, '([^\n])\n([^\n])', '\1 \2', 'g'), '{end}') AS parts FROM d
 ),
 s AS (SELECT n, cut, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM cuts),
 m AS (SELECT n, cut, list(k.id ORDER BY i) AS ids FROM s JOIN k ON trim(regexp_replace(lower(part), '{other}', ' ', 'g')) = k.sentence GROUP BY n, cut),

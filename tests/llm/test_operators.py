@@ -568,11 +568,40 @@ def test_licences(spark, awkward):
 
 def test_licence_tables():
     known = license_rules.known_sentences()
-    assert all(re.search(license_rules.HINTS, s) for s in known), [s for s in known if not re.search(license_rules.HINTS, s)]
-    assert {i for _, rule in license_rules.RULES for i in rule} <= set(license_rules.SENTENCES)
+    assert {i for _, rule in license_rules.RULES for i in rule} == set(license_rules.SENTENCES) == set(known.values())
     assert all(len(s) > 8 for s in known)
 
 
+def test_whole_licences(spark, tmp_path):
+    """Licences given as texts: a wrapped copy with its own copyright line is recognised, half a copy isn't."""
+    body = [f"Clause {prose(k, 12)}" for k in range(300)]
+    one, two = ". ".join(body[:200]) + ".", ". ".join(body[100:300]) + "."
+    for name, text in (("Long-1.0", f"Copyright (c) <year> <owner>\n\n1. Terms.\n\n{one}"), ("Long-2.0", two)):
+        (tmp_path / f"{name}.txt").write_text(text)
+    table = license_rules.licence_table(license_rules.read_licences(spark, f"file://{tmp_path}"))
+    wrapped = re.sub(r"(.{60}\S*) ", r"\1\n", one.upper())
+    texts = [f"Copyright 2020 A. Person\n\n{wrapped}\n\nReleased under the MIT License.", two, one[: len(one) // 2], one + "\n\n" + two + "\n\n" + one, "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [(r.licences, r.left_over) for r in license_rules.scan(docs, table).orderBy("doc_id").collect()]
+    assert got[0] == (["Long-1.0", "MIT"], 0) and got[1] == (["Long-2.0"], 0) and got[3] == (["Long-1.0", "Long-2.0"], 0) and got[4:] == [([], 0), ([], 0)]
+    assert got[2][0] == [] and got[2][1] >= 90
+
+
+def test_rules_against_replacement():
+    """``matched`` against replacing sequences in a joined string, over random identifiers."""
+    r = random.Random(3)
+    for _ in range(500):
+        ids = [r.choice("abc") for _ in range(r.randrange(12))]
+        rules = tuple((str(k % 4), tuple(r.choice("abc") for _ in range(r.randrange(1, 4)))) for k in range(6))
+        rest, want = " " + "  ".join(ids) + " ", []
+        for licence, rule in rules:
+            at = f" {'  '.join(rule)} "
+            if at in rest:
+                want.append(licence)
+                rest = rest.replace(at, " - ")
+        assert license_rules.matched(ids, rules) == (list(dict.fromkeys(want)), sum(x != "-" for x in rest.split()))
+
+
 # Quality rules
 
 
