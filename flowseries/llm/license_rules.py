@@ -22,7 +22,7 @@ own; ids may be null; other columns stay.
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -124,6 +124,7 @@ MAX_LICENCE_BYTES = 16 << 20
 MIN_WORDS = 4
 _END = re.compile(r"[.!?:;]+(?:[\x20\x09-\x0D]+|\Z)|\n+")
 _OTHER = re.compile(r"[\W_]+")
+_HEAD = re.compile(r"[^\W_]+(?:[\W_]+[^\W_]+)?")
 _BREAK = re.compile(r"([^\n])\n([^\n])")
 #: Sentences that each copy fills in for itself.
 _FILLED_IN = re.compile(r"<[^<>\n]+>|\[[^\[\]\n]+\]|^\W*copyright\b", re.IGNORECASE)
@@ -158,8 +159,8 @@ def known_sentences() -> dict[str, str]:
 def licence_table(texts: Mapping[str, str] | None = None) -> LicenceTable:
     """The table of ``SENTENCES`` and ``RULES`` and, for each licence of ``texts`` (name to whole text), a rule of all
     its sentences in order. A sentence that several licences have is one identifier; of two names
-    with the same text the first in order counts. Longer texts are tried first and
-    all of them before ``RULES``, as they hold the latter's statements."""
+    with the same text the first in order counts. Longer texts are tried first, and all of them before ``RULES``, as
+    they hold the latter's statements."""
     known, whole = known_sentences(), []
     for licence, text in sorted((texts or {}).items()):
         sequence = []
@@ -181,9 +182,21 @@ def read_licences(spark: SparkSession, path: str) -> dict[str, str]:
     return {r.name: r.value for r in files.collect()}
 
 
-def identifiers(text: str, known: Mapping[str, str]) -> list[str]:
-    """Identifiers of a text's known sentences, in order, by the better of both cuts."""
-    cut = lambda t: [known[s] for s in map(normalised, _END.split(t)) if s in known]
+def _heads(sentences: Iterable[str]) -> frozenset[str]:
+    """First two words of each."""
+    return frozenset(" ".join(s.split()[:2]) for s in sentences)
+
+
+def identifiers(text: str, known: Mapping[str, str], heads: frozenset[str] | None = None) -> list[str]:
+    """Identifiers of a text's known sentences, in order, by the better of both cuts. Only sentences whose first two
+    words are ``heads``, those of the ``known`` ones, are normalised whole."""
+    heads = _heads(known) if heads is None else heads
+    head, other, text = _HEAD.search, _OTHER.sub, text.lower()
+
+    def cut(whole: str) -> list[str]:
+        parts = [p for p in _END.split(whole) if (m := head(p)) and other(" ", m.group()) in heads]
+        return [known[s] for s in map(normalised, parts) if s in known]
+
     lines = cut(text)
     wrapped = cut(_unwrapped(text)) if "\n" in text else lines
     return wrapped if len(wrapped) > len(lines) else lines
@@ -221,10 +234,11 @@ def scan(docs: DataFrame, table: LicenceTable | None = None) -> DataFrame:
     @F.arrow_udf(_RESULT)
     def scanned(texts: pa.Array) -> pa.Array:
         known, rules = sent.value
+        heads = _heads(known)
         ids, licences, left = [], [], []
         for at in range(0, len(texts), ROWS):
             for text in texts.slice(at, ROWS).to_pylist():
-                found = identifiers(text, known) if text else []
+                found = identifiers(text, known, heads) if text else []
                 named, unused = matched(found, rules) if found else ([], 0)
                 ids.append(found)
                 licences.append(named)
