@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowseries.llm import license_rules, mixing, pii, quality_knn, quality_rules, scratch, sentencepiece_codec, simhash, syncmers, tool_calls, warc
+from flowseries.llm import byte_bpe, hard_negatives, license_rules, merkle, mixing, pii, quality_knn, quality_rules, scratch, sentencepiece_codec, simhash, syncmers, tool_calls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_verdicts(_table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine_embeddings(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.token_digest(spark.read.parquet(f"{sf_dir}/documents.parquet"), byte_bpe.load_ranks(spark))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest_digest(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_simhash": op2_simhash,
@@ -75,6 +87,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_licenses": op9_licenses,
     "op10_quality_rules": op10_quality_rules,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_merkle": op13_merkle,
 }
 
 
@@ -118,6 +133,51 @@ FROM d LEFT JOIN f ON d.n = f.n
 """
 
 
+def _merkle_sql() -> str:
+    """Trees level by level: a run is a group of a level's nodes, numbered by their places; the tree over the trees is
+    one more tree, of the subroots. CRC-32 by its polynomial, as DuckDB has no function for it."""
+    parts = lambda text: " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode({c}::VARCHAR)) || ':' || {c} END" for c in ("doc_id", "source", "lang", "n_chars", text))
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    byte = "list_reduce([xor(c, b)] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+    crc = f"xor(list_reduce([4294967295] || list_transform(string_split(doc_id::VARCHAR, ''), lambda d: ord(d)::BIGINT), lambda c, b: {byte}), 4294967295)"
+
+    def tree(name: str, nodes: str) -> str:
+        return f"""{name} AS (
+  SELECT tree, 0 AS level, place, h, count(*) OVER (PARTITION BY tree) AS width FROM {nodes}
+  UNION ALL
+  SELECT tree, level + 1, place, h, count(*) OVER (PARTITION BY tree) FROM (
+    SELECT tree, level, place // 8 AS place, sha256(string_agg(h, '' ORDER BY place)) AS h FROM {name} WHERE width > 1 GROUP BY tree, level, place // 8)
+)"""
+
+    return f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, sha256({parts('text')}) AS leaf, CASE WHEN {crc} % 3 = 0 THEN sha256({parts(lowered)}) END AS other FROM documents
+), l AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree FROM d
+), leaves AS (SELECT tree, place, leaf AS h FROM l),
+{tree('lower_tree', 'leaves')},
+subroots AS (SELECT tree, h FROM lower_tree WHERE width = 1), tops AS (SELECT 0 AS tree, tree AS place, h FROM subroots),
+{tree('upper_tree', 'tops')},
+runs AS (
+  SELECT 0 AS stage, tree, level, place, width, h FROM lower_tree WHERE width > 1 UNION ALL SELECT 1, tree, level, place, width, h FROM upper_tree WHERE width > 1
+), sides AS (
+  SELECT a.stage, a.tree, a.level, a.place, coalesce(string_agg(b.h, '' ORDER BY b.place) FILTER (b.place < a.place), '') AS before, coalesce(string_agg(b.h, '' ORDER BY b.place) FILTER (b.place > a.place), '') AS behind
+  FROM runs a JOIN runs b ON a.stage = b.stage AND a.tree = b.tree AND a.level = b.level AND a.place // 8 = b.place // 8 GROUP BY ALL
+), steps AS (
+  SELECT l.tree, l.place, row_number() OVER (PARTITION BY l.tree, l.place ORDER BY s.stage, s.level) AS k, s.before, s.behind
+  FROM l JOIN sides s ON CASE s.stage WHEN 0 THEN s.tree = l.tree AND s.place = l.place // (8 ** s.level)::BIGINT ELSE s.place = l.tree // (8 ** s.level)::BIGINT END
+), folds AS (
+  SELECT tree, place, 0 AS k, coalesce(other, leaf) AS h, '' AS proof FROM l
+  UNION ALL
+  SELECT f.tree, f.place, s.k, sha256(s.before || f.h || s.behind), f.proof || s.before || s.behind FROM folds f JOIN steps s ON f.tree = s.tree AND f.place = s.place AND s.k = f.k + 1
+), tried AS (
+  SELECT tree, place, arg_max(h, k) AS folded_root, arg_max(proof, k) AS proof FROM folds GROUP BY tree, place
+), top AS (SELECT h AS root FROM upper_tree WHERE width = 1)
+SELECT doc_id, leaf, subroots.h AS subroot, root, sha256(proof) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM l JOIN tried USING (tree, place) JOIN subroots USING (tree), top
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op6_tool_calls": r"""
 WITH c AS (
@@ -155,6 +215,24 @@ SELECT page_id, bytes AS payload_bytes, p.digest AS payload_digest,
 FROM p LEFT JOIN f ON p.digest = f.digest
 """,
     "op9_licenses": _license_sql(),
+    "op11_hard_negatives": """
+WITH v AS (
+  SELECT row_number() OVER () AS n, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.n, a.vec_id AS anchor_id, b.vec_id, b.n AS m, a.label = b.label AS same, list_dot_product(a.e, b.e)::BIGINT AS score
+  FROM v a JOIN v b ON a.n <> b.n WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id, m) AS k FROM s WHERE same QUALIFY k <= 5
+), r AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.n, p.k ORDER BY s.score DESC, s.vec_id, s.m)::INTEGER AS rank,
+         s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+  FROM p JOIN s ON p.n = s.n AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+)
+SELECT * FROM r WHERE rank <= 10
+""",
+    "op13_merkle": _merkle_sql(),
     "op3_mixing": r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,

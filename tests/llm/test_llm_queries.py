@@ -49,4 +49,4 @@ def test_registration():
     import __spark_entry__
 
     found = __spark_entry__.queries()
-    assert all(any(k.startswith(f"op{n}_") for k in found) for n in range(1, 11)) and "pipeline" in found
+    assert all(any(k.startswith(f"op{n}_") for k in found) for n in range(1, 14)) and "pipeline" in found
