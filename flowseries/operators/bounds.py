@@ -37,6 +37,29 @@ def series_bounds(points: DataFrame) -> DataFrame:
     return points.groupBy("flow_id", "series_id", "name").agg(F.min("ts").alias("xmin"), F.max("ts").alias("xmax"), F.min(v).alias("ymin"), F.max(v).alias("ymax"))
 
 
+def stored_series_bounds(summaries: DataFrame) -> DataFrame:
+    """``series_bounds`` of a store's points, from their summaries."""
+    return summaries.select("flow_id", "series_id", "name", "xmin", "xmax", "ymin", "ymax")
+
+
+def stored_flow_bounds(summaries: DataFrame) -> DataFrame:
+    """``flow_bounds`` of a store's points, from their summaries."""
+    return summaries.groupBy("flow_id").agg(F.min("xmin").alias("xmin"), F.max("xmax").alias("xmax"))
+
+
+def stored_y_bounds(summaries: DataFrame, series_ids: list[int] | None = None, pad: float = PAD) -> DataFrame:
+    """``selection_y_bounds`` of a store's points, from their summaries."""
+    chosen = summaries if series_ids is None else summaries.filter(F.col("series_id").isin(series_ids))
+    lo, hi = padded(F.col("lo"), F.col("hi"), pad)
+    return chosen.agg(F.min("ymin").alias("lo"), F.max("ymax").alias("hi")).select(lo.alias("y_lower"), hi.alias("y_upper"))
+
+
+def stored_listing(series: DataFrame, summaries: DataFrame) -> DataFrame:
+    """``series_listing`` of a store's series (time_series_id, ...), from their points' summaries."""
+    counted = series.withColumnRenamed("time_series_id", "series_id").join(summaries.select("series_id", "n_points"), "series_id", "left")
+    return counted.select("flow_id", "series_id", "name", type_name(F.col("type")).alias("type_name"), F.coalesce("n_points", F.lit(0)).alias("n_points"))
+
+
 def flow_bounds(points: DataFrame) -> DataFrame:
     return points.groupBy("flow_id").agg(F.min("ts").alias("xmin"), F.max("ts").alias("xmax"))
 

@@ -60,14 +60,20 @@ def union_sources(*sources: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, sources)
 
 
-def split_duplicates(points: DataFrame, order: list[str], on_duplicate: str = "first") -> tuple[DataFrame, DataFrame]:
+def repeated_keys(points: DataFrame) -> DataFrame:
+    """(series, ts) of more than one point, as ``_series, _ts``."""
+    return points.groupBy("series_id", "ts").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col("series_id").alias("_series"), F.col("ts").alias("_ts"))
+
+
+def split_duplicates(points: DataFrame, order: list[str], on_duplicate: str = "first", repeated: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Points with a (series, ts) of their own, and the rest. The first by ``order``, a total order, is kept;
     ``error`` fails on the first duplicate read. Keys are counted by hash, and only points of repeated keys are sorted;
-    while those keys are few, Spark broadcasts them and doesn't shuffle the points."""
+    while those keys are few, Spark broadcasts them and doesn't shuffle the points. ``repeated`` are the points'
+    ``repeated_keys``, where they are at hand."""
     key = ["series_id", "ts"]
     # A null key is no point's own either; it equals itself here as it does in a window.
     same = (F.col("series_id").eqNullSafe(F.col("_series"))) & (F.col("ts").eqNullSafe(F.col("_ts")))
-    repeated = points.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col("series_id").alias("_series"), F.col("ts").alias("_ts"))
+    repeated = repeated_keys(points) if repeated is None else repeated
     single, several = points.join(repeated, same, "left_anti"), points.join(repeated, same, "left_semi")
     if on_duplicate == "error":
         message = F.concat(F.lit("duplicate point of series "), F.col("series_id").cast("string"))

@@ -108,9 +108,6 @@ on_packets("bool_true_only", f"WITH {K_SQL} SELECT series_id, ts FROM q WHERE va
 on_points("series_by_names", f"WITH {P_SQL}, s AS (SELECT DISTINCT flow_id, series_id, name FROM p WHERE name IN ('click', 'view')) SELECT * FROM s WHERE flow_id IN (SELECT flow_id FROM s GROUP BY flow_id HAVING count(*) = 2)", lambda p: complete_series(points.catalog(p), ["click", "view"]).select("flow_id", "series_id", "name"))
 on_points("series_by_ids", f"WITH {P_SQL} SELECT DISTINCT flow_id, series_id, name FROM p WHERE {_IN}", lambda p: points.catalog(p).filter(F.col("series_id").isin(_IDS)).select("flow_id", "series_id", "name"))
 on_points("series_of_flow", f"WITH {P_SQL} SELECT DISTINCT series_id, name FROM p WHERE {_FLOW}", lambda p: points.catalog(p).filter(_FLOW).select("series_id", "name"))
-on_events("flow_by_tuple", f"WITH {E_SQL} SELECT DISTINCT flow_id AS id, src, dst, sport, dport, l4proto FROM e WHERE src = '10.0.0.7' AND dst = '192.168.0.1' AND sport = 40007 AND dport = 443 AND l4proto = 6", lambda e: points.flows(e.filter("src = '10.0.0.7' AND dst = '192.168.0.1' AND sport = 40007 AND dport = 443 AND l4proto = 6")).orderBy("id").limit(1))
-on_events("flow_by_id", f"WITH {E_SQL} SELECT DISTINCT flow_id AS id, src, dst, sport, dport, l4proto FROM e WHERE {_FLOW}", lambda e: points.flows(e).filter(F.col("id") == user_flow(7)))
-on_points("series_by_id", f"WITH {P_SQL} SELECT DISTINCT series_id, flow_id, name, type FROM p WHERE series_id = {_IDS[0]}", lambda p: points.catalog(p).filter(F.col("series_id") == _IDS[0]))
 on_events("flow_label", f"WITH {E_SQL} SELECT DISTINCT flow_id AS id, 'ID:' || flow_id || ' Port: ' || sport || '-' || dport || ' IP: ' || src || '-' || dst AS label FROM e", lambda e: points.flows(e).select("id", flow_label().alias("label")))
 
 # Reshape

@@ -96,4 +96,6 @@ STORE = {
     "flow_attributes": "id long, flow_id long, name string, type int, value_int long, value_float double, value_bool boolean, value_text string",
     "time_series": "time_series_id long, flow_id long, name string, type int",
     "time_series_data": "time_series_id long, ts double, ts_ns long, type int, value_int long, value_float double, value_bool boolean, value_text string",
+    "quarantine": "part string, reason string, flow_id long, time_series_id long, name string, type int, ts double, ts_ns long, value_int long, value_float double, value_bool boolean, value_text string, record string",
+    "accounts": "part string, kind string, records long, corrupt long, points long, stored long, known long, quarantined long",
 }

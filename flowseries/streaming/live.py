@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from flowseries.functions.addresses import TUPLE, with_flow
-from flowseries.operators.points import split_duplicates, to_points
+from flowseries.operators.points import to_points
 from flowseries.operators.windows import rate
 from flowseries.sources.store import FlowStore, held
 
@@ -76,16 +76,24 @@ def live_counters(records: DataFrame, name: str = "records") -> DataFrame:
 
 def ingest_batch(store: FlowStore, kind: str) -> Callable[[DataFrame, int], None]:
     """What a batch of records does to a store: flows, series and points, the points as a part of the batch's number.
-    Coming twice it changes nothing. It reads the ids of flows and series, and points of the batch's own days and times."""
+    What isn't stored is kept in the store's quarantine: corrupt records, points that repeat a key of the batch, points
+    of another type than their series. The batch's account says where every record and point went: records are corrupt
+    or give points, points are stored, known already, or in quarantine. Coming twice a batch changes nothing. It reads
+    the flows and series of its own buckets, and points of its own days and times."""
 
     def run(batch: DataFrame, number: int) -> None:
+        part = f"{kind}-{number}"
         with held(batch):
-            good = batch.filter("NOT _corrupt")
-            flows = with_flow(good, kind)
+            records, corrupt = batch.agg(F.count(F.lit(1)), F.count(F.when(F.col("_corrupt"), 1))).first()
+            if not records:
+                return
+            flows = with_flow(batch.filter("NOT _corrupt"), kind)
             store.add_flows(flows)
-            every = to_points(flows, kind)
-            with held(every):
-                store.save_series(split_duplicates(every, ["ts_ns", "type", "value_int", "value_bool"])[0], f"{kind}-{number}")
+            fates = store.take_points(to_points(flows, kind), ["ts_ns", "type", "value_int", "value_bool"], part)
+            bad = batch.filter("_corrupt").select(F.lit("corrupt").alias("reason"), F.to_json(F.struct(*batch.columns)).alias("record"))
+            store.refuse(bad if corrupt else None, f"{kind}.records-{number}")
+            refused = fates.get("duplicate", 0) + fates.get("type", 0)
+            store.account(kind, part, records=records, corrupt=corrupt, points=sum(fates.values()), stored=fates.get("new", 0), known=fates.get("known", 0), quarantined=refused)
 
     return run
 

@@ -1,5 +1,6 @@
 import json
 import os
+import re
 
 import numpy as np
 import pytest
@@ -7,7 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from test_points import pts
 
-from flowseries.operators import points
+from flowseries.operators import bounds, points
 from flowseries.schema import BAD_CSUM
 from flowseries.sources import trace
 from flowseries.sources.store import FlowStore, ForeignStore, Selection, scratch_store
@@ -192,7 +193,7 @@ def test_ingest_reads_and_replaces_its_own_part_only(spark, tmp_path):
     merge = store.unstored(new)
     merge.collect()
     plan = merge._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(day#" in plan and ">= 4)" in plan and "<= 4)" in plan and "GreaterThanOrEqual(ts_ns" in plan
+    assert re.search(r"PartitionFilters: \[isnotnull\(day#\d+L\), \(day#\d+L = 4\)\]", plan) and "GreaterThanOrEqual(ts," in plan
     assert store.points_between(3 * 86_400 * 10**9, 3 * 86_400 * 10**9 + 10**9).count() == 2
     store.compact()
     assert store.data.count() == 35 and {r.part for r in store.parts("time_series_data").select("part").distinct().collect()} == {"base"}
@@ -205,6 +206,139 @@ def test_points_without_nanoseconds_are_merged(spark, store):
     assert store.data.count() == 4
 
 
+def test_a_key_is_stored_once_with_and_without_nanoseconds(spark, store):
+    p = pts(spark, [(1, "a", 1000, 1)])
+    for df in (p.withColumn("ts_ns", F.lit(None).cast("long")), p.withColumn("ts_ns", F.lit(1000).cast("long"))):
+        store.save_series(df)
+    assert store.data.count() == 1
+
+
+def test_days_between_those_of_a_batch_are_not_read(spark, tmp_path):
+    """One late record among new ones: two days are read."""
+    store = FlowStore(spark, f"file://{tmp_path}/s")
+    run = live.ingest_batch(store, "cwnd")
+    run(packets_of(spark, 1, 200), 0)
+    at = lambda day: points.to_points(packets_of(spark, day, 1).withColumns({"src": F.lit("a"), "dst": F.lit("b"), "sport": F.lit(1), "dport": F.lit(2), "l4proto": F.lit(6)}), "cwnd")
+    plan = store.unstored(at(1).unionByName(at(8)))._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"day#\d+L IN \(1,8\)", plan)
+
+
+def accounts_of(store):
+    return {r.part: (r.records, r.corrupt, r.points, r.stored, r.known, r.quarantined) for r in store.accounts.collect()}
+
+
+def test_every_row_of_a_batch_is_accounted_for(spark, tmp_path):
+    store = FlowStore(spark, f"file://{tmp_path}/s")
+    run = live.ingest_batch(store, "cwnd")
+    rows = packets_of(spark, 3, 10)
+    twice = rows.unionByName(rows.limit(3)).unionByName(rows.limit(2).withColumn("_corrupt", F.lit(True)))
+    for _ in range(2):
+        run(twice, 0)
+        run(packets_of(spark, 3, 10, 6), 1)
+        assert accounts_of(store) == {"cwnd-0": (15, 2, 13, 10, 0, 3), "cwnd-1": (10, 0, 10, 6, 4, 0)}
+        assert store.data.count() == 16
+        assert {r.reason: r["count"] for r in store.quarantine.groupBy("reason").count().collect()} == {"duplicate": 3, "corrupt": 2}
+    assert all('"time":' in r.record for r in store.quarantine.filter("reason = 'corrupt'").collect())
+    # A series of another type than the record's: its points are kept aside, the batch goes on.
+    flow = store.flows.first().id
+    store.delete_series([r.time_series_id for r in store.series_table.collect()])
+    store.create_series(spark.createDataFrame([(flow, "perf_snd_cwnd", 1)], "flow_id long, name string, type int"))
+    run(packets_of(spark, 5, 4), 2)
+    assert accounts_of(store)["cwnd-2"] == (4, 0, 4, 0, 0, 4) and store.data.count() == 0
+    assert store.quarantine.filter("reason = 'type'").count() == 4
+
+
+def files_below(path):
+    return sorted(str(p) for p in path.rglob("*") if p.is_file())
+
+
+def test_empty_batches_leave_the_store_as_it_was(spark, tmp_path):
+    store = FlowStore(spark, f"file://{tmp_path}/s")
+    run = live.ingest_batch(store, "cwnd")
+    run(packets_of(spark, 3, 4), 0)
+    before = files_below(tmp_path / "s")
+    for n in range(1, 10):
+        run(packets_of(spark, 3, 0), n)
+    known = points.catalog(pts(spark, []))
+    store.ensure_series(known)
+    store.add_flows(store.flows)
+    store.merge_points(pts(spark, []))
+    store.delete_series([])
+    store.compact()
+    assert files_below(tmp_path / "s") == before
+
+
+def test_parts_are_folded_by_size(spark, tmp_path):
+    store = FlowStore(spark, f"file://{tmp_path}/s", fold=3)
+    for n in range(7):
+        store.save_series(pts(spark, [(1, "a", n, n), (1, f"s{n}", n, n)]))
+        assert len(store.listing("time_series_data").parts) < 3
+    assert store.data.count() == 14 and store.series_table.count() == 8
+    assert FlowStore(spark, store.path, fold=9).settings["fold"] == 3
+    run = live.ingest_batch(store, "cwnd")
+    for n in range(4):
+        run(packets_of(spark, n, 2), n)
+    run(packets_of(spark, 3, 2), 3)  # the newest batch isn't folded, as it may come again
+    assert store.data.count() == 22 and "cwnd-3" in {p.name for p in store.listing("time_series_data").parts}
+    assert accounts_of(store) == {f"cwnd-{n}": (2, 0, 2, 2, 0, 0) for n in range(4)}
+    store.vacuum()
+    assert {int(p.name[4:]) for p in (tmp_path / "s" / "time_series_data" / "v0").iterdir()} == {p.seq for p in store.listing("time_series_data").parts}
+    assert store.data.count() == 22 and store.summaries().agg(F.sum("n_points")).first()[0] == 22
+
+
+def test_look_ups_read_their_own_bucket(spark, tmp_path):
+    store = FlowStore(spark, f"file://{tmp_path}/s", bucket_bits=4)
+    store.add_flows(spark.range(200).selectExpr("'a' AS src", "'b' AS dst", "int(id) AS sport", "1 AS dport", "6 AS l4proto"))
+    one = store.flow("a", "b", 7, 1)
+    assert one.first().sport == 7 and "PartitionFilters: [isnotnull(bucket#" in one._jdf.queryExecution().executedPlan().toString()
+    new = spark.createDataFrame([("a", "b", 7, 1, 6), ("a", "b", 500, 1, 6)], "src string, dst string, sport int, dport int, l4proto int").withColumn("id", F.lit(1 << 56))
+    plan = store._missing("flows", new)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[isnotnull\(bucket#\d+L\), \(bucket#\d+L = 1\)\]", plan) and "ReadSchema: struct<id:bigint>" in plan
+    assert len(list((tmp_path / "s" / "flows" / "v0" / "seq=1").glob("bucket=*"))) == 16
+
+
+def test_deletes_write_keys_and_hide_earlier_rows_only(spark, tmp_path):
+    store = FlowStore(spark, f"file://{tmp_path}/s")
+    rows = pts(spark, [(f, n, t, t) for f in (1, 2) for n in ("a", "b") for t in range(50)])
+    store.save_series(rows)
+    gone = rows.filter("flow_id = 1 AND name = 'a'").first().series_id
+    before = set(files_below(tmp_path / "s"))
+    store.delete_series([gone])
+    new = {p for p in set(files_below(tmp_path / "s")) - before if p.endswith(".parquet")}
+    assert new and all("/deletes/seq=" in p for p in new)
+    assert store.data.count() == 150 and store.points(gone).count() == 0 and store.summaries().count() == 3
+    store.save_series(rows.filter("ts < 10"))  # what comes after the delete is there
+    assert store.data.count() == 160 and store.points(gone).count() == 10
+    assert store.summaries().filter(F.col("series_id") == gone).first().n_points == 10
+    store.compact()
+    assert store.data.count() == 160 and not store.listing("time_series_data").deletes
+    store.delete_series([r.time_series_id for r in store.series_table.collect()])
+    store.compact()
+    assert store.data.count() == 0 and store.summaries().count() == 0 and not store.listing("time_series_data").parts
+
+
+def test_bounds_of_a_store_read_no_points(spark, tmp_path):
+    store = FlowStore(spark, f"file://{tmp_path}/s")
+    store.save_series(pts(spark, [(1, "a", t, t) for t in range(9)]))
+    store.save_series(pts(spark, [(1, "a", t, t) for t in range(5, 20)] + [(2, "b", 3, 2.5)]))
+    store.delete_series([store.series(2).first().time_series_id])
+    store.save_series(pts(spark, [(2, "b", 8, -1.5), (2, "b", 9, 7.0)]))
+    found = bounds.stored_series_bounds(store.summaries())
+    known = store.data.withColumnRenamed("time_series_id", "series_id").join(store.series_table.select("flow_id", "name", F.col("time_series_id").alias("series_id")), "series_id")
+    assert sorted(found.collect()) == sorted(bounds.series_bounds(known).collect()) and found.count() == 2
+    files = found.inputFiles()
+    assert any("/summaries/" in f for f in files) and not any("time_series_data/v0" in f for f in files)
+    assert sorted(bounds.stored_flow_bounds(store.summaries()).collect()) == sorted(bounds.flow_bounds(known).collect())
+
+
+def test_files_read_for_a_series_stay_few_as_parts_grow(spark, tmp_path):
+    store = FlowStore(spark, f"file://{tmp_path}/s", fold=100)
+    for n in range(6):
+        store.save_series(pts(spark, [(n, "a", t, t) for t in range(3)]))
+    one = store.points(store.series(5).first().time_series_id)
+    assert one.count() == 3 and len(one.inputFiles()) == 1 and len(store.data.inputFiles()) == 6
+
+
 def test_tables_of_sql_stores(spark):
     """One column for each type, with stand-ins in the others, or one column of text."""
     flat = "time_series_id long, timestamp double, value_boolean int, value_text string, value_integer long, value_float double, type int"
