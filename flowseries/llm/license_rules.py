@@ -229,7 +229,8 @@ def scan(docs: DataFrame, table: LicenceTable | None = None) -> DataFrame:
     rules, each once) and ``left_over`` (number of identifiers that no rule used), in place of columns so named."""
     docs = docs.drop("sentence_ids", "licences", "left_over")
     (own,) = fresh(docs, "result")
-    sent = docs.sparkSession.sparkContext.broadcast(table or licence_table())
+    # A plain tuple: a broadcast is pickled by reference, and executors needn't have this package.
+    sent = docs.sparkSession.sparkContext.broadcast(tuple(table or licence_table()))
 
     @F.arrow_udf(_RESULT)
     def scanned(texts: pa.Array) -> pa.Array:

@@ -14,9 +14,12 @@ empty table gives none. Other columns stay.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowseries.llm.batches import fresh
 from flowseries.llm.ranges import let
 
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
@@ -24,6 +27,23 @@ BASE = 4
 KEEP = 0.5
 CONTEXT = 40
 _MARK, _OTHER = "\u0001", "\u0002"
+#: Numbers of an array that are walked one by one, and code points of a text that are cut out together.
+_BLOCK, _CHUNK = 128, 1024
+
+# Length of a country's IBANs, by country code.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_pattern() -> str:
+    """A known country's IBAN has that country's length, so what follows it is no part of it; for others, any."""
+    known = [f"(?:{'|'.join(codes.split())})[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{n - 4}}}" for n, codes in IBAN_LENGTHS.items()]
+    every = "|".join(" ".join(IBAN_LENGTHS.values()).split())
+    return rf"(?<![A-Za-z0-9])(?:{'|'.join(known)}|(?!{every})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}+)(?![A-Za-z0-9])"
+
 
 # Patterns, their scores without context, and words near a span that speak for it.
 PATTERNS = {
@@ -31,7 +51,7 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
     "card": r"[0-9](?:[\x20-]?[0-9]){11,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    "iban": _iban_pattern(),
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.3}
@@ -79,21 +99,43 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def _running(values: Column, combine: Callable[[Column, Column], Column], levels: int = 2) -> Column:
+    """For an array of whole numbers what ``combine`` makes, from 0, of those before each of them, and of all at the end.
+    Blocks of ``_BLOCK`` are walked one by one from what the blocks before them come to, so no step copies more than a
+    block and the work is linear."""
+    zero = F.array(F.lit(0))
+
+    def walked(block: Column, start: Column) -> Column:
+        return F.aggregate(block, F.array(start), lambda acc, v: F.concat(acc, F.array(combine(F.element_at(acc, -1), v))))
+
+    if not levels:
+        return walked(values, F.lit(0))
+    count = F.floor((F.size(values) + _BLOCK - 1) / _BLOCK).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.slice(values, i * _BLOCK + 1, _BLOCK))
+
+    def joined(parts: Column) -> Column:
+        totals = F.transform(parts, lambda b: F.aggregate(b, F.lit(0), combine))
+        return let(_running(totals, combine, levels - 1), lambda starts: F.concat(F.flatten(F.transform(parts, lambda b, i: F.slice(walked(b, F.get(starts, i)), F.lit(1), F.size(b)))), F.array(F.element_at(starts, -1))))
+
+    return F.when(F.size(values) <= _BLOCK, walked(values, F.lit(0))).when(F.size(values) > 0, let(blocks, joined)).otherwise(zero)
+
+
 def _matches(text: Column, kind: str) -> Column:
     """Array of (start, end, match, before, after); code points, ``end`` exclusive."""
     nothing = F.array().cast("array<struct<start:int,end:int,match:string,before:string,after:string>>")
 
     def walk(parts: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), nothing.alias("found"))
+        ends = _running(F.transform(parts, lambda p: F.length(p)), lambda a, v: a + v)
+        pairs = F.sequence(F.lit(0), F.floor((F.size(parts) - 3) / 2).cast("int"))
 
-        def step(acc: Column, i: Column) -> Column:
-            begin = acc["at"] + F.length(F.get(parts, 2 * i))
-            end = begin + F.length(F.get(parts, 2 * i + 1))
-            row = F.struct(begin.alias("start"), end.alias("end"), F.get(parts, 2 * i + 1).alias("match"), F.right(F.get(parts, 2 * i), F.lit(CONTEXT)).alias("before"), F.left(F.get(parts, 2 * i + 2), F.lit(CONTEXT)).alias("after"))
-            return F.struct(end.alias("at"), F.concat(acc["found"], F.array(row)).alias("found"))
+        def rows(at: Column) -> Column:
+            def row(i: Column) -> Column:
+                match, before, after = F.get(parts, 2 * i + 1), F.get(parts, 2 * i), F.get(parts, 2 * i + 2)
+                return F.struct(F.get(at, 2 * i + 1).alias("start"), F.get(at, 2 * i + 2).alias("end"), match.alias("match"), F.right(before, F.lit(CONTEXT)).alias("before"), F.left(after, F.lit(CONTEXT)).alias("after"))
 
-        pairs = F.sequence(F.lit(0), F.floor((F.size(parts) - 3) / 2).cast("int"))
-        return F.when(F.size(parts) > 2, F.aggregate(pairs, start, step)["found"]).otherwise(nothing)
+            return F.transform(pairs, row)
+
+        return F.when(F.size(parts) > 2, let(ends, rows)).otherwise(nothing)
 
     marked = F.regexp_replace(text, F.lit(PATTERNS[kind]), F.lit(f"{_MARK}$0{_MARK}"))
     found = let(F.split(marked, _MARK), walk)
@@ -143,18 +185,24 @@ def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by its kind in angle brackets (overlapping spans by the first one's), and
     ``n_chars`` renewed where there is such a column."""
 
-    def blanked(text: Column, spans: Column) -> Column:
-        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+    spans, chunks, latest, found = fresh(docs, "spans", "chunks", "latest", "found")
+    named = docs.withColumn(spans, pii_spans(F.col("text"))).withColumn(found, F.size(spans) > 0)
+    # Chunks of equal length let a piece be cut out without a walk from the text's beginning. Each step is a column of
+    # its own: as one expression they are nested too deeply for Spark to resolve.
+    named = named.withColumn(chunks, F.when(F.col(found), F.regexp_extract_all("text", F.lit(f"(?s).{{1,{_CHUNK}}}"), F.lit(0))))
+    named = named.withColumn(latest, F.when(F.col(found), _running(F.transform(spans, lambda s: s["end"]), lambda a, v: F.greatest(a, v))))
 
-        def step(acc: Column, s: Column) -> Column:
-            piece = F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
-            parts = F.when(s["start"] >= acc["at"], F.concat(acc["parts"], F.array(piece))).otherwise(acc["parts"])
-            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), parts.alias("parts"))
+    def cut(begin: Column, end: Column) -> Column:
+        first = F.floor(begin / _CHUNK).cast("int")
+        around = F.array_join(F.slice(chunks, first + 1, F.floor(end / _CHUNK).cast("int") - first + 1), "")
+        return F.substring(around, begin - first * _CHUNK + 1, end - begin)
 
-        return let(F.aggregate(spans, begin, step), lambda a: F.concat(F.array_join(a["parts"], ""), F.substring(text, a["at"] + 1, F.length(text))))
+    def piece(s: Column, i: Column) -> Column:
+        at = F.get(latest, i)
+        return F.when(s["start"] >= at, F.concat(cut(at, s["start"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))).otherwise("")
 
-    text = let(pii_spans(F.col("text")), lambda s: F.when(F.size(s) > 0, blanked(F.col("text"), s)).otherwise(F.col("text")))
-    out = docs.withColumn("text", text)
+    text = F.concat(F.array_join(F.transform(spans, piece), ""), cut(F.element_at(latest, -1), F.length("text")))
+    out = named.withColumn("text", F.when(F.col(found), text).otherwise(F.col("text"))).drop(spans, chunks, latest, found)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out

@@ -81,16 +81,21 @@ def simhash(raw: bytes | None, shingle: int) -> int:
     return _signed(sum(1 << i for i in np.flatnonzero(2 * ones > len(starts)).tolist()))
 
 
+def text_hash() -> Column:
+    """With its id, what tells a row from others."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """``doc_id, fp`` (long) for every row of ``docs``."""
+    """``doc_id, text_hash, fp`` (longs) for every row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            fps = pa.array([simhash(raw, shingle) for raw in batch.column(1).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), fps], names=["doc_id", "fp"])
+            fps = pa.array([simhash(raw, shingle) for raw in batch.column(2).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fps], names=["doc_id", "text_hash", "fp"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("binary").alias("raw")).mapInArrow(run, f"doc_id {id_type}, fp long")
+    return docs.select("doc_id", text_hash().alias("text_hash"), F.col("text").cast("binary").alias("raw")).mapInArrow(run, f"doc_id {id_type}, text_hash long, fp long")
 
 
 def pivot_table(fps: DataFrame) -> DataFrame:
@@ -178,18 +183,27 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """``doc_id, fp, component_id`` for every row of ``docs``: the smallest ``doc_id`` reachable over links."""
+    return _placed(docs, shingle).select("doc_id", "fp", "component_id")
+
+
+def _placed(docs: DataFrame, shingle: int) -> DataFrame:
     marks = written(fingerprints(docs, shingle), "simhash")
     distinct = written(marks.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
     groups = components(links(written(pivot_table(distinct), "simhash-pivots")))
     rooted = distinct.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.join(lowest, "root").select("fp", "component_id")
-    return marks.join(named, "fp").select("doc_id", "fp", "component_id")
+    return marks.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id")
+
+
+def kept_rows(docs: DataFrame, placed: DataFrame) -> DataFrame:
+    """Rows of ``docs`` that ``placed`` (doc_id, text_hash, component_id) has as their component's smallest id."""
+    names = fresh(docs, "kept_id", "kept_text")
+    kept = placed.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(names[0]), F.col("text_hash").alias(names[1])).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(names[0])) & (text_hash() == F.col(names[1])), "left_semi")
 
 
 def one_of_each(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """The documents that are their component's smallest ``doc_id``, with all columns of ``docs``; of repeated rows
-    of that id all stay."""
-    kept = near_duplicates(docs, shingle).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    (own,) = fresh(docs, "kept_id")
-    return docs.join(kept.withColumnRenamed("doc_id", own), F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")
+    of that id in one component all stay. Rows are told apart by id and text."""
+    return kept_rows(docs, _placed(docs, shingle))

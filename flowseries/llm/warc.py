@@ -230,12 +230,15 @@ def read_record(warc: dict[str, str], block: bytes) -> dict[str, Any]:
         head, _, payload = block.partition(b"\r\n\r\n")
         http = _headers(head)[1]
         said = http.get("content-length", "")
-        length = int(said) if said.isascii() and said.isdigit() else len(payload)
+        number = said.lstrip("0") if said.isascii() and said.isdigit() else ""
+        length = int(number or "0") if said.isascii() and said.isdigit() and len(number) <= 18 else len(payload)
         options = [payload]
         if "chunked" in http.get("transfer-encoding", "").lower() and (whole := _unchunked(payload)) is not None:
             payload, length = whole, len(whole)
             options.append(whole)
-        if kind == "response" and length != len(payload):
+        if len(number) > 18:
+            error = "a payload length in its header that no payload has"
+        elif kind == "response" and length != len(payload):
             error = "another payload length than its header says"
     else:
         options = [payload]

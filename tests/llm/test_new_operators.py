@@ -1,10 +1,14 @@
-"""Hard negatives, byte-level BPE and the Merkle manifest against brute force."""
+"""Hard negatives, byte-level BPE and the Merkle manifest against brute force; cases that earlier operators failed."""
 
 import base64
 import hashlib
+import os
 import random
+import subprocess
+import sys
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -13,7 +17,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from test_operators import DOCS, fixture
 
-from flowseries.llm import byte_bpe, hard_negatives, merkle
+from flowseries.llm import byte_bpe, hard_negatives, merkle, near_copies, pii, queries, simhash, warc
 
 VECTORS = "vec_id long, label int, embedding array<float>"
 
@@ -182,3 +186,79 @@ def test_manifest_proofs_by_exchange(spark, n, block_levels):
 def test_small_manifests(spark, n):
     rows = [(i, "Some TEXT", "en", None, None) for i in range(n)]
     assert sorted(map(tuple, merkle.manifest_digest(spark.createDataFrame(rows, DOCS)).collect()), key=repr) == brute_manifest(rows)
+
+
+# What earlier operators had wrong
+
+
+def rows_of(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS)
+
+
+A, B = "one two three four five six seven eight nine ten", "other words of no text that anything else here is like at all"
+
+
+@pytest.mark.parametrize(("rows", "left"), [([(3, A), (None, A)], [(3, A)]), ([(3, A), (None, A), (None, B)], [(3, A), (None, B)]), ([(3, A), (5, A), (5, B)], [(3, A), (5, B)])])
+def test_one_of_each_goes_by_row(spark, rows, left):
+    for one_of_each in (near_copies.one_of_each, simhash.one_of_each):
+        assert sorted(((r.doc_id, r.text) for r in one_of_each(rows_of(spark, rows)).collect()), key=repr) == sorted(left, key=repr)
+
+
+def test_ibans_beside_other_words(spark):
+    cases = {
+        "Pay IBAN DE89370400440532013000 EUR 100 now": "iban:9:31", "GB82 WEST 1234 5698 7654 32 UK": "iban:0:27", "DE8937040044053201300 0 and DE8937040044053201": "iban:0:23",
+        "IBAN NO9386011117947 OK": "iban:5:20", "XDE89370400440532013000": "", "DE89370400440532013000X": "", "DE88370400440532013000": "",
+    }
+    found = {r.text: r.spans for r in rows_of(spark, enumerate(cases)).select("text").withColumn("spans", pii._listed(F.filter(pii.pii_spans(F.col("text")), lambda s: s["kind"] == "iban"))).collect()}
+    assert found == cases
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 127, 128, 129, 16_384, 16_385, 40_000])
+def test_running_totals_of_an_array(spark, n):
+    df = spark.range(1).withColumn("v", F.sequence(F.lit(1), F.lit(n)).cast("array<int>") if n else F.array().cast("array<int>"))
+    found = df.select(pii._running(F.col("v"), lambda a, v: a + v)).first()[0]
+    assert found == [k * (k + 1) // 2 for k in range(n + 1)]
+
+
+def test_spans_of_a_long_list(spark):
+    addresses = [f"ü{i}@mail{i % 7}.org" for i in range(9_000)]
+    text = "🙂 " + ", ".join(addresses) + " 10.0.0.1@x.yz +49 555 123 4567 end"
+    out = pii.redact(rows_of(spark, [(1, text)])).first()
+    assert out.text == "🙂 " + ", ".join(["ü<EMAIL>"] * 9_000) + " <EMAIL> <PHONE> end" and out.n_chars == len(out.text)
+
+
+def test_lengths_that_no_payload_has():
+    block = lambda n: b"HTTP/1.1 200 OK\r\nContent-Length: " + n + b"\r\n\r\nabc"
+    head = {"warc-type": "response", "content-type": "application/http"}
+    for n in (b"9" * 23, b"9" * 5000, b"1" + b"0" * 18):
+        found = warc.read_record(head, block(n))
+        assert found["error"] and found["payload_bytes"] == 3
+    assert warc.read_record(head, block(b"0" * 30 + b"3"))["error"] is None and warc.read_record(head, block(b"4"))["error"]
+
+
+FOREIGN = """
+import sys
+sys.path[:0] = [{root!r}]
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config(map={{"spark.sql.shuffle.partitions": "2", "spark.ui.enabled": "false"}}).getOrCreate()
+spark.sparkContext.setLogLevel("OFF")
+def importable(_):
+    import importlib.util
+    return [importlib.util.find_spec("flowseries") is not None]
+assert spark.sparkContext.parallelize([0], 1).mapPartitions(importable).collect() == [False]
+from flowseries.llm import queries
+for name in {names!r}:
+    assert queries.QUERIES[name](spark, {sf!r}).count() > 0, name
+print("all ran")
+"""
+
+
+def test_executors_need_no_copy_of_the_package(tmp_path):
+    root, sf = str(Path(__file__).resolve().parents[2]), os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    if not os.path.isdir(sf):
+        pytest.skip("no test data")
+    script = FOREIGN.format(root=root, sf=sf, names=sorted(n for n in queries.QUERIES if n != "op13_merkle"))
+    (tmp_path / "run.py").write_text(script)
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "run.py"], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=900, check=False)
+    assert "all ran" in done.stdout, done.stderr[-3000:]
