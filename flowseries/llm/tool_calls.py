@@ -3,9 +3,9 @@
 Calls and results are hash-joined by identifier, which counts within its conversation. A call may name parents, calls
 whose results it builds on; its level is its longest distance from a call without parents. Every call and result, and
 every other message, then gets a position in its conversation: in the order of time, but never before a call it
-builds on. Arguments are checked against the tool's JSON schema (type, enum, const, properties, required,
-additionalProperties, items and the usual bounds), and each row becomes one canonical JSON text: sorted keys, no
-spaces, UTF-8.
+builds on. Arguments are checked against the tool's JSON schema (the keywords for values, objects, lists, texts and
+numbers, combinations, conditions and references within the schema; any other fails before work begins), and each row
+becomes one canonical JSON text: sorted keys, no spaces, whole numbers as integers, UTF-8.
 
 Rows are numbered once and written; identifiers, levels and positions are worked out on numbers alone, and texts are
 joined back by number at the end. Levels: in each round a call whose parents all have levels gets its own, and one
@@ -29,6 +29,7 @@ import json
 import math
 import re
 from collections.abc import Iterator
+from fractions import Fraction
 from typing import Any
 
 import pyarrow as pa
@@ -48,34 +49,135 @@ def _is(value: Any, kind: str) -> bool:
     return isinstance(value, _TYPES[kind])
 
 
+#: What a schema may hold: rules that are applied, and words that only describe.
+_RULES = frozenset(
+    "$ref additionalProperties allOf anyOf const contains dependentRequired else enum exclusiveMaximum exclusiveMinimum if items maxItems maxLength maxProperties "
+    "maximum minItems minLength minProperties minimum multipleOf not oneOf pattern patternProperties prefixItems properties propertyNames required then type uniqueItems".split()
+)
+_WORDS = frozenset("$comment $defs $id $schema default definitions deprecated description examples format readOnly title writeOnly".split())
+_OF_SCHEMAS, _LISTS, _MAPS = ("additionalProperties", "contains", "else", "if", "items", "not", "propertyNames", "then"), ("allOf", "anyOf", "oneOf", "prefixItems"), ("$defs", "definitions", "patternProperties", "properties")
+
+
+def check_schema(schema: Any, root: Any = None, at: str = "#") -> None:
+    """ValueError for a schema with a keyword that isn't known, or a reference that leads nowhere: arguments must not
+    pass for valid because a rule isn't understood."""
+    root = schema if root is None else root
+    if isinstance(schema, bool):
+        return
+    if not isinstance(schema, dict):
+        raise ValueError(f"{at}: no schema")
+    if unknown := sorted(set(schema) - _RULES - _WORDS):
+        raise ValueError(f"{at}: unknown keywords {', '.join(unknown)}")
+    if "$ref" in schema:
+        _referred(schema["$ref"], root)
+    re.compile(schema.get("pattern", ""))
+    for k in _OF_SCHEMAS:
+        if k in schema:
+            check_schema(schema[k], root, f"{at}/{k}")
+    for k in _LISTS:
+        for i, x in enumerate(schema.get(k, [])):
+            check_schema(x, root, f"{at}/{k}/{i}")
+    for k in _MAPS:
+        for name, x in schema.get(k, {}).items():
+            if k == "patternProperties":
+                re.compile(name)
+            check_schema(x, root, f"{at}/{k}/{name}")
+
+
+def _referred(ref: str, root: Any) -> Any:
+    """The schema that a reference into the same document names."""
+    found = root
+    if not ref.startswith("#"):
+        raise ValueError(f"reference out of the schema: {ref}")
+    for step in ref[1:].split("/")[1:]:
+        step = step.replace("~1", "/").replace("~0", "~")
+        try:
+            found = found[int(step)] if isinstance(found, list) else found[step]
+        except (KeyError, IndexError, ValueError, TypeError):
+            raise ValueError(f"reference to nothing: {ref}") from None
+    return found
+
+
+def _key(value: Any) -> Any:
+    """Equal for equal JSON values and only for them."""
+    if isinstance(value, dict):
+        return ("object", frozenset((k, _key(v)) for k, v in value.items()))
+    if isinstance(value, list):
+        return ("array", tuple(map(_key, value)))
+    return (type(value).__name__ if isinstance(value, bool | str | type(None)) else "number", value)
+
+
 def _same(a: Any, b: Any) -> bool:
-    return a == b and isinstance(a, bool) == isinstance(b, bool)
+    return _key(a) == _key(b)
 
 
-def schema_errors(value: Any, schema: dict, at: str = "$") -> list[str]:
+def schema_errors(value: Any, schema: Any, at: str = "$", root: Any = None) -> list[str]:
     """What speaks against ``value``, as ``place: rule``; empty if nothing."""
+    root = schema if root is None else root
+    if isinstance(schema, bool):
+        return [] if schema else [f"{at}: false"]
     kinds = schema.get("type")
     if kinds and not any(_is(value, k) for k in ([kinds] if isinstance(kinds, str) else kinds)):
         return [f"{at}: type"]
-    found = [f"{at}: {rule}" for rule, ok in (("enum", any(_same(value, x) for x in schema.get("enum", [value]))), ("const", _same(value, schema.get("const", value)))) if not ok]
-    bounds: list[tuple[str, Any]] = []
+    found: list[str] = []
+    no = lambda rule, bad, where=at: found.append(f"{where}: {rule}") if bad else None
+    fits = lambda x, s: not schema_errors(x, s, at, root)
+    if "enum" in schema:
+        no("enum", not any(_same(value, x) for x in schema["enum"]))
+    if "const" in schema:
+        no("const", not _same(value, schema["const"]))
+    if "$ref" in schema:
+        found += schema_errors(value, _referred(schema["$ref"], root), at, root)
+    for part in schema.get("allOf", []):
+        found += schema_errors(value, part, at, root)
+    if "anyOf" in schema:
+        no("anyOf", not any(fits(value, x) for x in schema["anyOf"]))
+    if "oneOf" in schema:
+        no("oneOf", sum(fits(value, x) for x in schema["oneOf"]) != 1)
+    if "not" in schema:
+        no("not", fits(value, schema["not"]))
+    if "if" in schema:
+        found += schema_errors(value, schema.get("then" if fits(value, schema["if"]) else "else", True), at, root)
+    size: float | int = 0
     if isinstance(value, str):
-        bounds = [("minLength", len(value)), ("maxLength", len(value))]
+        size, ends = len(value), ("minLength", "maxLength")
+        if "pattern" in schema:
+            no("pattern", not re.search(schema["pattern"], value))
     elif isinstance(value, list):
-        bounds = [("minItems", len(value)), ("maxItems", len(value))]
+        size, ends = len(value), ("minItems", "maxItems")
+        own = schema.get("prefixItems", [])
         for i, x in enumerate(value):
-            found += schema_errors(x, schema.get("items", {}), f"{at}[{i}]")
+            found += schema_errors(x, own[i] if i < len(own) else schema.get("items", True), f"{at}[{i}]", root)
+        no("uniqueItems", schema.get("uniqueItems") is True and len({_key(x) for x in value}) < len(value))
+        if "contains" in schema:
+            no("contains", not any(fits(x, schema["contains"]) for x in value))
     elif isinstance(value, int | float) and not isinstance(value, bool):
-        bounds = [("minimum", value), ("maximum", value)]
+        size, ends = value, ("minimum", "maximum")
+        no("exclusiveMinimum", value <= schema.get("exclusiveMinimum", -math.inf))
+        no("exclusiveMaximum", value >= schema.get("exclusiveMaximum", math.inf))
+        if "multipleOf" in schema:
+            no("multipleOf", Fraction(str(value)) % Fraction(str(schema["multipleOf"])) != 0)
     elif isinstance(value, dict):
-        own = schema.get("properties", {})
-        found += [f"{at}.{k}: required" for k in schema.get("required", []) if k not in value]
+        size, ends = len(value), ("minProperties", "maxProperties")
+        own, others = schema.get("properties", {}), schema.get("patternProperties", {})
+        for k in schema.get("required", []):
+            no("required", k not in value, f"{at}.{k}")
+        for k, more in schema.get("dependentRequired", {}).items():
+            for m in more:
+                no("dependentRequired", k in value and m not in value, f"{at}.{m}")
         for k, x in value.items():
-            if k in own:
-                found += schema_errors(x, own[k], f"{at}.{k}")
-            elif schema.get("additionalProperties", True) is False:
-                found.append(f"{at}.{k}: additionalProperties")
-    found += [f"{at}: {rule}" for rule, size in bounds if rule in schema and (size < schema[rule] if rule.startswith("min") else size > schema[rule])]
+            named = [own[k]] if k in own else []
+            named += [s for pattern, s in others.items() if re.search(pattern, k)]
+            rest = schema.get("additionalProperties", True)
+            if not named and rest is False:
+                no("additionalProperties", True, f"{at}.{k}")
+            for s in named or [rest]:
+                found += schema_errors(x, s, f"{at}.{k}", root) if s is not False or named else []
+            no("propertyNames", not fits(k, schema.get("propertyNames", True)), f"{at}.{k}")
+    else:
+        return found
+    no(ends[0], size < schema.get(ends[0], -math.inf))
+    no(ends[1], size > schema.get(ends[1], math.inf))
     return found
 
 
@@ -100,8 +202,18 @@ def _whole_characters(text: str) -> str:
     return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", text)
 
 
+def _one_form(value: Any) -> Any:
+    """Whole numbers as integers however they were written; from 1e21 on only what was written as an integer."""
+    if isinstance(value, float):
+        return int(value) if value.is_integer() and abs(value) < 1e21 else value
+    if isinstance(value, list):
+        return [_one_form(x) for x in value]
+    return {k: _one_form(x) for k, x in value.items()} if isinstance(value, dict) else value
+
+
 def canonical(value: Any) -> str:
-    return _whole_characters(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False))
+    """Sorted keys, no spaces, one form for each number."""
+    return _whole_characters(json.dumps(_one_form(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False))
 
 
 def checked(arguments: str | None, schema: dict | None) -> tuple[Any, str, list[str]]:
@@ -224,7 +336,10 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], message
     """``calls`` (conv_id, call_id, parent_id or parent_ids, name, arguments), ``results`` (conv_id, call_id, content)
     and other ``messages`` (conv_id, role, content), each with an optional time ``at`` (long), as ``conv_id, position,
     call_id, level, name, status, valid, errors, message``; status: linked, no_result, orphan_result, repeated_result
-    or message. Every row is there: a linked result within its calls' rows, all others as rows of their own."""
+    or message. Every row is there: a linked result within its calls' rows, all others as rows of their own. Fails for
+    schemas with keywords that aren't known."""
+    for name, schema in schemas.items():
+        check_schema(schema, at=f"{name}#")
     rows = _numbered(calls, results, messages)
     ids, keyed = _identified(rows)
     keyed = written(keyed.select("kind", "row", "conv_id", "node", "answer", "parents"), "identified")

@@ -17,7 +17,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from test_operators import DOCS, fixture
 
-from flowseries.llm import byte_bpe, hard_negatives, merkle, near_copies, pii, queries, simhash, warc
+from flowseries.llm import byte_bpe, hard_negatives, merkle, near_copies, pii, queries, sentencepiece_codec, simhash, tool_calls, warc
 
 VECTORS = "vec_id long, label int, embedding array<float>"
 
@@ -262,3 +262,48 @@ def test_executors_need_no_copy_of_the_package(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "run.py"], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=900, check=False)
     assert "all ran" in done.stdout, done.stderr[-3000:]
+
+
+TREE = {"$ref": "#/$defs/node", "$defs": {"node": {"type": "object", "properties": {"next": {"$ref": "#/$defs/node"}, "n": {"exclusiveMinimum": 0}}, "additionalProperties": {"type": "string"}}}}
+
+
+@pytest.mark.parametrize(
+    ("value", "schema", "errors"),
+    [
+        ("abc", {"pattern": "^b"}, ["$: pattern"]), ("abc", {"pattern": "b"}, []), (3, {"anyOf": [{"type": "string"}, {"minimum": 4}]}, ["$: anyOf"]), (5, {"anyOf": [{"type": "string"}, {"minimum": 4}]}, []),
+        (5, {"allOf": [{"minimum": 6}, {"maximum": 4}]}, ["$: minimum", "$: maximum"]), (5, {"oneOf": [{"minimum": 1}, {"maximum": 9}]}, ["$: oneOf"]), (5, {"not": {"const": 5.0}}, ["$: not"]),
+        ([1, True, 1.0], {"uniqueItems": True}, ["$: uniqueItems"]), ([1, True, "1"], {"uniqueItems": True}, []), (5, {"exclusiveMaximum": 5}, ["$: exclusiveMaximum"]), (0.3, {"multipleOf": 0.1}, []), (7, {"multipleOf": 2}, ["$: multipleOf"]),
+        ({"n": 1, "next": {"n": 0, "x": 1}}, TREE, ["$.next.n: exclusiveMinimum", "$.next.x: type"]), ({"a1": 1, "b": 2}, {"patternProperties": {"^a": {"type": "string"}}, "additionalProperties": False}, ["$.a1: type", "$.b: additionalProperties"]),
+        ({"a": 1}, {"minProperties": 2, "dependentRequired": {"a": ["b"]}, "propertyNames": {"maxLength": 0}}, ["$.b: dependentRequired", "$.a: propertyNames", "$: minProperties"]), ([1, "x", 2], {"prefixItems": [{"type": "integer"}], "items": {"type": "string"}}, ["$[2]: type"]),
+        ([1], {"contains": {"type": "string"}}, ["$: contains"]), (1, {"if": {"type": "integer"}, "then": {"minimum": 2}, "else": False}, ["$: minimum"]), (1, False, ["$: false"]), (1, {"enum": [True, "1"]}, ["$: enum"]),
+    ],
+)
+def test_schema_rules(value, schema, errors):
+    tool_calls.check_schema(schema)
+    assert tool_calls.schema_errors(value, schema) == errors
+
+
+@pytest.mark.parametrize("schema", [{"minimun": 1}, {"properties": {"a": {"unevaluatedItems": False}}}, {"$ref": "#/$defs/none"}, {"$ref": "other.json"}, {"anyOf": [3]}])
+def test_schemas_that_are_not_understood_fail(spark, schema):
+    calls = spark.createDataFrame([], "conv_id long, call_id string, name string, arguments string")
+    with pytest.raises(ValueError):
+        tool_calls.link(calls, spark.createDataFrame([], "conv_id long, call_id string, content string"), {"f": schema})
+
+
+def test_one_form_for_each_number():
+    forms = [("1", "1.0", "1e0", "10E-1"), ("100", "1e2", "100.00"), ("0", "-0.0"), ("0.5", "5e-1"), ("[100000000000000000000,{}]", "[1e20, {}]")]
+    for same in forms:
+        assert {tool_calls.canonical(tool_calls.parsed(x)) for x in same} == {same[0]}
+
+
+def test_words_are_encoded_many_a_call(monkeypatch):
+    if not os.path.isfile(sentencepiece_codec.MODEL):
+        pytest.skip("no model file")
+    with open(sentencepiece_codec.MODEL, "rb") as f:
+        codec = sentencepiece_codec.Codec(f.read())
+    calls = []
+    encoded = sentencepiece_codec.Codec._encoded
+    monkeypatch.setattr(sentencepiece_codec.Codec, "_encoded", staticmethod(lambda tokenizer, texts: calls.append(len(texts)) or encoded(tokenizer, texts)))
+    texts = [f"word{i} and  w{i * 7}  é{i} " for i in range(900)]
+    assert [x.tolist() for x in codec._by_words(texts)] == codec.library_ids(texts)
+    assert max(calls) > 2_000 and sum(n > 1 for n in calls) <= 3
