@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from flowseries.functions.addresses import series_id
 from flowseries.operators.points import POINT_COLUMNS
-from flowseries.operators.windows import behind, pair_series, with_previous
+from flowseries.operators.windows import TimeBucket, behind, bucket_points, even, pair_series, with_previous
 from flowseries.schema import FLOAT, INT
 
 
@@ -83,7 +83,7 @@ class UpperWindow(Metric):
     name, description = "UPPER_WND", "SND_UNA + SND_WND"
     looks_up_flows = False
 
-    def __init__(self, una: str = "SND_UNA", wnd: str = "SND_WND", align: str = "timestamp", strict: bool = False, time_bucket: float | None = None):
+    def __init__(self, una: str = "SND_UNA", wnd: str = "SND_WND", align: str = "timestamp", strict: bool = False, time_bucket: TimeBucket = None):
         self.required, self.align, self.strict, self.time_bucket = (una, wnd), align, strict, time_bucket
 
     def compute(self, points: DataFrame) -> DataFrame:
@@ -119,7 +119,7 @@ class DuplicateAcks(Metric):
     name, description = "DUP_ACK", "ACK_NUM as in the packet before, without payload progress"
     looks_up_flows = False
 
-    def __init__(self, ack: str = "ACK_NUM", seq: str = "SEQ_NUM", window: str = "WINDOW", flags: tuple[str, ...] = ("FLAG_SYN", "FLAG_FIN"), time_bucket: float | None = None):
+    def __init__(self, ack: str = "ACK_NUM", seq: str = "SEQ_NUM", window: str = "WINDOW", flags: tuple[str, ...] = ("FLAG_SYN", "FLAG_FIN"), time_bucket: TimeBucket = None):
         self.required, self.optional, self.time_bucket = (ack,), (seq, window, *flags), time_bucket
 
     def compute(self, points: DataFrame) -> DataFrame:
@@ -142,7 +142,7 @@ class Retransmissions(Metric):
     name, description = "RETRANS", "SEQ_NUM behind the highest before"
     looks_up_flows = False
 
-    def __init__(self, seq: str = "SEQ_NUM", time_bucket: float | None = None):
+    def __init__(self, seq: str = "SEQ_NUM", time_bucket: TimeBucket = None):
         self.required, self.time_bucket = (seq,), time_bucket
 
     def compute(self, points: DataFrame) -> DataFrame:
@@ -156,7 +156,7 @@ class PandasMetric(Metric):
     Spark works out first and that stand beside each point; so a long flow needn't fit a task. Without ``time_bucket``
     a flow comes whole, for mathematics that can't be cut."""
 
-    time_bucket: float | None = None
+    time_bucket: TimeBucket = None
 
     def totals(self) -> dict[str, Column]:
         return {}
@@ -178,5 +178,87 @@ class PandasMetric(Metric):
         return as_series(rows.withColumn("ts_ns", F.lit(None).cast("long")), self.name, FLOAT, F.col("value"))
 
 
+class CarriedMetric(Metric):
+    """For mathematics that runs on through a flow: buckets of its points (``time_bucket``) are worked on in parallel,
+    each knowing what all before it come to. ``summarise`` makes a state of one bucket's points, ``combine`` joins two
+    neighbours' states, and ``apply`` gets a bucket's points with the state of all before it (None at the first) and
+    returns ``ts`` and ``value`` rows. States are rows of ``state``, a DDL; a flow has one for each bucket, which are
+    handed on by one task a flow. The same result comes out however points are cut, if ``combine`` is associative."""
+
+    state: str = ""
+    time_bucket: TimeBucket = even()
+
+    def summarise(self, frame: pd.DataFrame) -> tuple:
+        raise NotImplementedError
+
+    def combine(self, before: tuple, after: tuple) -> tuple:
+        raise NotImplementedError
+
+    def apply(self, frame: pd.DataFrame, before: tuple | None) -> pd.DataFrame:
+        raise NotImplementedError
+
+    def compute(self, points: DataFrame) -> DataFrame:
+        own, names = self, [c.split()[0] for c in self.state.split(", ")]
+        keyed = bucket_points(points, self.time_bucket, "flow_id")
+
+        def summed(frame: pd.DataFrame) -> pd.DataFrame:
+            state = own.summarise(frame.sort_values(["ts", "name"]))
+            return pd.DataFrame([(frame["flow_id"].iloc[0], frame["_b"].iloc[0], *state)], columns=["flow_id", "_b", *names])
+
+        def handed(frame: pd.DataFrame) -> pd.DataFrame:
+            rows, before = [], None
+            for r in frame.sort_values("_b").itertuples(index=False):
+                rows.append((r[0], r[1], before is not None, *(before or r[2:])))
+                before = r[2:] if before is None else own.combine(before, tuple(r[2:]))
+            return pd.DataFrame(rows, columns=["flow_id", "_b", "_there", *names])
+
+        def applied(key: tuple, frame: pd.DataFrame, carried: pd.DataFrame) -> pd.DataFrame:
+            if frame.empty:
+                return pd.DataFrame({"flow_id": [], "ts": [], "value": []})
+            row = next(carried.itertuples(index=False))
+            out = own.apply(frame.sort_values(["ts", "name"]), tuple(row[3:]) if row[2] else None)
+            return pd.DataFrame({"flow_id": key[0], "ts": out["ts"].astype(float), "value": out["value"].astype(float)})
+
+        states = keyed.groupBy("flow_id", "_b").applyInPandas(summed, f"flow_id long, _b long, {self.state}")
+        carried = states.groupBy("flow_id").applyInPandas(handed, f"flow_id long, _b long, _there boolean, {self.state}")
+        rows = keyed.groupBy("flow_id", "_b").cogroup(carried.groupBy("flow_id", "_b")).applyInPandas(applied, "flow_id long, ts double, value double")
+        return as_series(rows.withColumn("ts_ns", F.lit(None).cast("long")), self.name, FLOAT, F.col("value"))
+
+
+@register
+class Smoothed(CarriedMetric):
+    """Exponentially smoothed values, as round-trip times are: the first value, then seven eighths of what was and an
+    eighth of what is. A bucket of n values takes what was by the factor (7/8)^n and adds a number of its own."""
+
+    name, description = "SMOOTHED", "values smoothed by an eighth"
+    state = "first double, factor double, own double"
+    looks_up_flows = False
+
+    def __init__(self, source: str = "SRTT", weight: float = 0.125, time_bucket: TimeBucket = even()):
+        self.required, self.weight, self.time_bucket = (source,), weight, time_bucket
+
+    @staticmethod
+    def _values(frame: pd.DataFrame) -> list[float]:
+        return frame["value_float"].fillna(frame["value_int"].astype(float)).tolist()
+
+    def summarise(self, frame: pd.DataFrame) -> tuple:
+        """What the bucket makes of nothing before it, and what it does to what was before."""
+        values, own, alone = self._values(frame), 0.0, None
+        for v in values:
+            own += self.weight * (v - own)
+            alone = v if alone is None else alone + self.weight * (v - alone)
+        return alone, (1 - self.weight) ** len(values), own
+
+    def combine(self, before: tuple, after: tuple) -> tuple:
+        return before[0] * after[1] + after[2], before[1] * after[1], before[2] * after[1] + after[2]
+
+    def apply(self, frame: pd.DataFrame, before: tuple | None) -> pd.DataFrame:
+        at, out = None if before is None else before[0], []
+        for v in self._values(frame):
+            at = v if at is None else at + self.weight * (v - at)
+            out.append(at)
+        return pd.DataFrame({"ts": frame["ts"], "value": out})
+
+
 def preview_all(points: DataFrame, metrics: list[Metric]) -> DataFrame:
     return reduce(DataFrame.unionByName, [m.run(points) for m in metrics], points.select(*POINT_COLUMNS))

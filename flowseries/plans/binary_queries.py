@@ -255,3 +255,27 @@ def stream_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     query = live.live_flows(rows, "365 days").writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema("event_time timestamp, src string, dst string, sport int, dport int, l4proto int").parquet(f"{out}/rows").drop("event_time")
+
+
+_IDLE_US, _DELAY_MS = 14_400_000_000, 3_600_000
+
+
+@key("flow_table", f"""WITH {K_SQL}, g AS (SELECT *, time // 1000 AS t, CASE WHEN time // 1000 - lag(time // 1000) OVER f <= {_IDLE_US} THEN 0 ELSE 1 END AS fresh FROM k WINDOW f AS (PARTITION BY flow_id ORDER BY time)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY flow_id ORDER BY time ROWS UNBOUNDED PRECEDING) AS span FROM g),
+a AS (SELECT src, dst, sport, dport, l4proto, span, max(span) OVER (PARTITION BY flow_id) AS spans, min(t) AS first_us, max(t) AS last_us, count(*) AS n FROM s GROUP BY flow_id, src, dst, sport, dport, l4proto, span),
+wm AS (SELECT max(time // 1000) // 1000 - {_DELAY_MS} AS mark FROM k)
+SELECT src, dst, sport, dport, l4proto, 'open' AS event, first_us, first_us AS last_us, 0 AS n FROM a
+UNION ALL SELECT src, dst, sport, dport, l4proto, 'idle', first_us, last_us, n FROM a, wm WHERE span < spans OR (last_us + {_IDLE_US} + 999) // 1000 <= mark""")
+def flow_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows of a packet stream as they come and, after four hours of silence, go."""
+    path, out = _path(spark, "trace-table"), _path(spark, "table")
+    trace.write_trace(records_of(spark, sf_dir, "packet"), path, "packet")
+    rows = live.event_time(addresses.with_flow(trace.stream_trace(spark, path, "packet"), "packet"))
+    with live.state_store(spark):
+        found = live.flow_table(rows, _IDLE_US / 1e6, "1 hour")
+        query = found.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").start()
+        # Unlike one that drains and ends, a running stream goes on to what the last records' time lets expire.
+        query.processAllAvailable()
+        query.stop()
+    rows = spark.read.schema(found.schema).parquet(f"{out}/rows")
+    return rows.select("src", "dst", "sport", "dport", "l4proto", "event", F.unix_micros("first_seen").alias("first_us"), F.unix_micros("last_seen").alias("last_us"), "n")

@@ -179,6 +179,14 @@ class DetrendedViews(metrics.PandasMetric):
 
 on_points("metric_pandas", f"WITH {P_SQL} SELECT flow_id, ts, round(v - avg(v) OVER (PARTITION BY flow_id), 6) AS value FROM p WHERE name = 'view'", lambda p: DetrendedViews().run(p).select("flow_id", "ts", _r("value_float").alias("value")))
 
+# Series cut into ranges of measured sizes, and state handed from range to range
+_EVEN = windows.even(5)
+on_points("rate_even_splits", f"WITH {P_SQL} SELECT series_id, ts, round(1e6 * (v - lag(v) OVER o) / (ts - lag(ts) OVER o), 6) AS rate FROM p WINDOW o AS (PARTITION BY series_id ORDER BY ts)", lambda p: windows.rate(p, _EVEN).select("series_id", "ts", F.round(F.col("rate") * 1e6, 6).alias("rate")))
+on_points("running_max_even_splits", f"WITH {P_SQL} SELECT series_id, ts, max(v) OVER (PARTITION BY series_id ORDER BY ts) AS running_max FROM p", lambda p: windows.running_max(p, _EVEN).select("series_id", "ts", "running_max"))
+on_points("decimate_even_splits", f"WITH {P_SQL}, i AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS i FROM p) SELECT series_id, ts, v FROM i WHERE i % 3 = 0", lambda p: windows.every_nth(p, 3, _EVEN).select("series_id", "ts", F.col("value_float").alias("v")))
+_SMOOTH = "list_reduce(list(v) OVER (PARTITION BY flow_id ORDER BY ts ROWS UNBOUNDED PRECEDING), lambda s, x: s * 0.875::DOUBLE + x * 0.125::DOUBLE)"
+on_points("metric_smoothed", f"WITH {P_SQL} SELECT flow_id, ts, round({_SMOOTH}, 6) AS value FROM p WHERE name = 'view'", lambda p: metrics.get("SMOOTHED", source="view", time_bucket=_EVEN).run(p).select("flow_id", "ts", _r("value_float").alias("value")))
+
 # Batch twins of live views
 _timed = lambda e: e.withColumn("event_time", F.timestamp_micros("us")).withColumn("kind", F.col("event_type"))
 on_events("tumbling_rates", f"WITH {E_SQL} SELECT us // 3600000000 * 3600000000 AS start_us, event_type AS kind, count(*) AS n FROM e GROUP BY ALL", lambda e: live.live_rates(_timed(e), "1 hour").select(F.unix_micros("start").alias("start_us"), "kind", "n"))

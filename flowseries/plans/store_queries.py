@@ -14,7 +14,7 @@ from flowseries.plans.binary_queries import records_of
 from flowseries.plans.testmaps import A_SQL, E_SQL, K_SQL, L_SQL, P_SQL, attributes, event_flows, event_points, probe_points, user_flow, user_series
 from flowseries.sources import trace
 from flowseries.sources.shared import shared_path
-from flowseries.sources.store import FlowStore, scratch_store
+from flowseries.sources.store import FlowStore, ForeignStore, scratch_store
 from flowseries.streaming import live
 
 REGISTERED: dict[str, tuple[Callable, str | None]] = {}
@@ -264,3 +264,22 @@ def store_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.delete_series([user_series(7, "click")])
     store.compact()
     return store.data.groupBy("time_series_id").agg(F.count(F.lit(1)).alias("n"), F.sum("value_float").alias("total"))
+
+
+_OWN = ("value_integer", "value_float", "value_boolean", "value_text")
+
+
+@key("sql_store_points", f"WITH {P_SQL} SELECT name, src, count(*) AS n, min(ts) AS first, max(ts) AS last, sum(round(v * 100)::BIGINT)::BIGINT AS cents FROM p WHERE sport < 40100 GROUP BY ALL")
+def sql_store_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables of a SQL store read back through JDBC, points in ranges of their times. The store is the database that
+    comes with Spark, in this process' memory, so it stands in for a server's in local mode only."""
+    url, p = f"jdbc:derby:memory:s{uuid.uuid4().hex};create=true", event_points(spark, sf_dir)
+    types = F.col("value_int"), F.col("value_float"), F.col("value_bool").cast("int"), F.col("value_text")
+    data = p.select(F.col("series_id").alias("time_series_id"), F.col("ts").alias("timestamp"), "type", *[c.alias(n) for n, c in zip(_OWN, types, strict=True)])
+    series = points.catalog(p).withColumnRenamed("series_id", "time_series_id")
+    flows = event_flows(spark, sf_dir).select(F.col("flow_id").alias("id"), "src", "dst", "sport", "dport", "l4proto").distinct()
+    for name, df in (("time_series_data", data), ("time_series", series), ("flows", flows)):
+        df.write.jdbc(url, name)
+    rows = ForeignStore(spark, url, rows_per_split=max(1, p.count() // 7)).joined().filter("sport < 40100")
+    cents = F.round(F.col("value_float") * 100).cast("long")
+    return rows.groupBy("name", "src").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"), F.sum(cents).alias("cents"))

@@ -583,15 +583,39 @@ def held(df: DataFrame) -> Iterator[None]:
 
 
 class ForeignStore(FlowTables):
-    """The four tables of a SQL store, read through JDBC and given the columns of a ``FlowStore``."""
+    """The four tables of a SQL store, read through JDBC and given the columns of a ``FlowStore``. A table is read in
+    ranges of its key, points in ranges of their times, of about ``rows_per_split`` rows each if keys are evenly spread;
+    Spark adds a look-up's own conditions to each range's."""
 
-    def __init__(self, spark: SparkSession, url: str, **options):
-        self.spark, self.options = spark, options
+    def __init__(self, spark: SparkSession, url: str, rows_per_split: int = 1_000_000, max_splits: int = 10_000, **options):
+        self.spark, self.options, self.rows_per_split, self.max_splits = spark, options, rows_per_split, max_splits
         suffix = url.rsplit(".", 1)[-1]
         self.url = url if url.startswith("jdbc:") else f"jdbc:{'sqlite' if suffix == 'sqlite' else 'duckdb'}:{url}"
 
     def raw_table(self, name: str) -> DataFrame:
-        return self.spark.read.format("jdbc").options(url=self.url, dbtable=name, **self.options).load()
+        reader = self.spark.read.format("jdbc").options(url=self.url, **self.options)
+        whole = reader.option("dbtable", name).load()
+        predicates = self._ranges(name, whole)
+        return self.spark.read.jdbc(self.url, name, predicates=predicates, properties={k: str(v) for k, v in self.options.items()}) if predicates else whole
+
+    def _ranges(self, name: str, whole: DataFrame) -> list[str]:
+        """Conditions that part a table's rows, from the ends of a column that it has its rows by; none for a small one."""
+        wanted = {"time_series_data": ("timestamp", "ts"), "time_series": ("time_series_id", "id")}.get(name, ("id",))
+        column = next((c for c in wanted if c in whole.columns), None)
+        if column is None:
+            return []
+        # Numbers that the store works out; no row is read.
+        low, high, n = whole.agg(F.min(column), F.max(column), F.count(F.lit(1))).first()
+        splits = min(self.max_splits, -(-n // self.rows_per_split))
+        if splits < 2 or low is None or low == high:
+            return []
+        c = self.spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(self.url).quoteIdentifier(column)
+        whole_numbers = isinstance(low, int)
+        at = lambda i: low + ((high - low) * i // splits if whole_numbers else (high - low) * i / splits)
+        bounds = sorted({at(i) for i in range(1, splits)} - {low})
+        literal = str if whole_numbers else lambda x: f"{x:.17E}"
+        inner = [f"{c} >= {literal(a)} AND {c} < {literal(b)}" for a, b in zip(bounds, bounds[1:])]
+        return [f"{c} < {literal(bounds[0])} OR {c} IS NULL", *inner, f"{c} >= {literal(bounds[-1])}"]
 
     def table(self, name: str) -> DataFrame:
         """A table by its name in ``STORE``. Values may lie in a column for each type, of which the one that ``type``

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from flowseries.functions.addresses import TUPLE, with_flow
 from flowseries.operators.points import to_points
@@ -16,7 +18,7 @@ from flowseries.sources.store import FlowStore, held
 
 def event_time(records: DataFrame, boot_epoch_ns: int = 0) -> DataFrame:
     """Adds ``event_time`` from ``time``, nanoseconds since boot, and the caller's time of boot."""
-    return records.withColumn("event_time", F.timestamp_micros(((F.col("time") + F.lit(boot_epoch_ns)) / 1000).cast("long")))
+    return records.withColumn("event_time", F.timestamp_micros(F.call_function("div", F.col("time") + F.lit(boot_epoch_ns), F.lit(1000))))
 
 
 def _watermarked(df: DataFrame, delay: str) -> DataFrame:
@@ -35,6 +37,98 @@ def live_flows(records: DataFrame, delay: str = "10 seconds") -> DataFrame:
     return _watermarked(rows, delay).dropDuplicatesWithinWatermark(list(TUPLE)) if rows.isStreaming else rows.groupBy(*TUPLE).agg(F.min("event_time").alias("event_time"))
 
 
+_FLOW_EVENT = "src string, dst string, sport int, dport int, l4proto int, event string, first_us long, last_us long, n long"
+
+
+def _spans(frame: pd.DataFrame, idle_us: int) -> pd.DataFrame:
+    """Spans (first_us, last_us, n) joined wherever no more than ``idle_us`` lies between them; by flow, in order."""
+    keys = [c for c in TUPLE if c in frame.columns]
+    frame = frame.sort_values([*keys, "first_us", "last_us"], ignore_index=True)
+    reach = frame.groupby(keys, dropna=False)["last_us"].cummax() if keys else frame["last_us"].cummax()
+    before = reach.shift(1)
+    new = frame["first_us"] - before > idle_us
+    for k in keys:
+        new |= (frame[k] != frame[k].shift(1)) & ~(frame[k].isna() & frame[k].shift(1).isna())
+    span = new.cumsum().rename("span")
+    firsts = {k: (k, "first") for k in keys}
+    return frame.groupby(span).agg(**firsts, first_us=("first_us", "min"), last_us=("last_us", "max"), n=("n", "sum")).reset_index(drop=True)
+
+
+class FlowState(StatefulProcessor):
+    """For each flow its present span without a pause of ``idle_us``. A new span gives an ``open`` row; when a later
+    record or the watermark shows that it is over, an ``idle`` row with its ends and its number of records."""
+
+    def __init__(self, idle_us: int):
+        self.idle_us = idle_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.span = handle.getValueState("span", "first_us long, last_us long, n long")
+
+    def _timer(self, last_us: int) -> int:
+        # Whole milliseconds, rounded up, so that a span isn't over before its time.
+        return -(-(last_us + self.idle_us) // 1000)
+
+    def _rows(self, key: tuple, rows: list[tuple]) -> Iterator[pd.DataFrame]:
+        if rows:
+            yield pd.DataFrame([(*key, *r) for r in rows], columns=[*TUPLE, "event", "first_us", "last_us", "n"])
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        frames = [f[["first_us", "last_us", "n"]] for f in rows]
+        had = tuple(self.span.get()) if self.span.exists() else None
+        if had:
+            frames.append(pd.DataFrame([had], columns=["first_us", "last_us", "n"]))
+            self.handle.deleteTimer(self._timer(had[1]))
+        spans = [tuple(int(x) for x in r) for r in _spans(pd.concat(frames), self.idle_us)[["first_us", "last_us", "n"]].itertuples(index=False)]
+        # The span that was known already, perhaps longer now, was opened before.
+        opened = [("open", s[0], s[0], 0) for s in spans if not (had and s[0] <= had[0] <= s[1])]
+        closed = [("idle", *s) for s in spans[:-1]]
+        self.span.update(spans[-1])
+        self.handle.registerTimer(self._timer(spans[-1][1]))
+        yield from self._rows(key, sorted(opened + closed, key=lambda r: (r[1], r[0] == "idle")))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+        if self.span.exists():
+            span = tuple(int(x) for x in self.span.get())
+            self.span.clear()
+            yield from self._rows(key, [("idle", *span)])
+
+    def close(self) -> None:
+        pass
+
+
+def flow_table(records: DataFrame, idle_seconds: float = 60.0, delay: str = "10 seconds") -> DataFrame:
+    """A stream of flows as they come and go: ``open`` rows, and ``idle`` rows with first and last time and the number of
+    records once a flow was silent for longer than ``idle_seconds``. State goes with the flow, so it is bounded by the
+    flows that aren't idle. Records later than ``delay`` are dropped once their flow's time is past. Tasks first join a
+    flow's records into spans, so a hot flow reaches its state in few rows. The session needs the state store that keeps
+    timers (``state_store``)."""
+    idle_us = int(idle_seconds * 1_000_000)
+
+    def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            if len(frame):
+                yield _spans(frame.assign(last_us=frame["first_us"], n=1), idle_us)
+
+    times = records.select(*TUPLE, F.unix_micros("event_time").alias("first_us")).filter("first_us IS NOT NULL")
+    spans = times.mapInPandas(joined, "src string, dst string, sport int, dport int, l4proto int, first_us long, last_us long, n long")
+    spans = spans.withColumn("event_time", F.timestamp_micros("last_us")).withWatermark("event_time", delay)
+    found = spans.groupBy(*TUPLE).transformWithStateInPandas(FlowState(idle_us), _FLOW_EVENT, "Append", "EventTime")
+    return found.select(*TUPLE, "event", F.timestamp_micros("first_us").alias("first_seen"), F.timestamp_micros("last_us").alias("last_seen"), "n")
+
+
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """The state store that ``flow_table`` needs, for streams started inside."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def sessions(records: DataFrame, gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
     """Spans of each flow without a pause of ``gap``."""
     found = _watermarked(records, delay).groupBy(F.session_window("event_time", gap).alias("s"), "flow_id").agg(F.count(F.lit(1)).alias("n"))

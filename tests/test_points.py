@@ -243,3 +243,43 @@ def test_random_series(spark):
 def test_wide_rows(spark):
     p = pts(spark, [(1, "a", 0, 5), (1, "b", 0, True), (1, "a", 1, 6)])
     assert points.to_wide(p, ["a", "b"]).orderBy("ts").collect() == [(1, 0.0, 5.0, 1.0), (1, 1.0, 6.0, None)]
+
+
+def bursts(spark):
+    """A third of all points in one series, most of them in one burst; ties of time between series."""
+    rows = [(1, "hot", 10_000 + t, (t * 7919) % 1000) for t in range(900)] + [(1, "hot", t * 1_000_000, t % 7) for t in range(1, 30)]
+    rows += [(f, "a", t * 50 + f, (t * f) % 11) for f in range(2, 40) for t in range(50)]
+    return pts(spark, [(f, n, float(t), v) for f, n, t, v in rows]).repartition(8)
+
+
+def test_even_buckets_hold_about_as_many_rows(spark):
+    df = windows.bucket_points(bursts(spark), windows.even(100))
+    sizes = {(r.name, r["_b"]): r["count"] for r in df.groupBy("name", "_b").count().collect() if r.name == "hot"}
+    assert len(sizes) >= 5 and max(sizes.values()) <= 250 and sum(sizes.values()) == 929
+    assert df.filter("name <> 'hot' AND _b > 0").isEmpty()
+    order = df.filter("name = 'hot'").groupBy("_b").agg(F.min("ts").alias("low"), F.max("ts").alias("high")).orderBy("_b").collect()
+    assert all(a.high < b.low for a, b in zip(order, order[1:]))
+
+
+@pytest.mark.parametrize("rows", [40, 1 << 20])
+def test_even_buckets_change_no_result(spark, rows):
+    df, cut = bursts(spark).cache(), windows.even(rows)
+    same = lambda f: sorted(map(tuple, f(cut).collect()), key=repr) == sorted(map(tuple, f(None).collect()), key=repr)
+    assert same(lambda b: windows.rate(df, b).select("series_id", "ts", "rate"))
+    assert same(lambda b: windows.running_max(df, b).select("series_id", "ts", "running_max"))
+    assert same(lambda b: windows.every_nth(df, 7, b).select("series_id", "ts"))
+    assert same(lambda b: windows.twma(df, 5, b, block=64).select("series_id", "ts", F.round("average", 6)))
+    assert same(lambda b: windows.behind(df, F.col("value_int"), 1 << 10, b).select("series_id", "ts"))
+    both = df.withColumn("name", F.when((F.col("value_int") % 2 == 0), "even").otherwise("odd"))
+    assert same(lambda b: windows.asof_fill(both, "odd", "even", b).select("flow_id", "ts", "latest"))
+
+
+@pytest.mark.parametrize("cut", [windows.even(40), 500.0, 1e9])
+def test_state_is_handed_from_bucket_to_bucket(spark, cut):
+    df = bursts(spark).filter("name = 'hot'")
+    found = {r.ts: r.value_float for r in metrics.get("SMOOTHED", source="hot", time_bucket=cut).run(df).collect()}
+    at, want = None, {}
+    for ts, v in sorted((r.ts, r.value_int) for r in df.collect()):
+        at = float(v) if at is None else at + (v - at) / 8
+        want[ts] = at
+    assert found.keys() == want.keys() and all(abs(found[t] - want[t]) < 1e-6 for t in want)

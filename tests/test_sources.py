@@ -363,3 +363,51 @@ def test_a_cluster_needs_a_shared_folder(spark):
     far = SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master="spark://h:7077", getConf=lambda: unset))
     with pytest.raises(ValueError):
         shared_path(far, "x")
+
+
+def test_sql_stores_are_read_in_ranges(spark):
+    """Through the database that comes with Spark; a hot series is spread, as ranges go by time."""
+    url = f"jdbc:derby:memory:t{os.getpid()};create=true"
+    rows = [(1, float(t), t, -1.0, None, None, 0) for t in range(900)] + [(2, 3.5, -1, 2.5, None, None, 1), (2, None, -1, 0.5, None, None, 1)]
+    data = spark.createDataFrame(rows, "time_series_id long, timestamp double, value_integer long, value_float double, value_boolean int, value_text string, type int")
+    data.write.jdbc(url, "time_series_data")
+    spark.createDataFrame([(i, 9, f"n{i}", i - 1) for i in range(1, 3)], "time_series_id long, flow_id long, name string, type int").write.jdbc(url, "time_series")
+    store = FlowStore.open(spark, url, rows_per_split=100)
+    assert isinstance(store, ForeignStore)
+    points = store.data
+    sizes = points.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+    assert len(sizes) == 10 and sum(sizes) == 902 and max(sizes) <= 103
+    plan = store.points(2)._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(time_series_id,2)" in plan and "numPartitions=10" in plan
+    assert sorted((r.ts is None, r.value_float) for r in store.points(2).collect()) == [(False, 2.5), (True, 0.5)]
+    assert store.series_table.rdd.getNumPartitions() == 1 and store.series(9).count() == 2
+
+
+def test_flows_come_and_go(spark, tmp_path):
+    """Batches after each other, as after a restart: spans go on, late records are dropped, silent flows expire."""
+    path, out = f"file://{tmp_path}/in", f"file://{tmp_path}/out"
+    schema = "src string, dst string, sport int, dport int, l4proto int, us long"
+
+    def add(name, rows):
+        spark.createDataFrame([(src, "d", 1, 2, 6, int(t * 1e6)) for src, t in rows], schema).coalesce(1).write.parquet(f"{path}/{name}.parquet")
+
+    add("0", [("a", 1), ("a", 2), ("a", 4), ("b", 1), ("b", 9), (None, 3)])
+
+    def run():
+        stream = spark.readStream.schema(schema).parquet(f"{path}/*.parquet").withColumn("event_time", F.timestamp_micros("us"))
+        with live.state_store(spark):
+            live.flow_table(stream, 5.0, "2 seconds").writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+        rows = spark.read.schema("src string, event string, first_seen timestamp, last_seen timestamp, n long").parquet(f"{out}/rows")
+        found = rows.select(F.coalesce("src", F.lit("")), "event", F.unix_micros("first_seen"), F.unix_micros("last_seen"), "n").collect()
+        assert sorted(map(tuple, found)) == sorted((src or "", event, int(first * 1e6), int(last * 1e6), n) for src, event, first, last, n in want)
+
+    # b was silent from 1 to 9; the watermark stands at 7.
+    want = [("a", "open", 1, 1, 0), ("b", "open", 1, 1, 0), ("b", "idle", 1, 1, 1), ("b", "open", 9, 9, 0), (None, "open", 3, 3, 0)]
+    run()
+    # a goes on before its time is over; what comes at 2 is late and dropped; 20 lets all others expire.
+    add("1", [("a", 8), ("c", 2), ("c", 20)])
+    want += [("c", "open", 20, 20, 0), ("a", "idle", 1, 8, 4), ("b", "idle", 9, 9, 1), (None, "idle", 3, 3, 1)]
+    run()
+    add("2", [("a", 30)])
+    want += [("a", "open", 30, 30, 0), ("c", "idle", 20, 20, 1)]
+    run()
