@@ -33,8 +33,35 @@ def open_filesystem(path: str):
     return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path) if re.match(r"^[A-Za-z][A-Za-z0-9+.-]+:", path) else f"file://{path}")
 
 
-def list_files(path: str) -> list[tuple[str, int]]:
-    """Names and lengths of a file, or of the ``.tcp`` files under a folder; nothing where there is none."""
+#: The folder of appends: each is a folder of its own, named by its number.
+APPENDS = "appends"
+
+
+def append_folder(path: str, number: int) -> str:
+    return f"{path.rstrip('/')}/{APPENDS}/{number:012d}"
+
+
+def _numbers(system, folder: str) -> list[int]:
+    from pyarrow import fs
+
+    return sorted(int(f.base_name) for f in system.get_file_info(fs.FileSelector(folder, allow_not_found=True)) if f.base_name.isdigit())
+
+
+def last_append(path: str, known: int | None = None) -> int:
+    """The highest number of an append, 0 without; from a ``known`` one on only the next ones are looked for."""
+    from pyarrow import fs
+
+    system, inner = open_filesystem(path)
+    if known is None:
+        return max(_numbers(system, f"{inner}/{APPENDS}"), default=0)
+    while system.get_file_info(append_folder(inner, known + 1)).type == fs.FileType.Directory:
+        known += 1
+    return known
+
+
+def list_files(path: str, appends: bool = True) -> list[tuple[str, int]]:
+    """Names and lengths of a file, or of the ``.tcp`` files under a folder; nothing where there is none. Without
+    ``appends`` those of the folder's own appends are neither listed nor looked at."""
     from pyarrow import fs
 
     system, inner = open_filesystem(path)
@@ -43,11 +70,27 @@ def list_files(path: str) -> list[tuple[str, int]]:
         return [(path, info.size)]
     if info.type == fs.FileType.NotFound:
         return []
-    found = system.get_file_info(fs.FileSelector(inner, recursive=True))
+    found = system.get_file_info(fs.FileSelector(inner, recursive=False))
+    for folder in [f for f in found if f.type == fs.FileType.Directory and not f.base_name.startswith(".") and (appends or f.base_name != APPENDS)]:
+        found += system.get_file_info(fs.FileSelector(folder.path, recursive=True))
     prefix = path[: len(path) - len(inner)] if path.endswith(inner) else re.match(r"^([A-Za-z0-9+.-]+:(?://)?)?", path)[0]
     return sorted((prefix + f.path, f.size) for f in found if f.type == fs.FileType.File and f.path.endswith(".tcp"))
 
 
+def publish_append(system, inner: str, written: str) -> None:
+    """The folder ``written`` as the next append of the trace ``inner``: there at once and whole, or not at all."""
+    folder = f"{inner}/{APPENDS}"
+    system.create_dir(folder, recursive=True)
+    number = max(_numbers(system, folder), default=0)
+    for tried in range(1, 101):
+        try:
+            return system.move(written, append_folder(inner, number + tried))
+        except OSError:
+            # Another append took the number.
+            if tried == 100:
+                raise
+
+
 @dataclass
 class TracePart(InputPartition):
     path: str
@@ -124,21 +167,28 @@ class TraceReader(DataSourceReader):
 
 
 class TraceStreamReader(DataSourceStreamReader):
-    """Offsets are bytes of each file, whole records only. A trigger takes all that is there, in parts as a batch
-    does: Spark doesn't tell a Python source where it stands, so a limit for each trigger couldn't survive a restart."""
+    """Offsets are the number of the last append, under an empty name, and the bytes, whole records only, of each file
+    that lies elsewhere and so may grow. Appends never change and become visible in the order of their numbers, so what
+    an offset says, and what a trigger looks for, doesn't grow with them. A trigger takes all that is there, in parts as
+    a batch does: Spark doesn't tell a Python source where it stands, so a limit for each trigger couldn't survive a
+    restart."""
 
     def __init__(self, options, schema: T.StructType):
         self.o = _Options(options, schema)
+        self.last: int | None = None
 
     def initialOffset(self) -> dict:
-        return {}
+        return {"": 0}
 
     def latestOffset(self) -> dict:
-        return {path: self.o.whole(length) for path, length in list_files(self.o.path)}
+        self.last = last_append(self.o.path, self.last)
+        return {"": self.last, **{path: self.o.whole(length) for path, length in list_files(self.o.path, appends=False)}}
 
     def partitions(self, start: dict, end: dict) -> list[TracePart]:
         size = self.o.kind.size
-        return [p for path, n in sorted(end.items()) for p in parts_of(path, size, int(start.get(path, 0)), int(n), self.o.part_bytes)]
+        grown = [p for path, n in sorted(end.items()) if path for p in parts_of(path, size, int(start.get(path, 0)), int(n), self.o.part_bytes)]
+        new = [f for i in range(int(start.get("", 0)) + 1, int(end.get("", 0)) + 1) for f in list_files(append_folder(self.o.path, i))]
+        return grown + [p for path, n in new for p in parts_of(path, size, 0, self.o.whole(n), self.o.part_bytes)]
 
     def read(self, partition: TracePart) -> Iterator[pa.RecordBatch]:
         return read_part(self.o.kind, partition, self.o.mode, self.o.fields)
@@ -172,37 +222,54 @@ class Written(WriterCommitMessage):
 
 
 class TraceWriter(DataSourceArrowWriter):
-    """One file for each task, under another name until the job commits. Names hold the job's own id, so an append
-    never replaces records that are there, and a task that runs again leaves one file."""
+    """One file for each task, in a folder that becomes the trace's next append when the job commits. An append never
+    replaces records that are there, and a task that runs again leaves one file."""
 
     def __init__(self, options, overwrite: bool):
         self.kind, self.path = KINDS[options["kind"]], options["path"]
-        self.name, self.overwrite = f"{options.get('name', 'part')}-{uuid.uuid4().hex}", overwrite
+        self.name, self.overwrite, self.job = options.get("name", "part"), overwrite, uuid.uuid4().hex
 
-    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+    def _folder(self) -> tuple:
         system, inner = open_filesystem(self.path)
-        system.create_dir(inner, recursive=True)
+        return system, inner, f"{inner}/.writing-{self.job}"
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        system, _, folder = self._folder()
+        system.create_dir(folder, recursive=True)
         context = TaskContext.get()
-        own, name = f"{inner}/.writing-{context.taskAttemptId()}", f"{inner}/{self.name}-{context.partitionId():05d}.tcp"
+        own, name = f"{folder}/.attempt-{context.taskAttemptId()}", f"{folder}/{self.name}-{self.job}-{context.partitionId():05d}.tcp"
         with system.open_output_stream(own, compression=None) as f:
             for batch in iterator:
                 f.write(encode(self.kind, batch))
         return Written(own, name)
 
     def commit(self, messages: list[Written | None]) -> None:
-        system, inner = open_filesystem(self.path)
+        system, inner, folder = self._folder()
         old = [open_filesystem(path)[1] for path, _ in list_files(self.path)] if self.overwrite else []
         for m in messages:
             if m:
                 system.move(m.own, m.name)
+        if any(messages):
+            clear_attempts(system, folder)
+            publish_append(system, inner, folder)
         for name in old:
             system.delete_file(name)
 
     def abort(self, messages: list[Written | None]) -> None:
-        system, _ = open_filesystem(self.path)
-        for m in messages:
-            if m:
-                system.delete_file(m.own)
+        from pyarrow import fs
+
+        system, _, folder = self._folder()
+        if system.get_file_info(folder).type == fs.FileType.Directory:
+            system.delete_dir(folder)
+
+
+def clear_attempts(system, folder: str) -> None:
+    """Remove what tasks that ran in vain left."""
+    from pyarrow import fs
+
+    for f in system.get_file_info(fs.FileSelector(folder)):
+        if f.base_name.startswith("."):
+            system.delete_file(f.path)
 
 
 class TraceSource(DataSource):
@@ -266,21 +333,25 @@ def trace_files(spark: SparkSession, glob: str) -> DataFrame:
 
 
 def write_raw(records: DataFrame, path: str, name: str = "part") -> None:
-    """Whole records as bytes (column ``record``), as they are, added to what the folder holds."""
-    name = f"{name}-{uuid.uuid4().hex}"
+    """Whole records as bytes (column ``record``), as they are, as the trace's next append."""
+    system, inner = open_filesystem(path)
+    job = uuid.uuid4().hex
+    folder = f"{inner}/.writing-{job}"
+    system.create_dir(folder, recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, inner = open_filesystem(path)
-        system.create_dir(inner, recursive=True)
+        there, _ = open_filesystem(path)
+        there.create_dir(folder, recursive=True)
         context = TaskContext.get()
-        own = f"{inner}/.writing-{context.taskAttemptId()}"
-        n = 0
-        with system.open_output_stream(own, compression=None) as f:
+        own, n = f"{folder}/.attempt-{context.taskAttemptId()}", 0
+        with there.open_output_stream(own, compression=None) as f:
             for batch in batches:
                 for record in batch.column(0).to_pylist():
                     f.write(record)
                     n += 1
-        system.move(own, f"{inner}/{name}-{context.partitionId():05d}.tcp")
+        there.move(own, f"{folder}/{name}-{job}-{context.partitionId():05d}.tcp")
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
     records.select("record").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+    clear_attempts(system, folder)
+    publish_append(system, inner, folder)

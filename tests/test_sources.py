@@ -411,3 +411,26 @@ def test_flows_come_and_go(spark, tmp_path):
     add("2", [("a", 30)])
     want += [("a", "open", 30, 30, 0), ("c", "idle", 20, 20, 1)]
     run()
+
+
+def test_stream_offsets_do_not_grow_with_appends(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    some = lambda a, b: spark.range(a, b, 1, 2).selectExpr("id AS time")
+    reader = trace.TraceStreamReader({"kind": "bad_csum", "path": path}, trace.KINDS["bad_csum"].struct)
+    assert reader.latestOffset() == {"": 0}
+    read = lambda a, b: sum((p.end - p.start) // BAD_CSUM.size for p in reader.partitions(a, b))
+    offsets = [reader.initialOffset()]
+    for n in range(4):
+        trace.write_trace(some(n * 10, n * 10 + 10), path, "bad_csum")
+        offsets.append(reader.latestOffset())
+    assert offsets == [{"": n} for n in range(5)]
+    assert [read(a, b) for a, b in zip(offsets, offsets[1:])] == [10] * 4 and read(offsets[1], offsets[3]) == 20
+    # A file that a recorder writes to stands beside the appends and goes by its bytes.
+    bad_csum_file(tmp_path / "t" / "bad_csum.tcp", 3)
+    now = reader.latestOffset()
+    bad_csum_file(tmp_path / "t" / "bad_csum.tcp", 8, tail=b"abc")
+    later = reader.latestOffset()
+    assert len(later) == 2 and (read(offsets[-1], now), read(now, later)) == (3, 5)
+    again = trace.TraceStreamReader({"kind": "bad_csum", "path": path}, trace.KINDS["bad_csum"].struct)
+    assert again.latestOffset() == later and trace.read_trace(spark, path, "bad_csum").count() == 48
+    assert not [f for f in files_below(tmp_path / "t") if "/." in f and ".crc" not in f]
