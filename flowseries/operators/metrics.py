@@ -225,7 +225,6 @@ class CarriedMetric(Metric):
         return as_series(rows.withColumn("ts_ns", F.lit(None).cast("long")), self.name, FLOAT, F.col("value"))
 
 
-@register
 class Smoothed(CarriedMetric):
     """Exponentially smoothed values, as round-trip times are: the first value, then seven eighths of what was and an
     eighth of what is. A bucket of n values takes what was by the factor (7/8)^n and adds a number of its own."""

@@ -185,7 +185,7 @@ on_points("rate_even_splits", f"WITH {P_SQL} SELECT series_id, ts, round(1e6 * (
 on_points("running_max_even_splits", f"WITH {P_SQL} SELECT series_id, ts, max(v) OVER (PARTITION BY series_id ORDER BY ts) AS running_max FROM p", lambda p: windows.running_max(p, _EVEN).select("series_id", "ts", "running_max"))
 on_points("decimate_even_splits", f"WITH {P_SQL}, i AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS i FROM p) SELECT series_id, ts, v FROM i WHERE i % 3 = 0", lambda p: windows.every_nth(p, 3, _EVEN).select("series_id", "ts", F.col("value_float").alias("v")))
 _SMOOTH = "list_reduce(list(v) OVER (PARTITION BY flow_id ORDER BY ts ROWS UNBOUNDED PRECEDING), lambda s, x: s * 0.875::DOUBLE + x * 0.125::DOUBLE)"
-on_points("metric_smoothed", f"WITH {P_SQL} SELECT flow_id, ts, floor({_SMOOTH} * 1000 + 0.3)::BIGINT AS thousandths FROM p WHERE name = 'view'", lambda p: metrics.get("SMOOTHED", source="view", time_bucket=_EVEN).run(p).select("flow_id", "ts", F.floor(F.col("value_float") * 1000 + 0.3).alias("thousandths")))
+on_points("metric_smoothed", f"WITH {P_SQL} SELECT flow_id, ts, floor({_SMOOTH} * 1000 + 0.3)::BIGINT AS thousandths FROM p WHERE name = 'view'", lambda p: metrics.Smoothed(source="view", time_bucket=_EVEN).run(p).select("flow_id", "ts", F.floor(F.col("value_float") * 1000 + 0.3).alias("thousandths")))
 
 # Batch twins of live views
 _timed = lambda e: e.withColumn("event_time", F.timestamp_micros("us")).withColumn("kind", F.col("event_type"))

@@ -277,7 +277,7 @@ def test_even_buckets_change_no_result(spark, rows):
 @pytest.mark.parametrize("cut", [windows.even(40), 500.0, 1e9])
 def test_state_is_handed_from_bucket_to_bucket(spark, cut):
     df = bursts(spark).filter("name = 'hot'")
-    found = {r.ts: r.value_float for r in metrics.get("SMOOTHED", source="hot", time_bucket=cut).run(df).collect()}
+    found = {r.ts: r.value_float for r in metrics.Smoothed(source="hot", time_bucket=cut).run(df).collect()}
     at, want = None, {}
     for ts, v in sorted((r.ts, r.value_int) for r in df.collect()):
         at = float(v) if at is None else at + (v - at) / 8
