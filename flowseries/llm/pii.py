@@ -42,7 +42,8 @@ def _iban_pattern() -> str:
     """A known country's IBAN has that country's length, so what follows it is no part of it; for others, any."""
     known = [f"(?:{'|'.join(codes.split())})[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{n - 4}}}" for n, codes in IBAN_LENGTHS.items()]
     every = "|".join(" ".join(IBAN_LENGTHS.values()).split())
-    return rf"(?<![A-Za-z0-9])(?:{'|'.join(known)}|(?!{every})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}+)(?![A-Za-z0-9])"
+    # What every IBAN begins with is looked for first, so that words don't try every country.
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{'|'.join(known)}|(?!{every})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}+)(?![A-Za-z0-9])"
 
 
 # Patterns, their scores without context, and words near a span that speak for it.
