@@ -186,12 +186,15 @@ class FlowStore(FlowTables):
 
     @property
     def settings(self) -> dict:
+        """Those that the first change has written, before it those asked for."""
         if self._settings is None:
             self._settings = self._read_json(f"{self.path}/_settings.json")
-            if self._settings is None:
-                self._write_json(f"{self.path}/_settings.json", self._asked)
-                self._settings = self._asked
-        return self._settings
+        return self._settings or self._asked
+
+    def _keep_settings(self) -> None:
+        if self._settings is None and self.settings is self._asked:
+            self._write_json(f"{self.path}/_settings.json", self._asked)
+            self._settings = self._asked
 
     # Listings
 
@@ -247,6 +250,7 @@ class FlowStore(FlowTables):
 
     def _change(self, table: str, add: DataFrame | None = None, name: str | None = None, delete: DataFrame | None = None) -> None:
         """Rows added (those of a ``name`` in place of what it held), and earlier rows of the ids in ``delete`` hidden."""
+        self._keep_settings()
         now = self.listing(table)
         seq = now.seq + 1
         size = self._write(table, add, seq) if add is not None else 0

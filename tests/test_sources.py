@@ -434,3 +434,11 @@ def test_stream_offsets_do_not_grow_with_appends(spark, tmp_path):
     again = trace.TraceStreamReader({"kind": "bad_csum", "path": path}, trace.KINDS["bad_csum"].struct)
     assert again.latestOffset() == later and trace.read_trace(spark, path, "bad_csum").count() == 48
     assert not [f for f in files_below(tmp_path / "t") if "/." in f and ".crc" not in f]
+
+
+def test_reading_a_store_writes_nothing(spark, tmp_path):
+    store = FlowStore(spark, f"file://{tmp_path}/none", bucket_bits=5)
+    assert store.flow(*FLOW).count() == 0 and store.points(1).count() == 0 and store.summaries().count() == 0 and store.quarantine.count() == 0
+    assert not (tmp_path / "none").exists() and store.settings["bucket_bits"] == 5
+    store.add_flows(spark.createDataFrame([FLOW], "src string, dst string, sport int, dport int, l4proto int"))
+    assert FlowStore(spark, store.path).settings["bucket_bits"] == 5
