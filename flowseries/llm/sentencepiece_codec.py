@@ -44,7 +44,7 @@ MODEL_LIMIT = 64 << 20
 #: Characters that the library encodes at once, and words that a worker remembers (twice so many at most).
 _SLICE = 1 << 18
 _WORDS = 200_000
-_TURN = 4096
+_TURN = 256
 MARKER = "▁"
 _WORD = re.compile(f"{MARKER}*[^{MARKER}]+|{MARKER}+")
 # Piece types and model types of the format.
@@ -188,8 +188,10 @@ class Codec:
         self._older: dict[str, bytes] = {}
         plain = lambda p: p.replace(MARKER, " ").encode()
         self._bytes = [bytes([int(p[3:5], 16)]) if k == BYTE else plain(p) for p, k in zip(self.model.pieces, self.model.types, strict=True)]
-        # Pieces that decode to something else than themselves.
+        # Pieces that decode to something else than themselves; that start with a marker; that are markers only.
         self._odd = np.array([k in (UNKNOWN, CONTROL) for k in self.model.types])
+        self._leads = np.array([p.startswith(MARKER) for p in self.model.pieces])
+        self._marks = np.array([p != "" and not p.strip(MARKER) for p in self.model.pieces])
 
     @staticmethod
     def of(data: bytes, threads: int) -> Codec:
@@ -210,8 +212,8 @@ class Codec:
             yield from (e.ids for e in tokenizer.encode_batch_fast(part, add_special_tokens=False))
 
     def _learn(self, words: list[str]) -> None:
-        """Encode words not seen before, a batch of them a call on the library's threads, and hold them against the
-        sentencepiece library and both decoders."""
+        """Encode words not seen before and hold them against the library and both decoders. Many words are a text, as
+        each costs something, and many texts a batch, for the library's threads."""
         # A run of markers alone would join the word after it.
         runs = [w for w in words if not w.strip(MARKER)]
         for w in runs:
@@ -220,16 +222,25 @@ class Codec:
                 self._compare(w[1:].replace(MARKER, " "), ids)
             self._words[w] = array("i", ids).tobytes()
         plain = [w for w in words if w.strip(MARKER)]
-        for at in range(0, len(plain), _TURN):
-            part = plain[at : at + _TURN]
-            # Either library takes each word as a text, whose own prefix is the word's marker.
-            bare = [w[1:].replace(MARKER, " ") for w in part]
-            found = list(self._encoded(self.tokenizer, bare))
-            if self.library_ids(bare) != found:
-                raise ValueError("the rebuilt tokenizer differs from the library")
-            if self.by_library(found) != bare or [self.decode_one(np.array(ids, dtype=np.int32)) for ids in found] != bare:
+        parts = [plain[at : at + _TURN] for at in range(0, len(plain), _TURN)]
+        texts = ["".join(part).replace(MARKER, " ")[1:] for part in parts]
+        encoded = list(self._encoded(self.tokenizer, texts))
+        if self.by_library(encoded) != texts:
+            raise ValueError("the decoder doesn't give back its words")
+        for part, text, ids in zip(parts, texts, encoded, strict=True):
+            found = np.array(ids, dtype=np.int32)
+            if self.decode_one(found) != text:
                 raise ValueError("the decoder doesn't give back its words")
-            self._words.update((w, array("i", ids).tobytes()) for w, ids in zip(part, found, strict=True))
+            first = self._leads[found].copy()
+            first[1:] &= ~self._marks[found[:-1]]
+            ends = [*np.flatnonzero(first)[1:].tolist(), len(found)]
+            raw, begin = found.tobytes(), 0
+            for w, end in zip(part, ends, strict=True):
+                self._words[w] = raw[4 * begin : 4 * end]
+                begin = end
+            # The library takes each word as a text, whose own prefix is the word's marker.
+            if self.library_ids([w[1:].replace(MARKER, " ") for w in part]) != [np.frombuffer(self._words[w], dtype=np.int32).tolist() for w in part]:
+                raise ValueError("the rebuilt tokenizer differs from the library")
 
     def _compare(self, text: str, ids: list[int]) -> None:
         if self.library_ids([text]) != [ids]:
