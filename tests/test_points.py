@@ -107,6 +107,15 @@ def test_duplicates_without_a_sort_of_all(spark):
     assert points.split_duplicates(none.unionByName(none.filter("ts IS NULL")), ["value_int"])[0].filter("ts IS NULL").count() == 1
 
 
+def test_split_duplicates_shuffles_hashes_only(spark):
+    """Points of single keys stay where they are read: no plan of theirs sorts, shuffles or joins them but by broadcast."""
+    p = pts(spark, [(1, "a", t, t) for t in range(2000)])
+    good, rest = points.split_duplicates(p.unionByName(p.filter("ts < 5")), ["value_int", "value_float"])
+    assert good.count() == 2000 and rest.count() == 5
+    plan = good._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+
+
 def test_bounds_edges(spark):
     p = pts(spark, [(1, "a", 0, 5), (1, "a", 1, 5), (1, "s", 2, "x")])
     assert bounds.selection_y_bounds(p).first() == (-5.0, 15.0)
