@@ -292,3 +292,33 @@ def test_state_is_handed_from_bucket_to_bucket(spark, cut):
         at = float(v) if at is None else at + (v - at) / 8
         want[ts] = at
     assert found.keys() == want.keys() and all(abs(found[t] - want[t]) < 1e-6 for t in want)
+
+
+def test_rates_round_as_c_does(spark):
+    """By the exact binary value, ties to even: 1.125 and 1.375 are ties, 1.005 lies below and 1.115 above its half."""
+    rows = spark.createDataFrame([(v,) for v in (1125.0, 1375.0, 1005.0, 1115.0, 0.5, 2.5, -1.125, 999.995)], "v double")
+    got = [tuple(r) for r in rows.select(format_rate(F.col("v"), "B"), format_sum(F.col("v"), "B")).collect()]
+    assert [g[0] for g in got] == ["1.12 KB", "1.38 KB", "1.00 KB", "1.11 KB", "0.50 B", "2.50 B", "-1.12 B", "1000.00 B"]
+    assert [g[1] for g in got[4:]] == ["0 B", "2 B", "-1 B", "1000 B"]
+
+
+def test_python_metrics_take_many_flows_at_once(spark):
+    """Flows of one call keep whole numbers whole, whatever other flows and flows without an id bring."""
+    from flowseries.operators import metrics as m
+
+    class Low(m.PandasMetric):
+        name, required, looks_up_flows = "LOW", ("a",), False
+
+        def compute_flow(self, frame):
+            assert frame["flow_id"].nunique(dropna=False) == 1
+            return frame.assign(value=(frame["value_int"] % 1000).astype(float))[["ts", "value"]]
+
+    big = (1 << 60) + 123
+    rows = [(big + f, "a", float(t), big) for f in range(40) for t in range(3)]
+    p = spark.createDataFrame([(f, 1, n, 0, t, None, v, None, None, None) for f, n, t, v in [*rows, (None, "a", 0.0, big)]], POINTS)
+    m._CALLS, calls = 2, m._CALLS
+    try:
+        got = Low().run(p).collect()
+    finally:
+        m._CALLS = calls
+    assert len(got) == 121 and {r.value_float for r in got} == {float(big % 1000)} and {r.flow_id for r in got} == {None, *[big + f for f in range(40)]}
