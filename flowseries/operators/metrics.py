@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from flowseries.functions.addresses import series_id
 from flowseries.operators.points import POINT_COLUMNS
@@ -150,6 +153,49 @@ class Retransmissions(Metric):
         return as_series(behind(rows, F.col("value_int"), 1 << 32, self.time_bucket, "flow_id"), self.name, INT, F.col("value_int"))
 
 
+#: Groups of a table that come to Python together: one call for each of so many hashes, not for each flow.
+_CALLS = 4096
+
+
+def _dealt(rows: DataFrame, keys: list[str]) -> GroupedData:
+    """Rows of whole ``keys``, many keys in one group; those with a null apart, so that ids beside them stay whole numbers."""
+    return rows.groupBy(F.pmod(F.xxhash64(*keys), F.lit(_CALLS)).alias("_call"), *[F.col(k).isNull().alias(f"_no_{k}") for k in keys])
+
+
+def _frames(table: pa.Table, keys: list[str], order: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """Each key and its rows by ``order``, with the types that they have alone: whole numbers where none is null."""
+    if not table.num_rows:
+        return
+    table = table.sort_by([(c, "ascending") for c in (*keys, *order)])
+    frame, mixed = table.to_pandas(integer_object_nulls=True), []
+    for field in table.schema:
+        nulls = table[field.name].null_count
+        if pa.types.is_integer(field.type) and nulls == len(frame):
+            frame[field.name] = np.nan
+        elif pa.types.is_integer(field.type) and nulls:
+            mixed.append(field.name)
+    changed = np.zeros(len(frame) - 1, dtype=bool)
+    for k in keys:
+        if not table[k].null_count:
+            changed |= frame[k].to_numpy()[1:] != frame[k].to_numpy()[:-1]
+    cuts = [0, *(np.flatnonzero(changed) + 1).tolist(), len(frame)]
+    for start, end in zip(cuts, cuts[1:]):
+        own = frame.iloc[start:end]
+        if mixed:
+            own = own.assign(**{c: own[c].astype("float64" if own[c].isna().any() else "int64") for c in mixed})
+        yield tuple(table[k][start].as_py() for k in keys), own
+
+
+_VALUES = pa.schema([("flow_id", pa.int64()), ("ts", pa.float64()), ("value", pa.float64())])
+
+
+def _values(found: list[tuple[int | None, pd.DataFrame]]) -> pa.Table:
+    """``ts`` and ``value`` rows of some flows."""
+    column = lambda c: np.concatenate([out[c].to_numpy(dtype=float) for _, out in found]) if found else []
+    ids = [i for i, out in found for _ in range(len(out))]
+    return pa.Table.from_arrays([pa.array(ids, pa.int64()), pa.array(column("ts"), pa.float64(), from_pandas=True), pa.array(column("value"), pa.float64(), from_pandas=True)], schema=_VALUES)
+
+
 class PandasMetric(Metric):
     """For mathematics that isn't relational: ``compute_flow`` gets one flow's points of one ``time_bucket`` as pandas
     and returns ``ts`` and ``value`` rows. What it needs to know of the whole flow are ``totals``, aggregates that
@@ -165,16 +211,16 @@ class PandasMetric(Metric):
         raise NotImplementedError
 
     def compute(self, points: DataFrame) -> DataFrame:
-        compute_flow, totals = self.compute_flow, self.totals()
+        compute_flow, totals, bucket = self.compute_flow, self.totals(), self.time_bucket
+        keys = ["flow_id"] if bucket is None else ["flow_id", "_b"]
 
-        def run(frame: pd.DataFrame) -> pd.DataFrame:
-            out = compute_flow(frame.sort_values(["name", "ts"]))
-            return pd.DataFrame({"flow_id": frame["flow_id"].iloc[0], "ts": out["ts"].astype(float), "value": out["value"].astype(float)})
+        def run(table: pa.Table) -> pa.Table:
+            return _values([(key[0], compute_flow(own.drop(columns=keys[1:]))) for key, own in _frames(table, keys, ["name", "ts"])])
 
         if totals:
             points = points.join(points.groupBy("flow_id").agg(*[c.alias(n) for n, c in totals.items()]), "flow_id")
-        keys = ["flow_id"] if self.time_bucket is None else ["flow_id", F.floor(F.col("ts") / self.time_bucket).alias("_b")]
-        rows = points.groupBy(*keys).applyInPandas(run, "flow_id long, ts double, value double")
+        keyed = points if bucket is None else points.withColumn("_b", F.floor(F.col("ts") / bucket))
+        rows = _dealt(keyed, keys).applyInArrow(run, "flow_id long, ts double, value double")
         return as_series(rows.withColumn("ts_ns", F.lit(None).cast("long")), self.name, FLOAT, F.col("value"))
 
 
@@ -198,30 +244,35 @@ class CarriedMetric(Metric):
         raise NotImplementedError
 
     def compute(self, points: DataFrame) -> DataFrame:
-        own, names = self, [c.split()[0] for c in self.state.split(", ")]
+        own, keys = self, ["flow_id", "_b"]
         keyed = bucket_points(points, self.time_bucket, "flow_id")
+        of_bucket = f"flow_id long, _b long, {self.state}"
+        carried_on = f"flow_id long, _b long, _there boolean, {self.state}"
+        schema = lambda ddl: to_arrow_schema(points.sparkSession.createDataFrame([], ddl).schema)
+        summed_schema, handed_schema = schema(of_bucket), schema(carried_on)
+
+        def as_table(rows: list[tuple], form: pa.Schema) -> pa.Table:
+            return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type, from_pandas=True) for i, f in enumerate(form)], schema=form)
+
+        def summed(table: pa.Table) -> pa.Table:
+            return as_table([(*key, *own.summarise(frame)) for key, frame in _frames(table, keys, ["ts", "name"])], summed_schema)
+
+        def handed(table: pa.Table) -> pa.Table:
+            rows, flow, before = [], (), None
+            for r in zip(*[c.to_pylist() for c in table.sort_by([("flow_id", "ascending"), ("_b", "ascending")]).columns], strict=True):
+                if flow != r[:1]:
+                    flow, before = r[:1], None
+                rows.append((r[0], r[1], before is not None, *(before or r[2:])))
+                before = r[2:] if before is None else own.combine(before, r[2:])
+            return as_table(rows, handed_schema)
 
-        def summed(frame: pd.DataFrame) -> pd.DataFrame:
-            state = own.summarise(frame.sort_values(["ts", "name"]))
-            return pd.DataFrame([(frame["flow_id"].iloc[0], frame["_b"].iloc[0], *state)], columns=["flow_id", "_b", *names])
+        def applied(table: pa.Table, carried: pa.Table) -> pa.Table:
+            before = {r[:2]: r[3:] if r[2] else None for r in zip(*[c.to_pylist() for c in carried.columns], strict=True)}
+            return _values([(key[0], own.apply(frame, before[key])) for key, frame in _frames(table, keys, ["ts", "name"])])
 
-        def handed(frame: pd.DataFrame) -> pd.DataFrame:
-            rows, before = [], None
-            for r in frame.sort_values("_b").itertuples(index=False):
-                rows.append((r[0], r[1], before is not None, *(before or r[2:])))
-                before = r[2:] if before is None else own.combine(before, tuple(r[2:]))
-            return pd.DataFrame(rows, columns=["flow_id", "_b", "_there", *names])
-
-        def applied(key: tuple, frame: pd.DataFrame, carried: pd.DataFrame) -> pd.DataFrame:
-            if frame.empty:
-                return pd.DataFrame({"flow_id": [], "ts": [], "value": []})
-            row = next(carried.itertuples(index=False))
-            out = own.apply(frame.sort_values(["ts", "name"]), tuple(row[3:]) if row[2] else None)
-            return pd.DataFrame({"flow_id": key[0], "ts": out["ts"].astype(float), "value": out["value"].astype(float)})
-
-        states = keyed.groupBy("flow_id", "_b").applyInPandas(summed, f"flow_id long, _b long, {self.state}")
-        carried = states.groupBy("flow_id").applyInPandas(handed, f"flow_id long, _b long, _there boolean, {self.state}")
-        rows = keyed.groupBy("flow_id", "_b").cogroup(carried.groupBy("flow_id", "_b")).applyInPandas(applied, "flow_id long, ts double, value double")
+        states = _dealt(keyed, keys).applyInArrow(summed, of_bucket)
+        carried = _dealt(states, keys[:1]).applyInArrow(handed, carried_on)
+        rows = _dealt(keyed, keys).cogroup(_dealt(carried, keys)).applyInArrow(applied, "flow_id long, ts double, value double")
         return as_series(rows.withColumn("ts_ns", F.lit(None).cast("long")), self.name, FLOAT, F.col("value"))
 
 
