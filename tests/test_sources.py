@@ -442,3 +442,14 @@ def test_reading_a_store_writes_nothing(spark, tmp_path):
     assert not (tmp_path / "none").exists() and store.settings["bucket_bits"] == 5
     store.add_flows(spark.createDataFrame([FLOW], "src string, dst string, sport int, dport int, l4proto int"))
     assert FlowStore(spark, store.path).settings["bucket_bits"] == 5
+
+
+def test_derived_points_meet_parts_of_their_series_only(spark, tmp_path):
+    store = FlowStore(spark, f"file://{tmp_path}/s")
+    p = lambda name, n: points.to_points(packets_of(spark, 4, n).withColumns({"src": F.lit("a"), "dst": F.lit("b"), "sport": F.lit(1), "dport": F.lit(name), "l4proto": F.lit(6)}), "cwnd")
+    store.save_series(p(2, 5))
+    assert store._stored_keys(p(3, 5), None, by_series=True) is None and store._stored_keys(p(2, 5), None, by_series=True).count() == 5
+    store.save_series(p(3, 4))
+    store.save_series(p(3, 6))
+    own = store.series_table.join(p(3, 1).select("flow_id").distinct(), "flow_id")
+    assert store.data.count() == 11 and store.points_of(own).count() == 6
