@@ -106,6 +106,20 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Places and counts of the terms that a text has."""
+    at = np.flatnonzero(counts)
+    return at.astype("<u2").tobytes() + counts[at].astype("<f4").tobytes()
+
+
+def _unpacked(packed: list[bytes]) -> np.ndarray:
+    out = np.zeros((len(packed), N_TERMS), dtype=np.float32)
+    for row, raw in zip(out, packed, strict=True):
+        n = len(raw) // 6
+        row[np.frombuffer(raw, "<u2", n)] = np.frombuffer(raw, "<f4", n, 2 * n)
+    return out
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
@@ -119,18 +133,23 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 4000, dimensions
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            packed = [term_counts(raw).tobytes() for raw in batch.column(1).to_pylist()]
+            packed = [_packed(term_counts(raw)) for raw in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), batch.column(2)], names=["doc_id", "terms", "quality"])
 
     # At most ``max_labelled`` rows.
     found = sorted(rows.mapInArrow(terms, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, terms binary, quality int").collect())
     if not found:
         return KnnModel(np.ones(N_TERMS), np.zeros((N_TERMS, 1)), np.zeros((0, 1)), np.zeros(0), neighbours, power)
-    counts = np.stack([np.frombuffer(r[1], dtype=np.float32) for r in found])
+    counts = _unpacked([r[1] for r in found])
+    labels_of = np.array([r[2] for r in found], dtype=np.float64)
+    del found
     idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1
-    x = _weighted(counts, idf)
+    x = np.empty(counts.shape)
+    for at in range(0, len(x), _BLOCK):  # so that only a block has intermediate results
+        x[at : at + _BLOCK] = _weighted(counts[at : at + _BLOCK], idf)
+    del counts
     axes = _axes(x, min(dimensions, len(x)))
-    return KnnModel(idf, axes, _unit(x @ axes), np.array([r[2] for r in found], dtype=np.float64), neighbours, power)
+    return KnnModel(idf, axes, _unit(x @ axes), labels_of, neighbours, power)
 
 
 def _axes(x: np.ndarray, n: int) -> np.ndarray:

@@ -656,3 +656,12 @@ def test_range_buckets(spark, n):
     bounds = sorted({(i * 37) % 501 for i in range(n)})
     rows = spark.range(-3, 505).select("id", range_bucket(F.col("id"), bounds, "bigint").alias("b")).collect()
     assert all(r.b == sum(x < r.id for x in bounds) for r in rows)
+
+
+def test_terms_come_to_the_driver_packed():
+    from flowseries.llm import quality_knn as q
+
+    texts = [b"", b"One, two. Three four five six! " * 9, "é <tag> 12\n12\n".encode() * 5]
+    counts = [q.term_counts(t) for t in texts]
+    packed = [q._packed(c) for c in counts]
+    assert (q._unpacked(packed) == counts).all() and max(map(len, packed)) < counts[0].nbytes // 8
