@@ -1,7 +1,12 @@
-"""Near copies by exact Jaccard similarity of word shingles, for the pipeline.
+"""Near copies by SimHash and by exact Jaccard similarity of word shingles, for the pipeline.
 
-Texts whose sets of shingles are equal are joined first. Of the other sets every pair at ``LEAST`` or more is linked:
-no candidate comes from a sketch, so none is missed. (A shingle or a set stands for itself as XXH64.)
+Texts whose sets of shingles are equal are joined first. (A shingle or a set stands for itself as XXH64.)
+
+SimHash: each set has a fingerprint; the pivot distance table of all fingerprints proposes pairs, discards and verifies
+them as in ``simhash``, and those are linked whose sets have a Jaccard similarity of ``LEAST`` or more.
+
+The rest: such sets may be more bits apart than SimHash's keys allow, so an exact search links what is left between the
+components that SimHash gave; of no two sets at ``LEAST`` or more the link depends on a sketch.
 
 Discarding: of two such sets at most ``n - ceil(LEAST * n)`` shingles of either lie outside the other. In the order of
 hashes a longer prefix than that therefore shares shingles with the other's; a set whose prefix shares too few with
@@ -31,7 +36,8 @@ from pyspark.sql import functions as F
 
 from flowseries.llm.batches import sliced
 from flowseries.llm.scratch import written
-from flowseries.llm.simhash import SEED, components, kept_rows, text_hash
+from flowseries.llm.simhash import SEED, components, folded, kept_rows, pivot_table, text_hash
+from flowseries.llm.simhash import links as fingerprint_links
 
 SHINGLE = 5
 LEAST = 0.8
@@ -66,25 +72,26 @@ def _key(hashes: np.ndarray) -> int:
 
 
 def marks(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_hash, key, n, probe`` for every row: the set's own hash, its size, its prefix. A set that its task
-    has seen before has no prefix again."""
+    """``doc_id, text_hash, key, n, probe, fp`` for every row: the set's own hash, its size, its prefix, its fingerprint.
+    A set that its task has seen before has neither of the last again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in sliced(batches):
-            keys, sizes, probes = [], [], []
+            keys, sizes, probes, fps = [], [], [], []
             for raw in batch.column(2).to_pylist():
                 hashes = shingle_set(raw)
                 key, n = _key(hashes), len(hashes)
                 keys.append(key)
                 sizes.append(n)
                 probes.append(None if key in seen else hashes[: _outside(n) + math.ceil(_MORE * n)])
+                fps.append(None if key in seen else folded(hashes))
                 if len(seen) < _SEEN:
                     seen.add(key)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(probes, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "key", "n", "probe"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(probes, pa.list_(pa.int64())), pa.array(fps, pa.int64())], names=["doc_id", "text_hash", "key", "n", "probe", "fp"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_hash().alias("text_hash"), F.col("text").cast("binary").alias("raw")).mapInArrow(run, f"doc_id {id_type}, text_hash long, key long, n long, probe array<long>")
+    return docs.select("doc_id", text_hash().alias("text_hash"), F.col("text").cast("binary").alias("raw")).mapInArrow(run, f"doc_id {id_type}, text_hash long, key long, n long, probe array<long>, fp long")
 
 
 def _flag(doc_id: str) -> Column:
@@ -136,8 +143,20 @@ def _linked(compared_pairs: DataFrame) -> DataFrame:
     return compared_pairs.filter(_like(F.col("shared"), F.col("na"), F.col("nb"))).select("a", "b")
 
 
-def links(sets: DataFrame) -> DataFrame:
-    """Links (a, b) between ``sets`` (key, hashes) whose components are those of all pairs at ``LEAST`` or more."""
+def simhash_links(distinct: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between ``sets`` (key, hashes) at ``LEAST`` or more that the fingerprints of ``distinct`` (key, fp)
+    propose. Of sets with one fingerprint the smallest stands for the others, which are held against it."""
+    near = fingerprint_links(written(pivot_table(distinct.select("fp").distinct()), "near-table"))
+    lowest = distinct.groupBy("fp").agg(F.min("key").alias("low"))
+    alike = distinct.join(lowest, "fp").filter("key <> low").select(F.col("low").alias("a"), F.col("key").alias("b"))
+    side = lambda c: lowest.select(F.col("fp").alias(c), F.col("low").alias(f"{c}_low"))
+    pairs = near.join(side("a"), "a").join(side("b"), "b").select(F.col("a_low").alias("a"), F.col("b_low").alias("b"))
+    return _linked(compared(pairs.unionByName(alike), sets))
+
+
+def links(sets: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) between ``sets`` (key, hashes) whose components are those of all pairs at ``LEAST`` or more. Sets
+    that ``known`` links join already aren't held against each other again, but under a pivot."""
     tokens = sets.select("key", F.size("hashes").cast("long").alias("n"), F.explode("hashes").alias("h"))
     often = tokens.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     ranked = tokens.join(often, "h").groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("common"))
@@ -150,7 +169,7 @@ def links(sets: DataFrame) -> DataFrame:
 
     stars = met.filter("pivot <> key").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
     table = written(compared(stars, sets), "near-pivots")
-    near = _linked(table)
+    near = _linked(table) if known is None else _linked(table).unionByName(known)
     groups = components(near)
     left = met.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     several = left.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("h")
@@ -175,15 +194,15 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
 def _placed(docs: DataFrame) -> DataFrame:
     rows = written(marks(docs), "near-marks")
-    distinct = written(rows.groupBy("key").agg(F.min("doc_id").alias("first_id")), "near-distinct")
+    distinct = written(rows.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.max("fp").alias("fp")), "near-distinct")
     probes = rows.select("key", "n", F.explode("probe").alias("h"))
     shared = probes.groupBy("h").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low <> high").select("h")
     hits = probes.join(shared, "h").groupBy("key", "n").agg(F.count(F.lit(1)).alias("hits"))
     wanted = hits.filter(F.col("hits") >= F.greatest(F.lit(1), F.floor(F.lit(_MORE * LEAST) * F.col("n")))).select("key")
-    wanted = written(distinct.join(wanted, "key", "left_semi"), "near-wanted")
+    wanted = written(distinct.drop("fp").join(wanted, "key", "left_semi"), "near-wanted")
     sets = written(sets_of(docs, wanted), "near-sets")
-    groups = components(links(sets))
-    rooted = distinct.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    groups = components(links(sets, written(simhash_links(distinct, sets), "near-proposed")))
+    rooted = distinct.drop("fp").join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     lowest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.join(lowest, "root").select("key", "component_id")
     return rows.select("doc_id", "text_hash", "key").join(named, "key").select("doc_id", "text_hash", "key", "component_id")

@@ -76,9 +76,25 @@ def simhash(raw: bytes | None, shingle: int) -> int:
     digest, ones = xxhash.xxh64_intdigest, np.zeros(64, dtype=np.int64)
     for at in range(0, len(starts), _CHUNK):
         part = [digest(joined[a:b], SEED) for a, b in zip(starts[at : at + _CHUNK], stops[at : at + _CHUNK], strict=True)]
-        bits = np.unpackbits(np.array(part, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int32)
-    return _signed(sum(1 << i for i in np.flatnonzero(2 * ones > len(starts)).tolist()))
+        ones += _ones(np.array(part, dtype="<u8"))
+    return _majority(ones, len(starts))
+
+
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit set."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+
+
+def _majority(ones: np.ndarray, n: int) -> int:
+    return _signed(sum(1 << i for i in np.flatnonzero(2 * ones > n).tolist()))
+
+
+def folded(hashes: np.ndarray) -> int:
+    """Fingerprint of the hashes of a text's shingles, as a signed 64-bit number; of none it is zero."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), _CHUNK):
+        ones += _ones(hashes[at : at + _CHUNK])
+    return _majority(ones, len(hashes))
 
 
 def text_hash() -> Column:
