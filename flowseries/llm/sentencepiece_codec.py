@@ -31,6 +31,7 @@ import types
 from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -172,6 +173,15 @@ def _slices(texts: list[str]) -> Iterator[list[str]]:
         yield part
 
 
+def _words(text: str) -> list[str]:
+    """The words of a text, each with its markers; the pattern is for texts with runs of markers or markers of their own."""
+    if not text:
+        return []
+    if text[0] == " " or "  " in text or MARKER in text:
+        return _WORD.findall(MARKER + text.replace(" ", MARKER))
+    return (MARKER + text.replace(" ", f" {MARKER}")).split(" ")
+
+
 class Codec:
     """A tokenizer and, for parity, the library's own processor; one for each worker process."""
 
@@ -187,7 +197,7 @@ class Codec:
         self._words: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
         plain = lambda p: p.replace(MARKER, " ").encode()
-        self._bytes = [bytes([int(p[3:5], 16)]) if k == BYTE else plain(p) for p, k in zip(self.model.pieces, self.model.types, strict=True)]
+        self._bytes = pa.array([bytes([int(p[3:5], 16)]) if k == BYTE else plain(p) for p, k in zip(self.model.pieces, self.model.types, strict=True)], pa.large_binary())
         # Pieces that decode to something else than themselves; that start with a marker; that are markers only.
         self._odd = np.array([k in (UNKNOWN, CONTROL) for k in self.model.types])
         self._leads = np.array([p.startswith(MARKER) for p in self.model.pieces])
@@ -239,7 +249,8 @@ class Codec:
                 self._words[w] = raw[4 * begin : 4 * end]
                 begin = end
             # The library takes each word as a text, whose own prefix is the word's marker.
-            if self.library_ids([w[1:].replace(MARKER, " ") for w in part]) != [np.frombuffer(self._words[w], dtype=np.int32).tolist() for w in part]:
+            theirs = self.library_ids([w[1:].replace(MARKER, " ") for w in part])
+            if list(map(len, theirs)) != np.diff(ends, prepend=0).tolist() or list(chain.from_iterable(theirs)) != ids:
                 raise ValueError("the rebuilt tokenizer differs from the library")
 
     def _compare(self, text: str, ids: list[int]) -> None:
@@ -248,7 +259,7 @@ class Codec:
 
     def _by_words(self, texts: list[str]) -> Iterator[np.ndarray]:
         for part in _slices(texts):
-            cut = [_WORD.findall(MARKER + text.replace(" ", MARKER)) if text else [] for text in part]
+            cut = list(map(_words, part))
             found = [list(map(self._words.get, words)) for words in cut]
             new = {w for words, known in zip(cut, found, strict=True) if None in known for w, k in zip(words, known, strict=True) if k is None}
             if new:
@@ -256,8 +267,10 @@ class Codec:
                 if len(self._words) > _WORDS:
                     self._older, self._words = self._words, {}
                     self._words.update((w, k) for words, known in zip(cut, found, strict=True) for w, k in zip(words, known, strict=True) if k is not None)
-                self._words.update((w, self._older[w]) for w in new & self._older.keys())
-                self._learn(list(new - self._older.keys()))
+                # Looked up one by one: a difference of sets of keys would go through the whole older generation.
+                unknown = [w for w in new if w not in self._older]
+                self._words.update((w, self._older[w]) for w in new.difference(unknown))
+                self._learn(unknown)
             for words, known in zip(cut, found, strict=True):
                 whole = [k if k is not None else self._words[w] for w, k in zip(words, known, strict=True)] if None in known else known
                 yield np.frombuffer(b"".join(whole), dtype=np.int32)
@@ -281,8 +294,10 @@ class Codec:
         """Text of ids."""
         if len(ids) and (ids.min() < 0 or self._odd[ids].any()):
             return self.by_library([ids.tolist()])[0]
+        pieces = self._bytes.take(pa.array(ids))
+        ends = np.frombuffer(pieces.buffers()[1], dtype=np.int64)
         try:
-            text = b"".join(map(self._bytes.__getitem__, ids.tolist())).decode()
+            text = str(pieces.buffers()[2][: ends[len(pieces)]], "utf-8") if len(pieces) else ""
         except UnicodeDecodeError:
             return self.by_library([ids.tolist()])[0]
         return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text

@@ -82,3 +82,23 @@ def test_decoding_is_of_ids():
     assert list(own.decode(cut)) == own.by_library(cut) and list(own.decode(cut))[1] != "日本 😀"
     own._words["▁text"] = own._words.get("▁text", b"") + b"\5\0\0\0"
     assert own.encode(["some text"])[1] == [False]
+
+
+@needs_model
+def test_older_words_are_looked_up_and_not_gone_through():
+    class Older(dict):
+        def keys(self):
+            raise AssertionError("every older word is gone through")
+
+        __iter__ = items = values = keys
+
+    own = codec.Codec(open(codec.MODEL, "rb").read())
+    own.encode(["one two three"])
+    own._older, own._words = Older(own._words), {}
+    assert [x.tolist() for x in own.encode(["four two  one"])[0]] == own.library_ids(["four two  one"])
+    assert "▁two" in own._words and "▁three" not in own._words
+
+
+@pytest.mark.parametrize("text", ["", " ", "a", "a b", " a b", "a  b", "a b ", "a▁b c", "▁", "a\nb c", "  "])
+def test_words_are_those_of_the_pattern(text):
+    assert codec._words(text) == (codec._WORD.findall(codec.MARKER + text.replace(" ", codec.MARKER)) if text else [])
