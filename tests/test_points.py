@@ -1,8 +1,11 @@
+import ipaddress
+import random
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from flowseries.functions.addresses import TUPLE, hashed_id_of, ipv4_bytes, ipv4_pair, ports, swap_direction, tcp_flags, with_flow
+from flowseries.functions.addresses import TUPLE, hashed_id_of, ipv4_bytes, ipv4_pair, ipv6, ports, swap_direction, tcp_flags, with_flow
 from flowseries.functions.labels import format_elapsed, format_rate, format_sum
 from flowseries.functions.values import type_name, type_tag, value_string, where_value
 from flowseries.operators import bounds, metrics, plot, points, windows
@@ -322,3 +325,13 @@ def test_python_metrics_take_many_flows_at_once(spark):
     finally:
         m._CALLS = calls
     assert len(got) == 121 and {r.value_float for r in got} == {float(big % 1000)} and {r.flow_id for r in got} == {None, *[big + f for f in range(40)]}
+
+
+def test_ipv6_text_needs_no_python(spark):
+    rng = random.Random(3)
+    groups = [[rng.choice((0, 0, 1, 16, 256, 4096, 65535)) for _ in range(8)] for _ in range(600)] + [[0] * 8, [1] * 8, [0] * 7 + [1], [1] + [0] * 7, [0] * 5 + [65535, 258, 772], [0] * 5 + [65535, 0, 0]]
+    raw = [b"".join(g.to_bytes(2, "big") for g in row) for row in groups]
+    found = spark.createDataFrame([(x,) for x in [*raw, b"short", None]], "raw binary").select(ipv6(F.col("raw")).alias("text"))
+    assert [r.text for r in found.collect()] == [*(str(ipaddress.IPv6Address(x)) for x in raw), None, None]
+    packets = spark.createDataFrame([(0, 0, raw[0], raw[1], 1, 2), (1 << 24, 2 << 24, None, None, 1, 2)], "saddr long, daddr long, saddr_v6 binary, daddr_v6 binary, sport int, dport int")
+    assert "Python" not in with_flow(packets, "packet")._jdf.queryExecution().executedPlan().toString()
