@@ -335,3 +335,12 @@ def test_ipv6_text_needs_no_python(spark):
     assert [r.text for r in found.collect()] == [*(str(ipaddress.IPv6Address(x)) for x in raw), None, None]
     packets = spark.createDataFrame([(0, 0, raw[0], raw[1], 1, 2), (1 << 24, 2 << 24, None, None, 1, 2)], "saddr long, daddr long, saddr_v6 binary, daddr_v6 binary, sport int, dport int")
     assert "Python" not in with_flow(packets, "packet")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_zeros_are_dropped_in_compiled_code(spark):
+    record = {"flow": None, "time": 5, "saddr": 1 << 24, "daddr": 2 << 24, "sport": 1, "dport": 2, "seq": 0, "ack_num": 9, "window": None, "urg": False, "ack": True, "psh": None, "rst": False, "syn": False, "fin": False, "checksum": 0, "saddr_v6": None, "daddr_v6": None}
+    kinds = {"flow": "string", "saddr_v6": "binary", "daddr_v6": "binary", **dict.fromkeys(("urg", "ack", "psh", "rst", "syn", "fin"), "boolean")}
+    rows = spark.createDataFrame([tuple(record.values())], ", ".join(f"{c} {kinds.get(c, 'long')}" for c in record))
+    found = points.to_points(with_flow(rows, "packet"), "packet")
+    assert sorted((r.name, r.value_int, r.value_bool) for r in found.collect()) == [("ACK_NUM", 9, None), ("FLAG_ACK", None, True)]
+    assert "filter(array" not in found._jdf.queryExecution().executedPlan().toString()
