@@ -2,12 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from flowseries.llm import mixing, near_copies, pii, quality_rules, sentencepiece_codec
+from flowseries.llm.batches import small_batches
 from flowseries.llm.scratch import written
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _lean(stage: Stage) -> Stage:
+    """The stage with texts going to Python in small batches."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
 
+@_lean
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, with all columns.
 
@@ -19,6 +37,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.quality_filter(docs)
 
 
+@_lean
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the smallest id, of each group of near copies (five words a shingle, Jaccard 0.8 or more).
 
@@ -29,6 +48,7 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return near_copies.one_of_each(docs)
 
 
+@_lean
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row, with personal data in its text replaced by the kind in angle brackets, and ``n_chars`` renewed.
 
@@ -39,6 +59,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return pii.redact(docs)
 
 
+@_lean
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: rows that it takes twice stand there twice.
 
@@ -48,6 +69,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs)
 
 
+@_lean
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row with its ``token_ids`` and ``round_trip``, in place of columns so named.
 
